@@ -29,6 +29,18 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identified
+
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import round_trip
 
@@ -36,7 +48,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op5_packing, op10_token_binary)}
+    return {f.__name__: f for f in (op4_decontamination, op5_packing, op6_toxicity, op8_language_id, op10_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
