@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters look at the words of a text and vote toxic (+1), clean (-1) or abstain (0): lexicon
+Voters look at the words of a text, and at how they begin (5 to 8 bytes), and vote toxic (+1), clean (-1) or abstain (0): lexicon
 voters (a seed list in groups, and groups mined from labelled rows) and pattern voters (an
 insult close to a second-person word, repeated insults, density). A generative label model
 estimates by EM how often each voter votes which way on either class, and the correlations
@@ -20,7 +20,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents
-from .text import ALNUM, Chunk, chunks, gram_hashes, word_hashes, words
+from .text import ALNUM, Chunk, chunks, gram_hashes, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 0
-PER_LABEL, UNLABELLED = 3000, 3000
+PER_LABEL, UNLABELLED = 2000, 2000
 FEATURES = 4000
 GROUPS = 6
 NEAR = 6
@@ -47,13 +47,25 @@ YOU = "you your you're du dein deine dich tu ton ta te vous votre tú tu usted e
 
 
 def codes(text: str) -> np.ndarray:
-    return word_hashes(words(next(iter(chunks(pa.array([text])))), ALNUM, lower=True)) if text else np.empty(0, np.uint64)
+    """Codes of the words of a line."""
+    return profile(next(iter(chunks(pa.array([text])))))[0][:, 0]
+
+
+#: Columns of a profile: the word, then its first bytes of these lengths.
+BEGINNINGS = (5, 6, 7, 8)
+WIDTH = 1 + len(BEGINNINGS)
 
 
 def profile(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and the texts' word offsets."""
+    """32-bit codes of all words and their beginnings (0: the word is no longer than that), and the texts' word offsets."""
     w = words(chunk, ALNUM, lower=True)
-    return word_hashes(w), w.offsets
+    out = np.zeros((len(w.start), WIDTH), np.uint32)
+    out[:, 0] = (word_hashes(w) >> np.uint64(32)) | np.uint64(1)
+    for k, n in enumerate(BEGINNINGS, 1):
+        longer = np.flatnonzero(w.end - w.start > n)
+        begun = word_hashes(replace(w, start=w.start[longer], end=w.start[longer] + n))
+        out[longer, k] = (mix64(begun + np.uint64(n)) >> np.uint64(32)) | np.uint64(1)
+    return out, w.offsets
 
 
 def member(sorted_codes: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -74,13 +86,14 @@ class Voters:
     def votes(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """(texts, voters) in {-1, 0, 1}."""
         n = len(offsets) - 1
-        at = member(self.lexicon, code)
+        at = member(self.lexicon, code.ravel())
         p = np.flatnonzero(at >= 0)
+        found, p = self.group[at[p]], p // WIDTH
         text = np.searchsorted(offsets, p, "right") - 1
         in_group = np.zeros((n, self.n_groups), np.int64)
-        np.add.at(in_group, (text, self.group[at[p]]), 1)
+        np.add.at(in_group, (text, found), 1)
         hits, size = in_group.sum(1), np.diff(offsets)
-        you = np.flatnonzero(member(self.you, code) >= 0)
+        you = np.flatnonzero(member(self.you, code[:, 0]) >= 0)
         close = np.zeros(n, bool)
         if len(you) and len(p):
             k = np.searchsorted(you, p)
@@ -140,9 +153,9 @@ class Classifier:
     bias: float
 
     def score(self, code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        at = member(self.vocabulary, code)
+        at = member(self.vocabulary, code.ravel())
         p = np.flatnonzero(at >= 0)
-        pair = np.unique((np.searchsorted(offsets, p, "right") - 1) * max(1, len(self.vocabulary)) + at[p])
+        pair = np.unique((np.searchsorted(offsets, p // WIDTH, "right") - 1) * max(1, len(self.vocabulary)) + at[p])
         text, feature = np.divmod(pair, max(1, len(self.vocabulary)))
         total = np.bincount(text, self.weights[feature] if len(pair) else None, minlength=len(offsets) - 1)
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30)))
@@ -168,16 +181,16 @@ class Model:
 
 def train(code: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Model:
     """From a sample's words; label: 1, 0, or -1 where unknown."""
-    grams = gram_hashes(code, 3)
-    low = np.array([grams[a : max(a + 1, b - 2)].min() if b - a >= 3 else (code[a:b].sum() if b > a else 0) for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
-    _, once = np.unique(np.stack([low, (label + 1).astype(np.uint64)], axis=1), axis=0, return_index=True) if len(low) else (None, np.empty(0, np.int64))
+    grams = gram_hashes(mix64(code[:, 0]), 3)
+    low = np.array([grams[a : b - 2].min() if b - a >= 3 else code[a:b, 0].astype(np.uint64).sum() for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
+    _, once = np.unique(low ^ (label + 1).astype(np.uint64), return_index=True)
     once = np.sort(once)
     sizes = np.diff(offsets)[once]
-    code = np.concatenate([code[offsets[i] : offsets[i + 1]] for i in once]) if len(once) else code[:0]
-    label, offsets = label[once], np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(len(once)), sizes)
-    pairs = np.unique(np.stack([owner.astype(np.uint64), code], axis=1), axis=0) if len(code) else np.empty((0, 2), np.uint64)
-    owner, word = pairs[:, 0].astype(np.int64), pairs[:, 1]
+    code = np.concatenate([code[:0], *(code[offsets[i] : offsets[i + 1]] for i in once)])
+    label, offsets = label[once], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    pairs = (np.repeat(np.arange(len(once), dtype=np.uint64), sizes * WIDTH) << np.uint64(32)) | code.ravel()
+    pairs = np.unique(pairs[(pairs & np.uint64(0xFFFFFFFF)) > 0])
+    owner, word = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
     lexicon, group = [], []
     for g, line in enumerate(SEED):
         c = np.unique(codes(line))
@@ -189,7 +202,7 @@ def train(code: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Model:
         number = np.cumsum(known) - 1
         mine = known[owner]
         w, a, total, z = salience(word[mine], number[owner[mine]], label[known].astype(float))
-        best = np.flatnonzero((z >= 5) & (a >= max(5, 0.01 * n1)) & (a >= 0.8 * total))
+        best = np.flatnonzero((z >= 5) & (a >= max(5, 0.01 * n1)) & (a >= 0.9 * total))
         best = best[np.argsort(-z[best], kind="stable")][:200]
         best = best[member(np.sort(np.concatenate(lexicon)), w[best]) < 0]
         lexicon.append(w[best])
@@ -258,8 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
     got = documents(docs).join(F.broadcast(small), "doc_id").mapInArrow(profiled, "doc_id long, toxic int, words binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     raw = got.column("words").to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
-    return train(np.frombuffer(b"".join(raw), np.uint64), offsets, got.column("toxic").to_numpy().astype(np.int64))
+    offsets = np.concatenate([[0], np.cumsum([len(x) // (4 * WIDTH) for x in raw])]).astype(np.int64)
+    return train(np.frombuffer(b"".join(raw), np.uint32).reshape(-1, WIDTH), offsets, got.column("toxic").to_numpy().astype(np.int64))
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabelled: int = UNLABELLED) -> DataFrame:
