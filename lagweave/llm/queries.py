@@ -35,6 +35,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identified
 
@@ -48,7 +54,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op5_packing, op6_toxicity, op8_language_id, op10_token_binary)}
+    return {f.__name__: f for f in (op4_decontamination, op5_packing, op6_toxicity, op7_substring_dedup, op8_language_id, op10_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
