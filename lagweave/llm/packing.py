@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import documents, written
-from .tokens import Encoder
+from .text import ranges
+from .tokens import encoded
 
 SIZE = 2048
 END_ID = 1
@@ -42,22 +43,17 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = END_
     """Per piece: document, ids before it, length, crc32 of its ids, ids of the document (PIECES)."""
 
     def cut(batches):
-        encoder = Encoder.at(tokenizer)
-        tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for first, texts in encoder.column(batch.column("text")):
-                row, start, length, crc, total = [], [], [], [], []
-                for i, ids in enumerate(texts):
-                    ids += tail
-                    n = len(ids) >> 2
-                    for a in range(0, n, size):
-                        b = min(n, a + size)
-                        row.append(first + i)
-                        start.append(a)
-                        length.append(b - a)
-                        crc.append(zlib.crc32(ids[4 * a : 4 * b]))
-                        total.append(n)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for first, ids, offsets in encoded(batch.column("text"), tokenizer, end_id):
+                total = np.diff(offsets)
+                n = -(-total // size)
+                row = np.repeat(np.arange(len(total)), n)
+                start = ranges(np.zeros(len(n), np.int64), n) * size
+                length = np.minimum(total[row] - start, size)
+                at = 4 * (offsets[row] + start)
+                raw = memoryview(ids.tobytes())
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(first + row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, total[row]))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return documents(docs).mapInArrow(cut, PIECES)
 

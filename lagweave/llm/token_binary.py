@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import documents, shared_dir, written
-from .tokens import Encoder
+from .runtime import documents, shared_dir, slots, written
+from .text import buffers
+from .tokens import Encoder, encoded
 
 END_ID = 2
 MAGIC, VERSION = b"LWTB", 1
@@ -85,28 +86,42 @@ def read_block(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, decode(block[at : at + n_control], block[at + n_control :], counts)
 
 
-def _tokenized(batches, tokenizer: str, end_id: int):
-    encoder, tail = Encoder.at(tokenizer), np.array([end_id], "<u4").tobytes()
-    for batch in batches:
-        for first, texts in encoder.column(batch.column("text")):
-            yield batch.column("doc_id").slice(first, len(texts)), np.frombuffer(tail.join([*texts, b""]), "<u4"), np.array([len(t) // 4 + 1 for t in texts], np.int64)
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
+    """Per document its ids, as little-endian bytes: two for each id if the vocabulary allows, else four."""
+    kind = "<u2" if max(Encoder.at(tokenizer).size(), end_id + 1) <= 1 << 16 else "<u4"
+
+    def tokens(batches):
+        for batch in batches:
+            for first, ids, offsets in encoded(batch.column("text"), tokenizer, end_id):
+                raw, cut = ids.astype(kind).tobytes(), (offsets * int(kind[2])).tolist()
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(cut) - 1), pa.array([raw[a:b] for a, b in zip(cut, cut[1:])], pa.binary())], ["doc_id", "ids"])
+
+    return documents(docs).mapInArrow(tokens, "doc_id long, ids binary")
 
 
-def ranking(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
-    """All ids in the order of their frequency in the corpus (ties: the smaller id); as long as the vocabulary."""
+def _groups(column, width: int, group: int = 1 << 20):
+    """(first row, ids, ids of each row) for groups of rows of about `group` bytes."""
+    data, offsets = buffers(column)
+    n, i = len(offsets) - 1, 0
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + group, "right")) - 1))
+        yield i, data[offsets[i] : offsets[j]].view(f"<u{width}"), np.diff(offsets[i : j + 1]) // width
+        i = j
+
+
+def ranking(rows: DataFrame, size: int, width: int) -> np.ndarray:
+    """All ids in the order of their frequency in the corpus (ties: the smaller id); size of the vocabulary in number."""
 
     def count(batches):
-        size = max(Encoder.at(tokenizer).size(), end_id + 1)
         total = np.zeros(size, np.int64)
-        for _, ids, _ in _tokenized(batches, tokenizer, end_id):
-            total += np.bincount(ids, minlength=size)
+        for batch in batches:
+            for _, ids, _ in _groups(batch.column("ids"), width):
+                total += np.bincount(ids, minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
 
-    rows = documents(docs).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
-    size = max(Encoder.at(tokenizer).size(), end_id + 1)
     total = np.zeros(size, np.int64)
-    for r in rows:
+    for r in rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # the vocabulary at most
         total[r["id"]] = r["n"]
     return np.lexsort([np.arange(size), -total]).astype(np.uint32)
 
@@ -114,24 +129,28 @@ def ranking(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> np.ndarray
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """The corpus in ascending doc_id as token blocks under path/blocks, the ids by rank under path/ranks."""
     spark = docs.sparkSession
-    by_rank = ranking(docs, tokenizer, end_id)
+    size = max(Encoder.at(tokenizer).size(), end_id + 1)
+    width = 2 if size <= 1 << 16 else 4
+    tokens = written(tokenized(docs, tokenizer, end_id), "ids")
+    by_rank = ranking(tokens, size, width)
     spark.createDataFrame([(by_rank.astype("<u4").tobytes(),)], "ids binary").write.parquet(f"{path}/ranks")
     rank_of = np.empty(len(by_rank), np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank_of)
 
     def coded(batches):
-        for doc_ids, ids, counts in _tokenized(batches, tokenizer, end_id):
-            control, data, c, d = encode(ranks.value[ids], counts)
-            c, d = [0, *c.tolist()], [0, *d.tolist()]
-            yield pa.RecordBatch.from_arrays(
-                [doc_ids, pa.array(counts), pa.array([control[a:b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(d, d[1:])], pa.binary())],
-                ["doc_id", "n", "control", "data"],
-            )
-
-    rows = written(documents(docs).mapInArrow(coded, "doc_id long, n long, control binary, data binary"), "coded")
-    n_bytes = rows.agg(F.sum(F.octet_length("control") + F.octet_length("data"))).first()[0] or 0
-    files = max(1, -(-n_bytes // FILE_BYTES), spark.sparkContext.defaultParallelism if n_bytes > FILE_BYTES else 1)
+        for batch in batches:
+            for first, ids, counts in _groups(batch.column("ids"), width):
+                control, data, c, d = encode(ranks.value[ids], counts)
+                c, d = [0, *c.tolist()], [0, *d.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(first, len(counts)), pa.array(counts), pa.array([control[a:b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(d, d[1:])], pa.binary())],
+                    ["doc_id", "n", "control", "data"],
+                )
+
+    n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    files = max(1, -(-n_bytes // FILE_BYTES), min(slots(spark), n_bytes // (FILE_BYTES // 16)))
+    rows = tokens.mapInArrow(coded, "doc_id long, n long, control binary, data binary")
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "data").withColumn("file", F.spark_partition_id())
 
     def assemble(batches):
@@ -145,16 +164,16 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
             return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "block": pa.array([number], pa.int32()), "ids": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([block], pa.binary())})
 
         for batch in batches:
-            sums = np.cumsum(batch.column("n").to_numpy())
+            ends = np.cumsum(batch.column("n").to_numpy())
             file, i = (batch.column("file")[0].as_py() if len(batch) else file), 0
             while i < len(batch):
-                gone = int(sums[i - 1]) if i else 0
-                j = int(np.searchsorted(sums, gone + BLOCK_IDS - ids, "right"))
+                gone = int(ends[i - 1]) if i else 0
+                j = int(np.searchsorted(ends, gone + BLOCK_IDS - ids, "right"))
                 if j <= i and not held:
                     j = i + 1
                 if j > i:
                     held.append(batch.slice(i, j - i))
-                    ids += int(sums[j - 1]) - gone
+                    ids += int(ends[j - 1]) - gone
                     i = j
                 if i < len(batch):
                     yield flush()
