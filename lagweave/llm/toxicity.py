@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents
-from .text import ALNUM, Chunk, chunks, gram_hashes, mix64, word_hashes, words
+from .text import ALNUM, Chunk, buffers, chunks, gram_hashes, mix64, word_hashes, words
 
 FOLDS, HELD_OUT = 5, 0
-PER_LABEL, UNLABELLED = 2000, 2000
-FEATURES = 4000
+PER_LABEL, UNLABELLED = 2000, 1000
+FEATURES = 2000
 GROUPS = 6
 NEAR = 6
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -185,12 +185,12 @@ def train(code: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Model:
     low = np.array([grams[a : b - 2].min() if b - a >= 3 else code[a:b, 0].astype(np.uint64).sum() for a, b in zip(offsets[:-1], offsets[1:])], np.uint64)
     _, once = np.unique(low ^ (label + 1).astype(np.uint64), return_index=True)
     once = np.sort(once)
-    sizes = np.diff(offsets)[once]
-    code = np.concatenate([code[:0], *(code[offsets[i] : offsets[i + 1]] for i in once)])
-    label, offsets = label[once], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    pairs = (np.repeat(np.arange(len(once), dtype=np.uint64), sizes * WIDTH) << np.uint64(32)) | code.ravel()
-    pairs = np.unique(pairs[(pairs & np.uint64(0xFFFFFFFF)) > 0])
-    owner, word = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
+    begin, sizes, label = offsets[:-1][once], np.diff(offsets)[once], label[once]
+    own = [np.unique(code[a : a + n]) for a, n in zip(begin.tolist(), sizes.tolist())]
+    own = [x[x > 0] for x in own]
+    owner = np.repeat(np.arange(len(once), dtype=np.int32), [len(x) for x in own])
+    word = np.concatenate([np.empty(0, np.uint32), *own])
+    del own
     lexicon, group = [], []
     for g, line in enumerate(SEED):
         c = np.unique(codes(line))
@@ -210,7 +210,7 @@ def train(code: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Model:
     flat, groups = np.concatenate(lexicon), np.concatenate(group)
     order = np.argsort(flat, kind="stable")
     voters = Voters(flat[order], groups[order].astype(np.int64), len(SEED) + GROUPS, np.unique(codes(YOU)))
-    votes = voters.votes(code, offsets)
+    votes = np.concatenate([np.empty((0, len(SEED) + GROUPS + 4), np.int64), *(voters.votes(code[a : a + n], np.array([0, n])) for a, n in zip(begin.tolist(), sizes.tolist()))])
     prior = min(max(n1 / max(1, known.sum()), 0.01), 0.5)
     labels = LabelModel.fit(votes, prior)
     post = labels.posterior(votes)
@@ -219,29 +219,29 @@ def train(code: np.ndarray, offsets: np.ndarray, label: np.ndarray) -> Model:
     best = np.sort(best[np.argsort(-np.abs(z[best]), kind="stable")][:FEATURES])
     at = member(w[best], word)
     use = at >= 0
-    x = np.zeros((len(once), len(best)), np.float32)
+    x = np.zeros((len(once), len(best) + 1), np.float32)
     x[owner[use], at[use]] = 1
+    x[:, -1] = 1
     weights, bias = logistic(x, post)
     return Model(voters, labels, Classifier(w[best], weights, bias))
 
 
 def logistic(x: np.ndarray, target: np.ndarray, steps: int = 300, ridge: float = 3e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias for soft targets, by accelerated gradient steps; the bias is not shrunk."""
+    """Weights and bias (of the last column, all ones) for soft targets, by accelerated gradient steps; the bias is not shrunk."""
     n, m = x.shape
     if not n:
-        return np.zeros(m), -3.0
-    full = np.concatenate([x, np.ones((n, 1), np.float32)], axis=1)
-    v = np.random.default_rng(0).random(m + 1).astype(np.float32)
+        return np.zeros(m - 1), -3.0
+    v = np.random.default_rng(0).random(m).astype(np.float32)
     for _ in range(10):
-        v = full.T @ (full @ v)
+        v = x.T @ (x @ v)
         v /= np.linalg.norm(v) + 1e-12
-    rate = 4 * n / (float(np.linalg.norm(full.T @ (full @ v))) + 1e-9)
-    w = np.zeros(m + 1, np.float32)
+    rate = 4 * n / (float(np.linalg.norm(x.T @ (x @ v))) + 1e-9)
+    w = np.zeros(m, np.float32)
     u = w.copy()
-    shrink = np.full(m + 1, ridge, np.float32)
+    shrink = np.full(m, ridge, np.float32)
     shrink[-1] = 0
     for k in range(steps):
-        g = full.T @ ((1 / (1 + np.exp(-np.clip(full @ u, -30, 30))) - target).astype(np.float32)) / n + shrink * u
+        g = x.T @ ((1 / (1 + np.exp(-np.clip(x @ u, -30, 30))) - target).astype(np.float32)) / n + shrink * u
         fresh = u - np.float32(rate) * g
         u, w = fresh + np.float32(k / (k + 3)) * (fresh - w), fresh
     return w[:-1].astype(float), float(w[-1])
@@ -270,9 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
 
     got = documents(docs).join(F.broadcast(small), "doc_id").mapInArrow(profiled, "doc_id long, toxic int, words binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
-    raw = got.column("words").to_pylist()
-    offsets = np.concatenate([[0], np.cumsum([len(x) // (4 * WIDTH) for x in raw])]).astype(np.int64)
-    return train(np.frombuffer(b"".join(raw), np.uint32).reshape(-1, WIDTH), offsets, got.column("toxic").to_numpy().astype(np.int64))
+    data, offsets = buffers(got.column("words"))
+    return train(data.view(np.uint32).reshape(-1, WIDTH), offsets // (4 * WIDTH), got.column("toxic").to_numpy().astype(np.int64))
 
 
 def scored(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabelled: int = UNLABELLED) -> DataFrame:
