@@ -47,6 +47,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_layout import rendered
+
+    return rendered(table(spark, sf_dir, "pages"))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_binary import round_trip
 
@@ -54,7 +66,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_decontamination, op5_packing, op6_toxicity, op7_substring_dedup, op8_language_id, op10_token_binary)}
+    return {f.__name__: f for f in (op3_html_text, op4_decontamination, op5_packing, op6_toxicity, op7_substring_dedup, op8_language_id, op9_suffix_dedup, op10_token_binary)}
 
 
 def oracle_sql() -> dict[str, str]:
