@@ -11,7 +11,7 @@ their own with blank lines where margins are, lists are indented with bullets or
 All visible text is kept, navigation included. Defined results: null html gives null text; an empty page
 gives ""; broken markup never fails (unclosed tags end with the page, stray end tags and a
 lone `<` are text or nothing, as a browser would do); rows repeated whole get a row each; null url stays null; other columns are
-ignored. Trees are walked without recursion, so depth is bounded by memory only.
+ignored. Trees are walked without recursion; a table inside more than 40 others is laid out as blocks.
 """
 
 from __future__ import annotations
@@ -52,6 +52,8 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 
+#: Tables in tables that are aligned; deeper ones are rendered as plain blocks.
+NESTED = 40
 _TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<decl>[^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|/[^a-zA-Z>][^>]*(?:>|\Z)|/>)", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
@@ -254,8 +256,8 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(root: Node) -> tuple[str, int, int]:
-    """Text, blocks of text and tables of a tree."""
+def render(root: Node, depth: int = 0) -> tuple[str, int, int]:
+    """Text, blocks of text and tables of a tree that stands in `depth` tables."""
     out, tables = Layout(), 0
     jobs: list = [("in", root, False)]
     lists: list = []
@@ -283,9 +285,9 @@ def render(root: Node) -> tuple[str, int, int]:
             continue
         if name == "wbr":
             continue
-        if name == "table":
+        if name == "table" and depth < NESTED:
             tables += 1
-            lines, inner = table(node)
+            lines, inner = table(node, depth + 1)
             tables += inner
             out.block(lines)
             continue
@@ -327,7 +329,7 @@ def _indent(out: Layout, indent: str, mark: str):
     return back
 
 
-def table(node: Node) -> tuple[list[str], int]:
+def table(node: Node, depth: int) -> tuple[list[str], int]:
     """Lines of a table, its columns aligned: a cell's lines below each other, two blanks between columns; colspan and rowspan take their places. Captions come first."""
     head, rows, foot, captions, loose = [], [], [], [], []
     for child in node.children:
@@ -357,7 +359,7 @@ def table(node: Node) -> tuple[list[str], int]:
                 c += 1
             part = Node("div", {})
             part.children = cell.children
-            text, _, inner = render(part)
+            text, _, inner = render(part, depth)
             tables += inner
             wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
             cells[c] = (text.split("\n") if text else [""], wide)
@@ -381,7 +383,7 @@ def table(node: Node) -> tuple[list[str], int]:
         total += widths.get(c, 0) + 2
     out: list[str] = []
     for part in [*captions, _holder(loose)]:
-        text, _, inner = render(_holder(part.children))
+        text, _, inner = render(_holder(part.children), depth)
         tables += inner
         out += text.split("\n") if text else []
     for cells in grid:
