@@ -25,6 +25,12 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -74,7 +80,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op3_html_text, op4_decontamination, op5_packing, op6_toxicity, op7_substring_dedup, op8_language_id, op9_suffix_dedup, op10_token_binary)}
+    return {f.__name__: f for f in (op1_topk_search, op2_jaccard_join, op3_html_text, op4_decontamination, op5_packing, op6_toxicity, op7_substring_dedup, op8_language_id, op9_suffix_dedup, op10_token_binary)}
 
 
 TOPK_SQL = """
