@@ -163,18 +163,14 @@ class Model:
         return total / np.maximum(np.sqrt(sums(size, offsets)), 1)[:, None] + self.bias
 
 
-def vectors(chunk: Chunk) -> np.ndarray:
-    """One row for each text: gram counts over the root of their number."""
+def vectors(chunk: Chunk):
+    """For each text its gram counts over the root of their number, as 16-bit floats."""
     gram, starts, which, offsets = features(chunk)
     size = np.diff(starts)[which]
-    out = np.zeros((len(chunk), 1 << BITS), np.float32)
-    every = gram[ranges(starts[:-1][which], size)]
     ends = np.concatenate([[0], np.cumsum(size)])[offsets]
-    for i in range(len(chunk)):
-        own = every[ends[i] : ends[i + 1]]
-        if len(own):
-            out[i] = np.bincount(own, minlength=1 << BITS) / np.sqrt(len(own))
-    return out
+    every = gram[ranges(starts[:-1][which], size)]
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield (np.bincount(every[a:b], minlength=1 << BITS) / np.sqrt(max(b - a, 1))).astype(np.float16).tobytes()
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -198,8 +194,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
 
     def vectorised(batches):
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(chunk.first, len(chunk)), batch.column("h").slice(chunk.first, len(chunk)), pa.array([v.astype(np.float16).tobytes() for v in vectors(chunk)], pa.binary())], ["lang", "h", "x"])
+            for chunk in chunks(batch.column("text"), 1 << 18):
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(chunk.first, len(chunk)), batch.column("h").slice(chunk.first, len(chunk)), pa.array(list(vectors(chunk)), pa.binary())], ["lang", "h", "x"])
 
     got = chosen.select("lang", "h", "text").mapInArrow(vectorised, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, 1 << BITS)
