@@ -37,6 +37,8 @@ from .text import _BYTE_CODE as BYTE_CODE
 LENGTH, GRAM = 400, 64
 #: Distinct contexts of one gram that one task compares at most.
 CROWD = 4096
+#: Bytes of contexts that are compared at a time, unless one gram has more.
+BLOCK = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FULL, CONTEXT, STRINGS = 1, 2, 4
 _BASE = 0xA24BAED4963EE407
@@ -142,7 +144,8 @@ class Anchors:
         text = np.searchsorted(chunk.offsets, self.place, "right") - 1
         self.left = np.minimum(self.place - chunk.offsets[text], length - gram)
         self.right = np.minimum(chunk.offsets[text + 1] - self.place, length)
-        self.gram = mix64(self.h.code(self.place, self.place + gram)) if len(self.place) else np.empty(0, U64)
+        # hashed anew: anchors are least hashes, which would all fall into the first ranges
+        self.gram = mix64(self.h.code(self.place, self.place + gram) ^ U64(0x5851F42D4C957F2D)) if len(self.place) else np.empty(0, U64)
         context = self.h.code(self.place - self.left, self.place + self.right)
         self.context = mix64(context + mix64((self.left * 65536 + self.right).astype(U64)) + self.gram)
 
@@ -282,9 +285,20 @@ class Plan:
         size = left + right
         begin = np.cumsum(size) - size
         order = np.argsort(gram, kind="stable")
-        lo, hi = reach(data, begin[order], left[order], right[order], np.cumsum(np.concatenate([[True], gram[order][1:] != gram[order][:-1]])), self.length)
-        left_, right_ = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-        left_[order], right_[order] = lo, hi
+        left_, right_ = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
+        # whole grams, about BLOCK bytes of context at a time: the hashes of a byte take many times its space
+        new = np.concatenate([[True], gram[order][1:] != gram[order][:-1]])
+        group, first = np.cumsum(new), np.flatnonzero(new)
+        before = np.concatenate([[0], np.cumsum(size[order])])
+        i = 0
+        while i < len(order):
+            j = int(np.searchsorted(before, before[i] + BLOCK, "right")) - 1
+            k = int(np.searchsorted(first, j, "right")) - 1
+            j = len(order) if j >= len(order) else int(first[k]) if first[k] > i else int(np.append(first, len(order))[k + 1])
+            at = order[i:j]
+            own = data[ranges(begin[at], size[at])]
+            left_[at], right_[at] = reach(own, np.cumsum(size[at]) - size[at], left[at], right[at], group[i:j], self.length)
+            i = j
         left_[done] = right_[done] = 0  # their batches know already
         out = []
         for a, b in zip(np.cumsum(n) - n, np.cumsum(n)):
