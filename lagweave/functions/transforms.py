@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("dataset").orderBy("t")
+
+def series():
+    """Rows of a dataset in time."""
+    return Window.partitionBy("dataset").orderBy("t")
 
 
 def autocorrelation(df: DataFrame, value: str, max_lag: int) -> DataFrame:
     """(dataset, lag, r): Pearson's correlation of the series with itself, lag by lag."""
-    lagged = df.select("dataset", F.col(value).alias("x"), *[F.lag(value, k).over(SERIES).alias(f"l{k}") for k in range(1, max_lag + 1)])
+    lagged = df.select("dataset", F.col(value).alias("x"), *[F.lag(value, k).over(series()).alias(f"l{k}") for k in range(1, max_lag + 1)])
     wide = lagged.groupBy("dataset").agg(F.lit(1.0).alias("r0"), *[F.corr("x", f"l{k}").alias(f"r{k}") for k in range(1, max_lag + 1)])
     return wide.select("dataset", F.posexplode(F.array(*[F.col(f"r{k}") for k in range(max_lag + 1)])).alias("lag", "r"))
 
@@ -50,7 +53,7 @@ def smooth(df: DataFrame, value: str, width: int, kernel: str = "heaviside", res
     x = F.when(~F.col(mask), F.col(value)) if mask else F.col(value)
     if kernel == "heaviside":
         c = math.ceil(width / 2)
-        out = df.withColumn("smoothed", F.avg(x).over(SERIES.rowsBetween(-(c - 1), c - 1)))
+        out = df.withColumn("smoothed", F.avg(x).over(series().rowsBetween(-(c - 1), c - 1)))
     elif kernel == "gaussian":
         # beyond nine widths the weight is below 1e-35
         reach = 9 * width
@@ -134,7 +137,7 @@ def ordinal_patterns(df: DataFrame, value: str, dim: int = 2, step: int = 1) ->
     """df with `pattern`, the code of the order of `dim` values `step` apart that begin at t; rows without all of them are left out."""
     if not 2 <= dim <= 10:
         raise ValueError("dim is 2 to 10")
-    ahead = [F.lead(value, k * step).over(SERIES) for k in range(dim)]
+    ahead = [F.lead(value, k * step).over(series()) for k in range(dim)]
     code = F.when(ahead[0] < ahead[1], 1).otherwise(0) if dim >= 2 else F.lit(0)
     for i in range(2, dim):
         for j in range(i):
