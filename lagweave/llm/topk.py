@@ -7,7 +7,7 @@ that component. A query reads its lists in parallel, from the top where its own
 positive and from the bottom where it is negative, scores each new candidate in full
 (random access), and after each step sums what one more candidate could reach at the current depths.
 It stops when that bound is below its kth best score; an equal bound goes on, as
-an unseen candidate of smaller id would win the tie. Each block of candidates gives at most k rows for a query; the best k of
+an unseen candidate of smaller id would win the tie. When nearly all candidates have been met, the few others are scored directly. Each block of candidates gives at most k rows for a query; the best k of
 all blocks are the result.
 
 Defined results: vectors that are null or empty, hold a null or non-finite component, or have no id take no part;
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 K, SCALE = 20, 64
 CANDIDATES, QUERIES = 8192, 1024
 FIRST_DEPTH = 16
+#: If a step down the lists reads so many times more entries than candidates are left, those are scored at once.
+REREAD = 8
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -54,15 +56,19 @@ class Lists:
         weight, down = query[live], query[live] > 0
         unseen = self.ids != own
         best, score = np.empty(0, np.int64), np.empty(0, query.dtype)
-        depth, step = 0, FIRST_DEPTH
+        depth, step, left = 0, FIRST_DEPTH, int(unseen.sum())
         while depth < n:
             stop = min(n, depth + step)
-            met = np.concatenate([self.up[live[down], n - stop : n - depth].ravel(), self.up[live[~down], depth:stop].ravel()])
-            fresh = np.zeros(n, bool)
-            fresh[met] = True
-            fresh &= unseen
-            new = np.flatnonzero(fresh)
-            unseen[new] = False
+            if REREAD * left < step * len(live):  # the lists would mostly repeat: score what is left
+                stop, new = n, np.flatnonzero(unseen)
+            else:
+                met = np.concatenate([self.up[live[down], n - stop : n - depth].ravel(), self.up[live[~down], depth:stop].ravel()])
+                fresh = np.zeros(n, bool)
+                fresh[met] = True
+                fresh &= unseen
+                new = np.flatnonzero(fresh)
+                unseen[new] = False
+            left -= len(new)
             if len(new):
                 got = self.vectors[new] @ query
                 if len(best) == k:
