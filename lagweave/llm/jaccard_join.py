@@ -369,9 +369,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     """docs, all columns, with one row (the smallest doc_id, once) of each group of near duplicates; rows with null doc_id stay."""
     found = near_duplicates(docs, shingle, percent)
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    place = F.struct("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")])
+    plain = F.struct("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind])
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
-    again = kept.join(twice, "doc_id").groupBy("doc_id").agg(F.min(place).alias("row"))
-    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+    again = kept.join(twice, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), plain).alias("row"))
+    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionAll(again)

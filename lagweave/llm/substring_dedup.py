@@ -164,6 +164,9 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs, all columns, without the repeated passages: a text that loses words becomes its remaining words joined by one blank, a row that loses all of them goes; n_chars follows."""
+    schema = docs.schema
+    own = {c: f"own_{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", "n_chars")}  # no name can clash with `batch`
+    docs = docs.withColumnsRenamed(own)
     columns = docs.columns
     plan, parts, answers = planned(docs, window)
 
@@ -179,4 +182,5 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             t = t.set_column(at, "n_chars", pa.array([len(x) if n else c for x, n, c in zip(new, lost.tolist(), was)], t.schema.field(at).type))
         return t.select(columns).filter(pa.array((lost == 0) | (lost < np.diff(offsets))))
 
-    return parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, docs.schema)
+    out = parts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, docs.schema)
+    return out.toDF(*schema.names)
