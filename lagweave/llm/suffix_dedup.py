@@ -31,18 +31,19 @@ from pyspark.sql import DataFrame
 
 from .exchange import PAYLOAD, batched, bits, gathered, grouped, pack, range_count, split, unbits, unpack
 from .runtime import documents
-from .text import U64, Chunk, chunks, covered, inverse_powers, mix64, powers, ranges
+from .text import U64, Chunk, chunks, covered, inverse_powers, libc_trim, mix64, powers, ranges
 from .text import _BYTE_CODE as BYTE_CODE
 
 LENGTH, GRAM = 400, 64
 #: Distinct contexts of one gram that one task compares at most.
-CROWD = 4096
+CROWD = 1024
 #: Bytes of contexts that are compared at a time, unless one gram has more.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 FULL, CONTEXT, STRINGS = 1, 2, 4
 _BASE = 0xA24BAED4963EE407
-_PIECE, _BITS = 1 << 20, 24
+_PIECE, _BITS = 1 << 17, 24
+_CHUNK = 1 << 18
 _COUNT = struct.Struct("<Q")
 
 
@@ -155,7 +156,7 @@ class Plan:
         self.length, self.gram, self.n_ranges, self.crowd = length, gram, n_ranges, crowd
 
     def anchors(self, column):
-        for chunk in chunks(column):
+        for chunk in chunks(column, _CHUNK):
             yield Anchors(chunk, self.length, self.gram)
 
     def known(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,6 +220,7 @@ class Plan:
         """To the ranges: contexts to compare (kind 1), hashes of strings (kind 2); to the batch itself: its decided contexts (kind 0)."""
         if not docs.num_rows or not answers.num_rows:
             return self.rows([], 0, [])
+        libc_trim()(0)
         context, code = self.told(docs, answers)
         batch = docs.column("batch")[0].as_py()
         where, data, seen, strings = [], [], set(), [np.empty(0, U64)]
@@ -253,6 +255,7 @@ class Plan:
     def compare(self, t: pa.Table) -> pa.Table:
         batch, raw = t.column("batch").to_pylist(), t.column("data").to_pylist()
         out_batch, out = [], []
+        libc_trim()(0)  # what earlier groups have freed
         some = [i for i, r in enumerate(raw) if r[0] == 1]
         if some:
             for i, reply in zip(some, self._contexts([raw[i] for i in some])):
