@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def binned(events: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(bin, event_type, n, total): counts and sums by event time; state is dropped once the watermark passes."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("bin"), "event_type", "n", "total")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("bin"), "event_type", "n", "total")
 
 
 def add_moments(store: dict, batch: DataFrame, columns: list[str]) -> None:
