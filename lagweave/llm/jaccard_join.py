@@ -5,11 +5,13 @@ Texts with the same shingle set are one class. The shingles of a set are put in
 its prefix, go into inverted lists with size and position. Two sets over the threshold share a prefix shingle.
 
 Index-level skipping: the position p of an entry bounds the size of a partner, because at most n - p shingles
-can still agree; entries are compared only within these bounds. Answer-level skipping: in a first round every list
-links its entries to one leader each, the smallest set within reach. What was verified there decides many other pairs
-without reading a set: sets of one component need no comparison, and for a set x and a member m of a leader's star the
-overlap lies between |x & L| + |m & L| - |L| and |x & L| + |m| - |m & L|, derived from the
-leader's answers. The second round compares what is left. A large group of near copies thus costs one comparison a member.
+can still agree; entries are compared only within these bounds.
+
+Answer-level skipping, in three rounds. First every list links its entries to a leader each (the same few leaders in
+all lists of a group of near copies); the linked ones are the leader's star, whose answers, the differences d to the leader, are kept.
+Then only leaders of different components that meet in a list are compared. Last, a pair x, y of different components is
+read only if the leaders' answers can't exclude it: x and y differ by d(L, M) - d(x, L) - d(y, M) at least,
+derived without reading either set. A large group of near copies thus costs a few comparisons a member.
 
 Classes, not documents, are compared; copies of a hot class reach a list or a batch at most once from each task.
 Sets are verified by their 64-bit shingle hashes. Components are found by distributed star steps.
@@ -170,7 +172,7 @@ class Join:
         token, who, n, pos = token[big], who[big], n[big], pos[big]
         if len(token):
             out.append(_table(LIST, token=token.view(np.int64), digest=who, n=n.astype(np.int32), pos=pos.astype(np.int32)))
-            a, b = self.stars(token, n, pos)
+            a, b = self.stars(token, who, n, pos)
             pair = np.unique(np.stack([who[a], who[b]]), axis=1)
             which = np.unique(np.concatenate([a, b]))
             size = dict(zip(who[which].tolist(), n[which].tolist()))
@@ -184,55 +186,91 @@ class Join:
         by_position = (100 + self.percent) * (n - pos) // self.percent - n
         return np.minimum(by_size, by_position)
 
-    def stars(self, token, n, pos) -> tuple[np.ndarray, np.ndarray]:
-        """Leader and member entries: in each list, sorted by size, the first entry leads all within its reach, then the next."""
+    def stars(self, token, who, n, pos) -> tuple[np.ndarray, np.ndarray]:
+        """Leader and member entries: in each list the entry of least priority leads all within its reach in size, then the next. Priorities are the same in all lists."""
         start, length = runs(token)
-        leaders, members = [], []
-        most = self.most(n, pos)
-        by_size = 100 * n // self.percent
+        leaders, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        most, reach = self.most(n, pos), 100 * n // self.percent
+        rank = mix64(who.view(U64))
         for a, k in zip(start.tolist(), length.tolist()):
-            i, end = a, a + k
-            while i < end - 1:
-                j = a + int(np.searchsorted(n[a:end], by_size[i], "right"))
-                m = np.arange(i + 1, j)
+            left = np.arange(a, a + k)
+            while len(left) > 1:
+                i = left[rank[left].argmin()]
+                near = (n[left] <= reach[i]) & (n[i] <= reach[left])
+                m = left[near & (left != i)]
                 m = m[(n[m] <= most[i]) & (n[i] <= most[m])]
                 leaders.append(np.full(len(m), i))
                 members.append(m)
-                i = max(j, i + 1)
-        none = np.empty(0, np.int64)
-        return np.concatenate([none, *leaders]), np.concatenate([none, *members])
-
-    def crossed(self, t: pa.Table) -> pa.Table:
-        """Pairs of classes of different labels that a list and its bounds allow."""
-        token, who, n, pos, label = (t.column(c).to_numpy() for c in ("token", "digest", "n", "pos", "label"))
-        order = np.lexsort([n, label, token])
-        token, who, n, pos, label = token[order], who[order], n[order].astype(np.int64), pos[order].astype(np.int64), label[order]
-        most = self.most(n, pos)
-        start, length = runs(token)
-        found = [np.empty((2, 0), np.int64)]
+                left = left[~near]
+        return np.concatenate(leaders), np.concatenate(members)
+
+    def groups(self, t: pa.Table):
+        """The lists with several labels: columns sorted by list, label and leader, and for each list the first entries of its (label, leader) groups."""
+        cols = {c: t.column(c).to_numpy() for c in ("token", "digest", "n", "pos", "label", "leader", "d")}
+        order = np.lexsort([cols["n"], cols["leader"], cols["label"], cols["token"]])
+        cols = {c: v[order].astype(np.int64) for c, v in cols.items()}
+        start, length = runs(cols["token"])
+        out = []
         for a, k in zip(start.tolist(), length.tolist()):
-            own = label[a : a + k]
-            if own[0] == own[-1]:
-                continue
-            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            groups = sorted(zip(np.diff(np.append(edge, k)).tolist(), (a + edge).tolist()))
-            later = np.concatenate([np.arange(s, s + c) for c, s in groups])
-            done = 0
-            for c, s in groups[:-1]:
-                done += c
-                rest = later[done:]
-                rest = rest[np.argsort(n[rest], kind="stable")]
-                size = n[rest]
-                for i in range(s, s + c):  # partners by size: a run of the sorted rest; then by their own bound
-                    low, high = np.searchsorted(size, -(-self.percent * n[i] // 100)), np.searchsorted(size, most[i], "right")
-                    j = rest[low:high]
-                    j = j[n[i] <= most[j]]
-                    if len(j):
-                        found.append(np.stack([np.full(len(j), who[i]), who[j]]))
+            label, leader = cols["label"][a : a + k], cols["leader"][a : a + k]
+            if label[0] != label[-1]:
+                edge = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (leader[1:] != leader[:-1])]))
+                out.append((a + edge, a + np.append(edge[1:], k)))
+        return cols, out
+
+    def leaders(self, t: pa.Table) -> pa.Table:
+        """Pairs of leaders of different labels whose stars meet in a list within the bounds."""
+        cols, lists = self.groups(t)
+        n, label, leader = cols["n"], cols["label"], cols["leader"]
+        most = self.most(n, cols["pos"])
+        found = [np.empty((2, 0), np.int64)]
+        for first, stop in lists:
+            low, high = n[first], n[stop - 1]  # sorted by size within a group
+            top = np.maximum.reduceat(most[first[0] : stop[-1]], first - first[0])
+            for k in range(len(first) - 1):
+                j = k + 1 + np.flatnonzero((label[first[k + 1 :]] != label[first[k]]) & (low[k + 1 :] <= top[k]) & (low[k] <= top[k + 1 :]))
+                if len(j):
+                    found.append(np.stack([np.full(len(j), leader[first[k]]), leader[first[j]]]))
+        pair = np.concatenate(found, axis=1)
+        pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
+        pair = pair[:, pair[0] != pair[1]]
+        return pa.table({"range": np.full(pair.shape[1], t.column("range")[0].as_py(), np.int64), "a": pair[0], "b": pair[1]})
+
+    def crossed(self, t: pa.Table, known: pa.Table) -> pa.Table:
+        """Pairs of different labels that a list, its bounds and the leaders' answers allow."""
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not t.num_rows:
+            return none
+        cols, lists = self.groups(t)
+        n, label, leader, d, who = (cols[c] for c in ("n", "label", "leader", "d", "digest"))
+        most = self.most(n, cols["pos"])
+        apart = dict(zip(zip(known.column("a").to_pylist(), known.column("b").to_pylist()), known.column("d").to_pylist()))
+        found = [np.empty((2, 0), np.int64)]
+        for first, stop in lists:
+            near, big = np.maximum.reduceat(d[first[0] : stop[-1]], first - first[0]), n[stop - 1]
+            for k in range(len(first) - 1):
+                own = slice(first[k], stop[k])
+                for j in range(k + 1, len(first)):
+                    if label[first[j]] == label[first[k]]:
+                        continue
+                    x, y = leader[first[k]], leader[first[j]]
+                    gap = apart.get((x, y) if x < y else (y, x), 0)
+                    if gap - near[k] - near[j] > self.allowed(big[k], big[j]):
+                        continue
+                    other = np.arange(first[j], stop[j])
+                    for i in range(own.start, own.stop):
+                        at = other[(n[other] <= most[i]) & (n[i] <= most[other]) & (gap - d[i] - d[other] <= self.allowed(n[i], n[other]))]
+                        at = at[(who[at] != leader[at])] if who[i] == leader[i] else at  # leaders have been compared
+                        if len(at):
+                            found.append(np.stack([np.full(len(at), who[i]), who[at]]))
         pair = np.concatenate(found, axis=1)
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
         return pa.table({"a": pair[0], "b": pair[1]})
 
+    def allowed(self, n1, n2):
+        """How many shingles linked sets of these sizes may not share."""
+        return n1 + n2 - 2 * need(n1, n2, self.percent)
+
     def wanted(self, batches, cells: np.ndarray):
         """Texts of the classes that may have a candidate, once from each task."""
         seen: set[int] = set()
@@ -331,34 +369,31 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> R
     linked = F.col("overlap") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     first = written(tested(stars), "stars")
     label = written(components(first.where(linked)), "labels")
-    entries = lists.join(label.withColumnRenamed("vertex", "digest"), "digest", "left").select("token", "digest", "n", "pos", F.coalesce("label", "digest").alias("label"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
-    cross = entries.groupBy("range").applyInArrow(lambda t: make().crossed(t), "a long, b long").distinct()
-    cross = cross.join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    rest = written(derived(cross, first, percent), "cross")
-    second = written(tested(rest.where("decided is null").select("a", "b")).where(linked).select("a", "b").unionAll(rest.where("decided").select("a", "b")), "links")
-    links = first.where(linked).select("a", "b").unionAll(second)
-    final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second)), "labels")
+    # each class joins the largest star that it is linked to
+    joins = first.where(linked).select(F.col("a").alias("leader"), F.col("b").alias("digest"), (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))
+    sizes = joins.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    star = joins.join(sizes, "leader").groupBy("digest").agg(F.max(F.struct("size", "leader", "d")).alias("s")).select("digest", "s.leader", "s.d")
+
+    def labelled(now: DataFrame) -> DataFrame:
+        out = lists.join(now.withColumnRenamed("vertex", "digest"), "digest", "left").join(star, "digest", "left")
+        return out.select("token", "digest", "n", "pos", F.coalesce("label", "digest").alias("label"), F.coalesce("leader", "digest").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
+
+    met = written(labelled(label).groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
+    known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
+    second = written(tested(met.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")), "leaders")
+    links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
+    label = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second.where(linked).select("a", "b"))), "labels")
+    answers = known.unionAll(second.select(known.columns)).select("a", "b", (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))
+    told = met.join(answers.distinct(), ["a", "b"]).select("range", "a", "b", "d")
+    cross = labelled(label).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long").distinct()
+    third = written(tested(cross.join(answers.select("a", "b"), ["a", "b"], "left_anti")).where(linked).select("a", "b"), "links")
+    links = links.unionAll(third)
+    final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(third)), "labels")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("vertex", "digest"), "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     return Result(members, links, classes.join(named, "label").select("digest", "component_id"))
 
 
-def derived(pairs: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with `decided`: true where the answers of a common leader prove the link, null where the sets must be read; pairs that they exclude are left out."""
-    both = tested.select(F.col("a").alias("leader"), F.col("b").alias("x"), "n_a", "n_b", "overlap").unionAll(tested.select(F.col("b").alias("leader"), F.col("a").alias("x"), F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "overlap"))
-    best = both.groupBy("x").agg(F.max_by("leader", F.struct("overlap", "leader")).alias("leader"), F.max_by("n_a", F.struct("overlap", "leader")).alias("n_l"), F.max_by("n_b", F.struct("overlap", "leader")).alias("n_m"), F.max_by("overlap", F.struct("overlap", "leader")).alias("with_m"))
-    answers = both.select("leader", "x", F.col("n_b").alias("n_x"), F.col("overlap").alias("with_x"))
-    out = None
-    for m, x in (("a", "b"), ("b", "a")):
-        part = pairs.join(best.withColumnRenamed("x", m), m).join(answers.withColumnRenamed("x", x), [x, "leader"])
-        needed = F.ceil((F.col("n_m") + F.col("n_x")) * F.lit(percent) / F.lit(100 + percent))
-        fits = F.when(F.col("with_x") + F.col("with_m") - F.col("n_l") >= needed, F.lit(True)).when(F.col("with_x") + F.col("n_m") - F.col("with_m") < needed, F.lit(False))
-        part = part.select("a", "b", fits.alias("fits")).where("fits is not null")
-        out = part if out is None else out.unionAll(part)
-    known = out.groupBy("a", "b").agg(F.max("fits").alias("decided"))
-    return pairs.join(known, ["a", "b"], "left").where("decided is null or decided").select("a", "b", "decided")
-
-
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own at most)."""
     found = joined(docs, shingle, percent)
