@@ -44,7 +44,8 @@ def block_length(r: np.ndarray, n: int, most: float = 0.1) -> int:
         a, d = a + step[0], min(max(d + step[1], 1e-6), 1 - 1e-6)
         if np.abs(step).max() < 1e-10:
             break
-    size = (4 * (d / (1 - d) + d**2 / (1 - d) ** 2) / (1 + 2 * d / (1 - d)) ** 2) ** (1 / 3) * n ** (1 / 3)
+    x = d / (1 - d)
+    size = (4 * n * (x + x * x) ** 2 / (1 + 2 * x) ** 2) ** (1 / 3)
     return int(min(max(1, size), max(1, int(most * n))))
 
 
