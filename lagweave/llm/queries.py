@@ -100,6 +100,64 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM placed WHERE
 """
 
 
+JACCARD_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[s:s + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)
+), reach(doc_id, other) AS (
+  SELECT a, b FROM link UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other
+)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1) r ON r.doc_id = d.doc_id
+"""
+
+CONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), test AS (
+  SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)
+), size AS (SELECT DISTINCT m FROM test
+), win AS (
+  SELECT r, m, s, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, size WHERE len(w) >= m)
+), hit AS (
+  SELECT r, s, win.m, item FROM win JOIN test ON win.m = test.m AND win.g = test.g
+), place AS (
+  SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + m)) AS p FROM hit) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN place ON d.r = place.r LEFT JOIN named ON d.r = named.r
+"""
+
+SUBSTRING_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT r, s, md5(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)
+), hit AS (
+  SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM hit
+), word AS (
+  SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS x FROM d
+), kept AS (
+  SELECT word.r, count(gone.p) AS n_removed, string_agg(CASE WHEN gone.p IS NULL THEN x END, ' ' ORDER BY word.p) AS k
+  FROM word LEFT JOIN gone ON word.r = gone.r AND word.p = gone.p GROUP BY word.r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept ON d.r = kept.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB over whole tables, where SQL can express the query."""
-    return {"op1_topk_search": TOPK_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_jaccard_join": JACCARD_SQL, "op4_decontamination": CONTAMINATION_SQL, "op7_substring_dedup": SUBSTRING_SQL}
