@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagweave.functions.special import chi2_sf, digamma, norm_ppf, t_ppf, t_sf
@@ -468,10 +468,9 @@ def symbols(data: Data, questions: Sequence[Question]) -> DataFrame:
 
 
 def with_margins(counts: DataFrame) -> DataFrame:
-    """counts with the margins xz, yz, z and the total of each question."""
-    for name, keys in (("n_xz", ("k", "x", "z")), ("n_yz", ("k", "y", "z")), ("n_z", ("k", "z"))):
-        counts = counts.join(counts.groupBy(*keys).agg(F.sum("c").alias(name)), list(keys))
-    return counts.join(counts.groupBy("k").agg(F.sum("c").alias("n")), "k")
+    """counts with the margins xz, yz, z and the total of each question, as sums over windows of the grouped counts."""
+    keys = {"n_xz": ("k", "x", "z"), "n_yz": ("k", "y", "z"), "n_z": ("k", "z"), "n": ("k",)}
+    return counts.withColumns({name: F.sum("c").over(Window.partitionBy(*by)) for name, by in keys.items()})
 
 
 class CMIsymb:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lagweave.operators.ci import Answer, Data, ParCorr, Question
 from lagweave.operators.embedding import Node
-from lagweave.operators.links import fdr_values, summary, to_links
+from lagweave.operators.links import LINKS, fdr_values, summary, to_links
 from lagweave.operators.moments import moments
 from lagweave.sources.panel import Panel
 
@@ -388,11 +388,8 @@ class Discovery:
         return self.repeated(self._parts(resampled(base.embedding(), samples, block, seed), tau_max), method, tau_max=tau_max, **args)
 
     def summarised(self, runs: dict[str, Found], level: float = 0.9) -> DataFrame:
-        spark, out = self.panel.df.sparkSession, None
-        for f in runs.values():
-            part = f.links(spark)
-            out = part if out is None else out.unionAll(part)
-        return summary(out, level)
+        rows = [(int(i), int(j), int(t), float(f.val[i, j, t]), float(f.p[i, j, t]), str(f.graph[i, j, t])) for f in runs.values() for i, j, t in np.ndindex(f.val.shape) if (i, t) != (j, 0)]
+        return summary(self.panel.df.sparkSession.createDataFrame(rows, LINKS + ", link string"), level)
 
 
 @dataclass
