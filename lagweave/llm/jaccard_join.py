@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import pack, range_count, split, unpack
-from .runtime import documents, slots, volume, written
+from .runtime import documents, volume, written
 from .text import SPACED, U64, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -344,7 +344,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> R
     _, n_bytes = volume(docs, "text")
     counts = sketch(docs, lambda batch: ((np.concatenate([np.empty(0, U64), *sets]) >> U64(64 - 20)).astype(np.int64) for _, sets in shingle_sets(batch.column("text"), shingle)), CELLS, 2**31 - 1)
     order = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + counts), 65535).astype(np.uint16))
-    n_ranges, n_batches = range_count(spark, n_bytes // 40), max(1, 2 * slots(spark), -(-n_bytes // BATCH_BYTES))
+    # a set is sent once to each batch that asks for it, so batches are as few as their size allows
+    n_ranges, n_batches = range_count(spark, n_bytes // 40), max(16, -(-n_bytes // BATCH_BYTES))
 
     def make() -> Join:
         return Join(shingle, percent, n_ranges, n_batches, order.value)
