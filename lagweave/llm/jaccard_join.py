@@ -255,7 +255,7 @@ class Join:
                         continue
                     x, y = leader[first[k]], leader[first[j]]
                     gap = apart.get((x, y) if x < y else (y, x), 0)
-                    if gap - near[k] - near[j] > self.allowed(big[k], big[j]):
+                    if gap - near[k] - near[j] > self.allowed_within(big[k], big[j]):
                         continue
                     other = np.arange(first[j], stop[j])
                     for i in range(own.start, own.stop):
@@ -271,6 +271,10 @@ class Join:
         """How many shingles linked sets of these sizes may not share."""
         return n1 + n2 - 2 * need(n1, n2, self.percent)
 
+    def allowed_within(self, n1, n2):
+        """A bound of allowed() for sets of at most these sizes; allowed() itself falls and rises from size to size."""
+        return (100 - self.percent) * (n1 + n2) // (100 + self.percent)
+
     def wanted(self, batches, cells: np.ndarray):
         """Texts of the classes that may have a candidate, once from each task."""
         seen: set[int] = set()

@@ -128,6 +128,15 @@ def test_jaccard_chain_of_near_copies(spark):
     assert got == {k: 0 for k, _ in rows[:-1]} | {999: 999}
 
 
+@pytest.mark.parametrize(("percent", "core", "sets"), [(85, 16, ("v l1 l2", "v u", "u y1 y2")), (80, 15, ("v l1 l2", "v u", "u y1 y2 y3"))])
+def test_jaccard_links_beside_larger_members(spark, percent, core, sets):
+    """The second set links the others, which do not link; what sets may not share is less for the largest sizes of the groups than for the linked ones."""
+    rows = [(3 * g + k, " ".join(f"c{g}x{i}" for i in range(core)) + " " + s) for g in range(20) for k, s in enumerate(sets)]
+    rows += [(1000 + k, f"v u l1 l2 y1 y2 y3 z{k}") for k in range(40)]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent)
+    assert bag(got.collect()) == brute_components(rows, 1, percent)
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
