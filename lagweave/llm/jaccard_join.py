@@ -13,6 +13,11 @@ Then only leaders of different components that meet in a list are compared. Last
 read only if the leaders' answers can't exclude it: x and y differ by d(L, M) - d(x, L) - d(y, M) at least,
 derived without reading either set. A large group of near copies thus costs a few comparisons a member.
 
+These rounds give the components, which is what near_duplicates, one_of_each and the queries need, and of the links a part that
+spans them. joined(complete=True) adds a fourth round for all links, inside components too: the answers of two members' leaders
+bound their difference from both sides, and only pairs that the bounds leave open are read. All links of a group are as many as
+its pairs of different texts.
+
 Classes, not documents, are compared; copies of a hot class reach a list or a batch at most once from each task.
 Sets are verified by their 64-bit shingle hashes. Components are found by distributed star steps.
 
@@ -41,6 +46,8 @@ SHINGLE, PERCENT = 4, 85
 CELLS, FILTER_CELLS = 1 << 20, 1 << 24
 SLICES = 16
 BATCH_BYTES = 4 << 20
+#: Pairs that a task of the complete mode gathers before it drops repeated ones.
+PAIRS = 1 << 22
 INDEX = "kind int, token long, digest long, n int, pos int, doc_id long, other long"
 LIST, MEMBER, STAR = 0, 1, 2
 
@@ -267,6 +274,37 @@ class Join:
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
         return pa.table({"a": pair[0], "b": pair[1]})
 
+    def derived(self, t: pa.Table, known: pa.Table) -> pa.Table:
+        """All pairs of classes that a list, its bounds and the leaders' answers allow, and whether these answers alone link them."""
+        parts = [np.empty((3, 0), np.int64)]
+        if t.num_rows:
+            n, leader, d, who, token = (t.column(c).to_numpy().astype(np.int64) for c in ("n", "leader", "d", "digest", "token"))
+            most = self.most(n, t.column("pos").to_numpy().astype(np.int64))
+            apart = dict(zip(zip(known.column("a").to_pylist(), known.column("b").to_pylist()), known.column("d").to_pylist()))
+            order = np.argsort(token, kind="stable")
+            start, length = runs(token[order])
+            ready = 0
+            for a, k in zip(start.tolist(), length.tolist()):
+                row = order[a : a + k]
+                for i in range(k - 1):
+                    x, y = row[i], row[i + 1 :]
+                    y = y[(n[y] <= most[x]) & (n[x] <= most[y])]
+                    if not len(y):
+                        continue
+                    lead, which = np.unique(leader[y], return_inverse=True)
+                    own = int(leader[x])
+                    gap = np.array([0 if m == own else apart.get((min(own, m), max(own, m)), -1) for m in lead.tolist()], np.int64)[which]
+                    told, most_apart = gap >= 0, self.allowed(n[x], n[y])
+                    least = np.where(told, np.maximum(np.maximum(gap - d[x] - d[y], d[x] - gap - d[y]), d[y] - gap - d[x]), 0)
+                    sure, maybe = told & (gap + d[x] + d[y] <= most_apart), least <= most_apart
+                    parts.append(np.stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y]), sure])[:, maybe])
+                    ready += int(maybe.sum())
+                    if ready > PAIRS:  # pairs that meet in several lists are dropped as they come
+                        parts = [np.unique(np.concatenate(parts, axis=1), axis=1)]
+                        ready = 0
+        pair = np.unique(np.concatenate(parts, axis=1), axis=1)
+        return pa.table({"a": pair[0], "b": pair[1], "sure": pair[2]})
+
     def allowed(self, n1, n2):
         """How many shingles linked sets of these sizes may not share."""
         return n1 + n2 - 2 * need(n1, n2, self.percent)
@@ -336,13 +374,13 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Result:
-    """members (doc_id, n, digest), links (a, b: linked classes), label (digest, component)."""
+    """members (doc_id, n, digest), links (a, b: linked classes; all of them, once and a < b, if complete, else a part that spans the components), classes (digest, component_id)."""
 
     def __init__(self, members: DataFrame, links: DataFrame, classes: DataFrame):
         self.members, self.links, self.classes = members, links, classes
 
 
-def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> Result:
+def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, complete: bool = False) -> Result:
     spark = docs.sparkSession
     docs = documents(docs)
     _, n_bytes = volume(docs, "text")
@@ -393,12 +431,31 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> R
     cross = labelled(label).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long").distinct()
     third = written(tested(cross.join(answers.select("a", "b"), ["a", "b"], "left_anti")).where(linked).select("a", "b"), "links")
     links = links.unionAll(third)
+    if complete:
+        # leaders of stars that meet in a list, now of the same component too
+        own = lambda: labelled(label).withColumn("label", F.col("leader"))
+        near = written(own().groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
+        more = written(tested(near.select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")), "leaders")
+        answers = answers.unionAll(more.select("a", "b", (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))).distinct()
+        told = near.join(answers, ["a", "b"]).select("range", "a", "b", "d")
+        pairs = own().groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().derived(t, k), "a long, b long, sure long")
+        pairs = written(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
+        links = pairs.where("sure = 1").select("a", "b").unionAll(written(tested(pairs.where("sure = 0").select("a", "b")).where(linked).select("a", "b"), "links"))
     final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(third)), "labels")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("vertex", "digest"), "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     return Result(members, links, classes.join(named, "label").select("digest", "component_id"))
 
 
+def linked_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """All pairs a < b of different doc_ids whose texts reach the threshold, equal texts among them: as many rows as the answer has."""
+    found = joined(docs, shingle, percent, complete=True)
+    named = found.members.where("n > 0 and doc_id is not null").select("doc_id", "digest").distinct()
+    links = found.links.unionAll(found.links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionAll(named.select(F.col("digest").alias("a"), F.col("digest").alias("b")).distinct())
+    left, right = named.select(F.col("doc_id").alias("x"), F.col("digest").alias("a")), named.select(F.col("doc_id").alias("y"), F.col("digest").alias("b"))
+    return left.join(links, "a").join(right, "b").where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, its own at most)."""
     found = joined(docs, shingle, percent)

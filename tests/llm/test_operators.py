@@ -137,6 +137,24 @@ def test_jaccard_links_beside_larger_members(spark, percent, core, sets):
     assert bag(got.collect()) == brute_components(rows, 1, percent)
 
 
+@pytest.mark.parametrize(("n", "percent"), [(4, 85), (1, 60)])
+def test_jaccard_all_links(spark, docs, rows, empty, n, percent):
+    """Every linked pair comes back, those inside a star and between members of stars of one component too."""
+    rng = np.random.default_rng(12)
+    more = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(60)]
+        for _ in range(9):
+            kept = [w if rng.random() > 0.015 else f"x{rng.integers(99)}" for w in base]
+            more.append((len(rows) + len(more) + 100, " ".join(kept[: 60 - int(rng.integers(0, 6))])))
+    table = docs.select("doc_id", "text").unionAll(spark.createDataFrame(more, "doc_id long, text string"))
+    sets = [(r[0], shingles(r[1], n)) for r in [*rows, *more] if r[0] is not None]
+    want = {(a, b) for a, s in sets for b, t in sets if a < b and s and t and 100 * len(s & t) >= percent * len(s | t)}
+    assert len(want) > 100
+    assert bag(jaccard_join.linked_pairs(table, n, percent).collect()) == bag(want)
+    assert jaccard_join.linked_pairs(empty, n, percent).count() == 0
+
+
 def test_one_of_each(docs, rows):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
