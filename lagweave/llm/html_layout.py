@@ -4,7 +4,7 @@ A scanner splits the markup into tags, text, comments and raw-text elements. A t
 opens and closes elements with the implied tags of HTML (p, li, dt/dd, option, table parts,
 unclosed elements at an outer end tag). Visibility rules drop what a browser would not show: head, script, style,
 template and the like, `hidden`, inline display:none or visibility:hidden, hidden inputs, closed
-details. A renderer then lays the tree out as text: inline white space collapses, blocks stand on lines of
+details. Of svg the text elements and foreign objects are kept, of math all but annotations. A renderer then lays the tree out as text: inline white space collapses, blocks stand on lines of
 their own with blank lines where margins are, lists are indented with bullets or numbers,
 `pre` keeps its white space, and table cells are padded so that columns align.
 
@@ -28,12 +28,19 @@ RESULT = "page_id long, url string, text string, n_blocks long, n_tables long"
 # Fixed values of the HTML standard: element groups by name.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title meta link base param source track area map".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas datalist title meta link base param source track area".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li listing main menu nav ol optgroup option p pre search section select summary table ul caption hr".split())
 SPACED = frozenset("p blockquote dl figure h1 h2 h3 h4 h5 h6 ol ul pre table fieldset hr listing menu dir".split())
 TABLE_PART = frozenset("tr td th thead tbody tfoot caption colgroup col".split())
 CLOSES_P = BLOCK - frozenset("body html option optgroup legend caption select".split())
-SCOPE = frozenset("table td th caption html template button object body".split())
+SCOPE = frozenset("table td th caption html template button object body foreignobject annotation-xml".split())
+#: What leaves an open head open.
+IN_HEAD = frozenset("head base basefont bgsound link meta title noscript noframes script style template".split())
+#: In svg and math: elements that hold html again, start tags that end the foreign part, elements that show nothing, and texts that stand apart.
+POINTS = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient annotation annotation-xml".split())
+APART = frozenset("text mtd".split())
 FORMAT = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
 #: Start tags that end open elements of these names, up to the listed limits.
 IMPLIED = {
@@ -54,17 +61,21 @@ IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPL
 
 #: Tables in tables that are aligned; deeper ones are rendered as plain blocks.
 NESTED = 40
-_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<decl>[^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|/[^a-zA-Z>][^>]*(?:>|\Z)|/>)", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A name, and after = a value: a quote counts only at its begin; an open one runs to the end of the page.
+_PAIR = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f\"'>][^ \t\n\r\f>]*+)|(?=>)))?+"
+_ATTR = re.compile(_PAIR)
+_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|[!?](?P<decl>[^>]*)(?:>|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^ \t\n\r\f/>]*+)(?P<attrs>(?:[ \t\n\r\f/]++|" + _PAIR + r")*+)(?:(?P<close>>)|\Z)|/[^a-zA-Z>][^>]*(?:>|\Z)|/>)", re.S)
 _HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "children", "name")
+    """kind: "math", "svg" or, inside its text elements, "svg text", where foreign rules hold; else ""."""
 
-    def __init__(self, name: str, attrs: dict[str, str] | None = None):
-        self.name, self.attrs, self.children = name, attrs or {}, []
+    __slots__ = ("attrs", "children", "kind", "name")
+
+    def __init__(self, name: str, attrs: dict[str, str] | None = None, kind: str = ""):
+        self.name, self.attrs, self.children, self.kind = name, attrs or {}, [], kind
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -89,17 +100,35 @@ def parse(html: str) -> Node:
         at = m.end()
         name = m["name"]
         if name is None:
+            if stack[-1].kind and html.startswith("<![CDATA[", m.start()):
+                stop = html.find("]]>", m.start())
+                if stack[-1].kind != "svg":
+                    stack[-1].children.append(html[m.start() + 9 : stop if stop >= 0 else n])
+                at = stop + 3 if stop >= 0 else n
             continue
+        if not m["close"]:
+            break  # the page ends inside the tag
         name = name.lower()
         if m["end"]:
             _end(stack, name)
             continue
         raw = m["attrs"]
         attrs = attributes(raw) if raw and not raw.isspace() else {}
+        if stack[-1].kind and (name in BREAKOUT or (name == "font" and attrs.keys() & {"color", "face", "size"})):
+            _leave(stack)
+        if name == "body" and len(stack) > 1 and stack[1].name == "head" and all(x.name != "template" for x in stack):
+            del stack[1:]
+        if name == "head" and len(stack) > 1:
+            continue
         if name in ("html", "body"):
             for k, v in attrs.items():
                 root.attrs.setdefault(k, v)
             continue
+        if stack[-1].kind or name in ("svg", "math"):
+            if not stack[-1].kind and stack[-1].name == "head":
+                stack.pop()
+            _foreign(stack, name, attrs, raw)
+            continue
         _start(stack, name, attrs)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
@@ -116,13 +145,39 @@ def parse(html: str) -> Node:
 
 
 def _text(stack: list[Node], raw: str) -> None:
+    if stack[-1].kind == "svg":
+        return  # only text elements are drawn
+    if stack[-1].name == "head" and raw.strip(" \t\n\r\f"):
+        stack.pop()
     stack[-1].children.append(unescape(raw) if "&" in raw else raw)
 
 
+def _leave(stack: list[Node]) -> None:
+    while stack[-1].kind:
+        stack.pop()
+
+
+def _foreign(stack: list[Node], name: str, attrs: dict[str, str], raw: str) -> None:
+    """A start tag of svg or math, or inside them: no implied tags, and a slash at its end closes it."""
+    kind = stack[-1].kind or name
+    if name in ("svg", "math"):
+        kind = name
+    elif name in POINTS:
+        kind = ""
+    elif name == "text" and kind == "svg":
+        kind = "svg text"
+    if name in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") in ("hidden", "collapse"):
+        attrs = attrs | {"hidden": ""}
+    node = Node(name, attrs, kind)
+    stack[-1].children += [" ", node, " "] if name in APART else [node]
+    if not (raw.endswith("/") and max((m.end() for m in _ATTR.finditer(raw)), default=0) < len(raw)):
+        stack.append(node)
+
+
 def _start(stack: list[Node], name: str, attrs: dict[str, str]) -> None:
     if name in CLOSES_P or name in TABLE_PART:
         _close(stack, frozenset(("p",)), SCOPE)
-    if stack[-1].name == "head" and name not in UNSEEN and name not in RAW:
+    if stack[-1].name == "head" and name not in IN_HEAD:
         stack.pop()
     if name in IMPLIED:
         names, limits = IMPLIED[name]
@@ -159,6 +214,8 @@ def _close(stack: list[Node], names: frozenset[str], limits: frozenset[str]) ->
 def _end(stack: list[Node], name: str) -> None:
     if name in ("html", "body"):
         return
+    if name in ("br", "p") and stack[-1].kind:
+        _leave(stack)
     if name == "br":
         stack[-1].children.append(Node("br"))
         return

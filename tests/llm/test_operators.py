@@ -176,6 +176,29 @@ def test_html():
         html_layout.text_of(broken)
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<head><title>T</title><body>Hello <b>w</b>", "Hello w"),
+        ("<html><head><meta charset=x> Hello <b>w</b>", "Hello w"),
+        ("<head><title>T</title><textarea>seen</textarea>", "seen"),
+        ("a<head>b<i>c</i>", "abc"),
+        ("<table><tr><td title=it's>visible one</td><td>don't lose</td></table>", "visible one  don't lose"),
+        ("<p class=a\"b>one</p><p title='x>y'>two</p><p =\"q>three</p><p a=>four", "one\n\ntwo\n\nthree\n\nfour"),
+        ("one<p title='open>two", "one"),
+        ("x<br/>y<a href=z/>k</a>", "x\nyk"),
+        ("<svg><title/><path d='M0'/><style/><text x=1>A</text><text>B<tspan>C</tspan></text><desc>no</desc></svg>D", "A BC D"),
+        ("<svg/>after <svg><path><p>out", "after\n\nout"),
+        ("<svg><g><foreignObject><p>in<p>two</foreignObject></g><defs><text>no</text></defs></svg>end", "in\n\ntwo\n\nend"),
+        ("<math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn><annotation>no</annotation></math> and", "x=1 and"),
+        ("<svg><text><![CDATA[a > b]]></text></svg>", "a > b"),
+        ("<map name=m><area alt=x href=y>inside <a href=z>map</a></map>", "inside map"),
+    ],
+)
+def test_html_keeps_visible_text(page, want):
+    assert html_layout.text_of(page)[0] == want
+
+
 def test_html_keeps_words(spark):
     rows = [(1, "u", "<p>a b</p>", 9), (2, None, None, 9), (3, "u", "", 9), (3, "u", "", 9), (None, "v", "<b>" + "word " * 50_000, 9)]
     got = html_layout.rendered(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
