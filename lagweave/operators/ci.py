@@ -11,6 +11,7 @@ import math
 from collections import deque
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -413,24 +414,41 @@ class CMIknn(SampleTest):
 
 
 def distance_correlation(x: np.ndarray, y: np.ndarray) -> float:
-    """Of two one-dimensional samples."""
+    """Of two one-dimensional samples, a block of rows of their distances at a time."""
+    n = len(x)
+
+    def mean_distances(v):
+        order = np.argsort(v, kind="stable")
+        w = v[order]
+        total = np.cumsum(w)
+        out = np.empty(n)
+        out[order] = (w * (2 * np.arange(1, n + 1) - n) + total[-1] - 2 * total) / n
+        return out
+
+    parts = [(v, m := mean_distances(v), m.mean()) for v in (np.asarray(x, float), np.asarray(y, float))]
+    ab = aa = bb = 0.0
+    step = max(1, (1 << 18) // max(n, 1))
+    for k in range(0, n, step):
+        a, b = (np.abs(v[k : k + step, None] - v[None]) - m[None] - m[k : k + step, None] + g for v, m, g in parts)
+        ab, aa, bb = ab + np.vdot(a, b), aa + np.vdot(a, a), bb + np.vdot(b, b)
+    scale = math.sqrt(aa * bb)
+    return math.sqrt(max(ab, 0) / scale) if scale > 0 else 0.0
 
-    def centred(v):
-        d = np.abs(v[:, None] - v[None])
-        return d - d.mean(0) - d.mean(1)[:, None] + d.mean()
 
-    a, b = centred(x), centred(y)
-    scale = math.sqrt((a * a).mean() * (b * b).mean())
-    return math.sqrt(max((a * b).mean(), 0) / scale) if scale > 0 else 0.0
+@lru_cache(maxsize=64)
+def null_distance_correlations(n: int, samples: int) -> np.ndarray:
+    """Distance correlations of independent uniform samples of n rows; they shrink with n, so every n has its own."""
+    rng = np.random.default_rng([n, samples])
+    return np.array([distance_correlation(*rng.random((2, n))) for _ in range(samples)])
 
 
 class GPDC(SampleTest):
-    """Distance correlation of the ranks of Gaussian-process residuals; length scale and noise by marginal likelihood on a grid, p from independent uniform samples."""
+    """Distance correlation of the ranks of Gaussian-process residuals; length scale and noise by marginal likelihood on a grid, p from independent uniform samples of as many rows."""
 
     name, two_sided = "gp_dc", False
 
-    def __init__(self, samples: int = 300, most: int = 1500):
-        self.samples, self.most = samples, most
+    def __init__(self, samples: int = 300):
+        self.samples = samples
 
     def fitted(self, target: np.ndarray, z: np.ndarray) -> np.ndarray:
         z = (z - z.mean(0)) / z.std(0)
@@ -454,8 +472,7 @@ class GPDC(SampleTest):
             a, b = self.fitted(a, z), self.fitted(b, z)
         rank = lambda v: np.searchsorted(np.sort(v), v, "right") / len(v)
         val = distance_correlation(rank(a), rank(b))
-        null = [distance_correlation(*rng.random((2, min(len(a), self.most)))) for _ in range(self.samples)]
-        return val, float(np.mean(np.array(null) > abs(val)))
+        return val, float(np.mean(null_distance_correlations(len(a), self.samples) > abs(val)))
 
 
 def symbols(data: Data, questions: Sequence[Question]) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from lagweave.operators import links as L
-from lagweave.operators.ci import GPDC, CMIknn, CMIsymb, Data, GSquared, OracleCI, PairwiseMultCI, ParCorr, ParCorrMult, ParCorrWLS, Question, RobustParCorr, cmi
+from lagweave.operators.ci import GPDC, CMIknn, CMIsymb, Data, GSquared, OracleCI, PairwiseMultCI, ParCorr, ParCorrMult, ParCorrWLS, Question, RobustParCorr, cmi, distance_correlation
 from lagweave.plans.pcmci import Discovery, assumptions
 from lagweave.sources.panel import Panel
 from lagweave.sources.processes import structural_process
@@ -45,6 +45,21 @@ def test_sample_tests_tell_links_apart(spark, chain, test):
     assert linked.p < 0.05 < apart.p
 
 
+def test_gpdc_null_has_the_size_of_the_sample():
+    """p of independent samples is spread over 0..1; with a null of fewer rows it is near 1."""
+    rng = np.random.default_rng(5)
+    p = [GPDC(samples=40).raw(*rng.normal(size=(2, 4000))).p for _ in range(12)]
+    assert 0.25 < np.mean(p) < 0.75 and min(p) < 0.35
+
+
+def test_distance_correlation_in_blocks():
+    x, y = np.random.default_rng(6).normal(size=(2, 1100))
+    y = y + np.abs(x)
+    a, b = (np.abs(v[:, None] - v[None]) for v in (x, y))
+    a, b = (d - d.mean(0) - d.mean(1)[:, None] + d.mean() for d in (a, b))
+    assert np.isclose(distance_correlation(x, y), np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean())), rtol=1e-9)
+
+
 def test_multivariate(spark, chain):
     data = Data(Panel.from_arrays(spark, chain), 1)
     linked, apart = Question(((0, -1), (2, -1)), ((1, 0), (2, 0))), Question(((2, -1),), ((0, 0),), ((0, -1), (1, -1)))
