@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .exchange import pack, range_count, split, unpack
@@ -374,7 +375,7 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Result:
-    """members (doc_id, n, digest), links (a, b: linked classes; all of them, once and a < b, if complete, else a part that spans the components), classes (digest, component_id)."""
+    """members (doc_id, n, digest), links (a, b: linked classes; all of them, once and a < b, if complete, else a part that spans the components), classes (digest, component_id, label)."""
 
     def __init__(self, members: DataFrame, links: DataFrame, classes: DataFrame):
         self.members, self.links, self.classes = members, links, classes
@@ -444,7 +445,7 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(third)), "labels")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("vertex", "digest"), "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return Result(members, links, classes.join(named, "label").select("digest", "component_id"))
+    return Result(members, links, classes.join(named, "label").select("digest", "component_id", "label"))
 
 
 def linked_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -463,12 +464,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with one row (the smallest doc_id, once) of each group of near duplicates; rows with null doc_id stay."""
-    found = near_duplicates(docs, shingle, percent)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    plain = F.struct("text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind])
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    twice = kept.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
-    again = kept.join(twice, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), plain).alias("row"))
-    again = again.select(*[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionAll(again)
+    """docs, all columns, with one row (the smallest doc_id, once) of each group of near duplicates; rows with null doc_id stay.
+    Rows that share a doc_id are told apart by their texts."""
+    found = joined(docs, shingle, percent)
+    members = found.members.join(found.classes, "digest", "left")
+    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
+    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").join(twice, "doc_id", "left_anti").select(docs.columns)
+    again = docs.join(twice, "doc_id").select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
+
+    def digests(batches):
+        for batch in batches:
+            name = [digest(s) if len(s) else 0 for _, sets in shingle_sets(batch.column("text"), shingle) for s in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), batch.column("row")], ["digest", "row"])
+
+    again = again.mapInArrow(digests, StructType([StructField("digest", LongType()), again.schema["row"]])).join(found.classes, "digest", "left")
+    again = again.where(F.coalesce("component_id", "row.doc_id") == F.col("row.doc_id"))
+    plain = F.struct(*[F.col("row").getField(c) for c in ["text", *[c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]]])
+    again = again.groupBy(F.col("row.doc_id").alias("doc_id"), "label").agg(F.min_by("row", plain).alias("row"))
+    return kept.unionAll(again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))

@@ -164,6 +164,14 @@ def test_one_of_each(docs, rows):
     assert ids.count(None) == 2
 
 
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    """Only the row whose own text has a near copy goes; other texts under its id stay, each once."""
+    text = lambda a: " ".join(f"{a}{k}" for k in range(40))
+    rows = [(1, text("a")), (2, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (3, text("d") + " end"), (4, text("d")), (5, None), (5, "")]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert bag(kept.collect()) == bag([(1, text("a")), (2, text("b")), (3, text("c")), (3, text("d")), (5, None)])
+
+
 # -- 3
 
 
