@@ -167,18 +167,25 @@ def occurrences(shard: Shard, bench: Benchmark, suffixes) -> tuple[np.ndarray, n
     return shard.place[shard.order[ranges(low[hit], n)]], np.repeat(wide[hit], n), np.repeat(item[hit], n)
 
 
-def longest(shard: Shard, bench: Benchmark, suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """For every item suffix its longest verbatim match in the shard: words, and the word position (-1: none)."""
-    item, start, rest, _ = suffixes
-    best, where = np.zeros(len(item), np.int64), np.full(len(item), -1, np.int64)
+def longest(shard: Shard, bench: Benchmark, start: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """For every item suffix the words of its longest verbatim match in the shard."""
+    best = np.zeros(len(start), np.int64)
     if len(shard.order):
         low = bounds(shard.seq, shard.order, bench.ids, start, rest, False)
         for near in (low - 1, low):
             ok = np.flatnonzero((near >= 0) & (near < len(shard.order)))
             common, _ = compare(shard.seq, shard.order[near[ok]], bench.ids, start[ok], rest[ok])
-            better = common > best[ok]
-            best[ok[better]], where[ok[better]] = common[better], shard.place[shard.order[near[ok[better]]]]
-    return best, where
+            best[ok] = np.maximum(best[ok], common)
+    return best
+
+
+def first_match(shard: Shard, bench: Benchmark, start: np.ndarray, length: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For every match (item suffix, words) the least key of all its places; key is by place in the suffix array."""
+    if not len(start):
+        return np.empty(0, np.int64)
+    low, high = (bounds(shard.seq, shard.order, bench.ids, start, length, after) for after in (False, True))
+    pair, which = np.unique(np.stack([low, high]), axis=1, return_inverse=True)
+    return np.minimum.reduceat(np.append(key, len(key)), pair.T.ravel())[::2][which.ravel()]
 
 
 def blocks(benchmark: DataFrame, window: int) -> list:
@@ -275,35 +282,49 @@ def _rows(doc_id, n_words, n_hit, items) -> pa.RecordBatch:
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per benchmark item: its longest verbatim match in the corpus and one place of it (MATCHES); ties go to the smaller document, then place."""
+    """Per benchmark item: its longest verbatim match in the corpus and one place of it (MATCHES); ties go to the smaller document, then place, then place in the item. Matches of any length count, a single word too."""
     found = blocks(benchmark, window)
     out = None
     for block in found:
 
         def best(batches, block=block):
             bench = block.value
-            deep = int(np.diff(bench.offsets).max(initial=1))
-            for batch, chunk, shard, bench, suffixes in _found(batches, block, deep):
-                length, where = longest(shard, bench, suffixes)
+            size = np.diff(bench.offsets)
+            deep = int(size.max(initial=1))
+            items, starts = np.repeat(np.arange(len(size)), size), np.arange(bench.offsets[-1])
+            for batch, chunk in ((b, c) for b in batches for c in chunks(b.column("text"), SHARD_BYTES)):
+                shard = Shard.build(chunk, bench, deep, 1)
                 ids = batch.column("doc_id").slice(chunk.first, len(chunk))
-                item, start = suffixes[0], suffixes[1]
-                order = np.lexsort([start, -length, item])
+                length = longest(shard, bench, starts, bench.offsets[items + 1] - starts)
+                top = np.zeros(len(size), np.int64)
+                np.maximum.at(top, items, length)
+                best_of = np.flatnonzero((length > 0) & (length == top[items]))
+                item, start, length = items[best_of], starts[best_of], length[best_of]
+                # places by document, those without an id last
+                at = shard.place[shard.order]
+                text = np.searchsorted(shard.offsets, at, "right") - 1
+                none, number = np.array(ids.is_null()), np.array(ids.fill_null(0))
+                by_document = np.lexsort([at - shard.offsets[text], number[text], none[text]])
+                key = np.empty(len(at), np.int64)
+                key[by_document] = np.arange(len(at))
+                least = first_match(shard, bench, start, length, key)
+                order = np.lexsort([start, least, item])
                 order = order[np.concatenate([[True], item[order][1:] != item[order][:-1]])] if len(order) else order
-                order = order[length[order] > 0]
-                text = np.searchsorted(shard.offsets, where[order], "right") - 1
+                where = at[by_document[least[order]]]
+                text = np.searchsorted(shard.offsets, where, "right") - 1
                 yield pa.RecordBatch.from_pydict(
                     {
                         "item_id": pa.array([bench.names[i] for i in item[order]], pa.string()),
                         "item_start": start[order] - bench.offsets[item[order]],
                         "length": length[order],
                         "doc_id": ids.take(pa.array(text)),
-                        "doc_start": where[order] - shard.offsets[text],
+                        "doc_start": where - shard.offsets[text],
                     }
                 )
 
         part = documents(docs).mapInArrow(best, MATCHES)
         out = part if out is None else out.unionAll(part)
-    first = F.max_by(F.struct("item_start", "length", "doc_id", "doc_start"), F.struct("length", -F.col("doc_id"), -F.col("doc_start"))).alias("m")
+    first = F.max_by(F.struct("item_start", "length", "doc_id", "doc_start"), F.struct("length", -F.col("doc_id"), -F.col("doc_start"), -F.col("item_start"))).alias("m")
     return out.groupBy("item_id").agg(first).select("item_id", "m.*")
 
 

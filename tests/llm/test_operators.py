@@ -251,6 +251,32 @@ def test_contamination(spark, docs, rows, empty, monkeypatch, block_bytes):
     assert best["10"]["length"] == len(rows[12][1].split()) and best["10"]["doc_id"] == 12
 
 
+def test_longest_matches_of_any_length(spark):
+    """Against brute force: matches below a window, at an item's end, and ties."""
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 25, n))
+    docs = [(int(k), prose(40)) for k in rng.permutation(30)] + [(None, prose(60)), (70, None), (71, "only here zz")]
+    items = [(str(k), prose(int(rng.integers(1, 30)))) for k in range(25)] + [("end", "q1 q2 q3 only here zz"), ("none", "q1 q2 q3"), ("null", None)]
+    want = {}
+    for name, t in items:
+        w = (t or "").split()
+        hits = []
+        for d, x in docs:
+            v = (x or "").split()
+            for i in range(len(w)):
+                for j in range(len(v)):
+                    k = 0
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    if k:
+                        hits.append((-k, d is None, d or 0, j, i, d))
+        if hits:
+            k, _, _, j, i, d = min(hits)
+            want[name] = (i, -k, d, j)
+    got = decontaminate.longest_matches(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), spark.createDataFrame(items, "item_id string, text string"))
+    assert {r["item_id"]: tuple(r)[1:] for r in got.collect()} == want
+
+
 # -- 5 and 10
 
 
