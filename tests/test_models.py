@@ -1,3 +1,5 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,18 @@ def test_adjustment_in_a_confounded_graph():
     assert Adjustment(g, [(0, 0)], [(1, 0)]).optimal() is None
 
 
+def test_all_minimal_adjustment_sets_of_any_size():
+    """Five confounders, one of them by a chain of two nodes; against all subsets."""
+    g = np.full((8, 8), "", dtype="<U3")
+    for i, j in [(k, e) for k in range(2, 6) for e in (0, 1)] + [(6, 0), (6, 7), (7, 1), (0, 1)]:
+        g[i, j], g[j, i] = "-->", "<--"
+    a = Adjustment(g, [(0, 0)], [(1, 0)])
+    want = []
+    for d in range(7):
+        want += [set(c) for c in combinations(sorted(a.possible), d) if a.valid(c) and not any(o <= set(c) for o in want)]
+    assert a.all_minimal() == want and [len(c) for c in want] == [5, 5] and a.all_minimal(3) == []
+
+
 def test_graph_tools():
     assert reverse("o->") == "<-o" and matches("-->", "*->") and not matches("", "***")
     g = TimeGraph(from_links(CHAIN), 4)
