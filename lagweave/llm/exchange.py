@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from .runtime import slots, volume
 
-BATCH_BYTES = 4 << 20
+#: Bytes of text in a batch; they grow with the corpus, so that a batch has some dozens of hashes for each range, up to a bound that a worker can hold.
+BATCH_BYTES, MOST_BATCH_BYTES = 4 << 20, 64 << 20
 #: Distinct hashes that a range holds, about.
 RANGE_HASHES = 2_000_000
 _HEAD = struct.Struct("<QBQ")
@@ -61,9 +62,10 @@ def unbits(raw: bytes, n: int, at: int = 0) -> np.ndarray:
     return np.unpackbits(np.frombuffer(raw, np.uint8, -(-n // 8), at), count=n).astype(bool)
 
 
-def batched(docs: DataFrame, text: str = "text", batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int, int]:
+def batched(docs: DataFrame, text: str = "text") -> tuple[DataFrame, int, int]:
     """docs with a column `batch`, the number of batches, and the bytes of text."""
     _, n_bytes = volume(docs, text)
+    batch_bytes = min(MOST_BATCH_BYTES, max(BATCH_BYTES, n_bytes >> 15))
     n = max(1, 2 * slots(docs.sparkSession), -(-n_bytes // batch_bytes))
     key = [F.col(c) for c in ("doc_id", text) if c in docs.columns]
     return docs.withColumn("batch", F.pmod(F.xxhash64(*key), F.lit(n))), n, n_bytes
@@ -73,18 +75,30 @@ def range_count(spark, n_hashes: int) -> int:
     return max(1, min(slots(spark), 4096), -(-n_hashes // RANGE_HASHES))
 
 
-def split(sorted_hashes: np.ndarray, n_ranges: int, width: int) -> np.ndarray:
-    """Where each of n_ranges equal ranges of width-bit values starts in sorted_hashes; one more entry for the end."""
-    edges = np.array([(k << width) // n_ranges for k in range(n_ranges)], np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, edges), len(sorted_hashes))
+def range_of(hashes: np.ndarray, n_ranges: int, width: int) -> np.ndarray:
+    """Which of n_ranges equal ranges of width-bit values (32 at least) each hash falls into."""
+    return (((hashes >> np.uint64(width - 32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int64)
+
+
+def parted(sorted_hashes: np.ndarray, n_ranges: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that sorted_hashes fall into, and where each one's start; one entry more for the end. Costs no more for more ranges."""
+    where = range_of(sorted_hashes, n_ranges, width)
+    start = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.empty(0, np.int64)
+    return where[start], np.append(start, len(where))
 
 
 def payloads(batch: int, sorted_hashes: np.ndarray, flags: list[np.ndarray], n_ranges: int, width: int) -> pa.Table:
     """Rows (range, batch, data): a batch's hashes of each range with their flags."""
-    at = split(sorted_hashes, n_ranges, width)
-    kept = [k for k in range(n_ranges) if at[k + 1] > at[k]]
-    data = [pack(sorted_hashes[at[k] : at[k + 1]]) + b"".join(bits(f[at[k] : at[k + 1]]) for f in flags) for k in kept]
-    return pa.table({"range": pa.array(kept, pa.int32()), "batch": pa.array([batch] * len(kept), pa.int64()), "data": pa.array(data, pa.binary())})
+    full, at = parted(sorted_hashes, n_ranges, width)
+    data = [pack(sorted_hashes[a:b]) + b"".join(bits(f[a:b]) for f in flags) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+    return pa.table({"range": pa.array(full, pa.int32()), "batch": pa.array([batch] * len(full), pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def placed(sorted_hashes: np.ndarray, ranges_: list[int], n_ranges: int, width: int) -> list[slice]:
+    """Where the hashes of the given ranges stand."""
+    full, at = parted(sorted_hashes, n_ranges, width)
+    which = np.searchsorted(full, np.array(ranges_, np.int64)).tolist()
+    return [slice(int(at[k]), int(at[k + 1])) for k in which]
 
 
 PAYLOAD = "range int, batch long, data binary"

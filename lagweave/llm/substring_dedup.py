@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import PAYLOAD, batched, bits, distinct, gathered, grouped, pack, payloads, range_count, split, unbits, unpack
+from .exchange import PAYLOAD, batched, bits, distinct, gathered, grouped, pack, payloads, placed, range_count, unbits, unpack
 from .runtime import documents
 from .text import SPACED, chunks, covered, gram_hashes, gram_starts, word_hashes, words
 
@@ -91,10 +91,9 @@ class Plan:
         codes, offsets = coded(docs.column("text"))
         at, hashes, _ = self.runs(codes, offsets)
         found, which = np.unique(hashes, return_inverse=True)
-        edges = split(found, self.n_ranges, self.width)
         hit = np.zeros(len(found), bool)
-        for k, raw in zip(answers.column("range").to_pylist(), answers.column("data").to_pylist()):
-            hit[edges[k] : edges[k + 1]] = unbits(raw, int(edges[k + 1] - edges[k]))
+        for at_, raw in zip(placed(found, answers.column("range").to_pylist(), self.n_ranges, self.width), answers.column("data").to_pylist()):
+            hit[at_] = unbits(raw, at_.stop - at_.start)
         places = at[hit[which]]
         near = covered(np.maximum(places - (self.window - self.block), 0), np.minimum(places, self.window - self.block) + 1, len(codes) + 1)
         near = near[: max(0, len(codes) - self.window + 1)] & gram_starts(offsets, self.window)

@@ -6,6 +6,7 @@ worker's memory depends on the chunk and on the longest single text, never on th
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -16,8 +17,6 @@ import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
 U64 = np.uint64
-_WORD_BASE = 0x9E3779B97F4A7C15
-_GRAM_BASE = 0xD6E8FEB86659FD93
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -31,27 +30,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept for the next call."""
-    have = _POWERS.get(base)
-    if have is None or len(have) < n:
-        size = max(1024, 1 << (n - 1).bit_length())
-        have = np.full(size, base & (2**64 - 1), dtype=U64)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        _POWERS[base] = have
-    return have[:n]
-
-
-def inverse_powers(base: int, n: int) -> np.ndarray:
-    return powers(pow(base, -1, 2**64), n)
-
-
 @dataclass
 class Chunk:
     """Texts of some consecutive rows: their bytes end to end; text i is data[offsets[i]:offsets[i+1]]."""
@@ -141,25 +119,62 @@ def words(chunk: Chunk, inside: np.ndarray, lower: bool = False) -> Words:
     return Words(start, end, np.searchsorted(start, chunk.offsets), data)
 
 
+#: Longer words are hashed one by one.
+_LONG = 512
+#: Keeps the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
 def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each word: the polynomial prefix sum between its ends, brought to a common exponent and mixed."""
-    n = len(w.data)
-    total = np.empty(n + 1, U64)
-    total[0] = 0
-    np.cumsum(_BYTE_CODE[w.data] * powers(_WORD_BASE, n), out=total[1:])
-    code = (total[w.end] - total[w.start]) * inverse_powers(_WORD_BASE, n + 1)[w.start]
-    return mix64(code + (w.end - w.start).astype(U64))
+    """A 64-bit hash of each word: its length, then its bytes, eight at a time, each mixed into what came before.
+
+    Words of up to eight bytes and one length never share a hash; no structure of a text makes longer ones do.
+    """
+    size = w.end - w.start
+    out = mix64(size.astype(U64))
+    raw = np.empty(len(w.data) + 8, np.uint8)
+    raw[:-8] = w.data
+    raw[-8:] = 0
+    eight = np.lib.stride_tricks.as_strided(raw[:8].view("<u8"), (len(w.data) + 1,), (1,))
+    live = np.flatnonzero(size <= _LONG)
+    done = 0
+    while len(live):
+        part = eight[w.start[live] + done] & _FIRST[np.minimum(size[live] - done, 8)]
+        out[live] = mix64(out[live] ^ part) + U64(0x9E3779B97F4A7C15)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(w.data[w.start[i] : w.end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order."""
+    c = a * U64(0xD6E8FEB86659FD93)
+    c ^= c >> U64(32)
+    c += b
+    c *= U64(0xA0761D6478BD642F)
+    c ^= c >> U64(29)
+    return c
 
 
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of n consecutive codes, text boundaries ignored; len(codes) - n + 1 of them."""
+    """Hashes of all runs of n consecutive codes, text boundaries ignored; len(codes) - n + 1 of them.
+
+    Runs of 1, 2, 4, ... codes are joined pair by pair, then those that n consists of: no sums, so no patterns that cancel.
+    """
     m = len(codes)
-    if m < n:
+    if m < n or not n:
         return np.empty(0, U64)
-    total = np.empty(m + 1, U64)
-    total[0] = 0
-    np.cumsum(codes * powers(_GRAM_BASE, m), out=total[1:])
-    return mix64((total[n:] - total[:-n]) * inverse_powers(_GRAM_BASE, m - n + 1))
+    part, wide, out, used = codes, 1, None, 0
+    while True:
+        if n & wide:
+            out = part if out is None else joined(out[: m - used - wide + 1], part[used : m - wide + 1])
+            used += wide
+        if used == n:
+            return mix64(out[: m - n + 1])
+        part = joined(part[:-wide], part[wide:])
+        wide *= 2
 
 
 def gram_starts(offsets: np.ndarray, n: int) -> np.ndarray:
