@@ -7,23 +7,29 @@ its prefix, go into inverted lists with size and position. Two sets over the thr
 Index-level skipping: the position p of an entry bounds the size of a partner, because at most n - p shingles
 can still agree; entries are compared only within these bounds.
 
-Answer-level skipping, in three rounds. First every list links its entries to a leader each (the same few leaders in
-all lists of a group of near copies); the linked ones are the leader's star, whose answers, the differences d to the leader, are kept.
-Then only leaders of different components that meet in a list are compared. Last, a pair x, y of different components is
-read only if the leaders' answers can't exclude it: x and y differ by d(L, M) - d(x, L) - d(y, M) at least,
-derived without reading either set. A large group of near copies thus costs a few comparisons a member.
+Answer-level skipping. First every list links its entries to a leader each: the entry with the fewest rare shingles before the list's
+own, so that a group of near copies has few leaders, and central ones. For each pair of leader and member the difference is kept,
+not only its size d: the shingles that the member adds to the leader's set or lacks from it. A class is then anchored to the leader
+with the most members. Later pairs are answered from these differences without reading a set:
+* same anchor: x and y differ by d(x) + d(y) - 2 * (what their differences share). If their labels differ, at least one of them is not linked
+  to the anchor, and then a link needs a shared part; so pairs are sought by a prefix join over the differences, new shingles first.
+* different anchors L, M: x and y differ by d(L, M) - d(x) - d(y) at least, and only leaders that meet in a list are compared.
+Only the pairs that these bounds leave open are read. A group of near copies thus costs a few comparisons a member.
 
 These rounds give the components, which is what near_duplicates, one_of_each and the queries need, and of the links a part that
-spans them. joined(complete=True) adds a fourth round for all links, inside components too: the answers of two members' leaders
+spans them. joined(complete=True) adds a round for all links, inside components too: the answers of two members' leaders
 bound their difference from both sides, and only pairs that the bounds leave open are read. All links of a group are as many as
 its pairs of different texts.
 
-Classes, not documents, are compared; copies of a hot class reach a list or a batch at most once from each task.
-Sets are verified by their 64-bit shingle hashes. Components are found by distributed star steps.
+Each text is read once; its set of 64-bit shingle hashes is written to the shared folder, and all later steps read it there, the
+comparisons only the sets of classes that have a pair (a filter of fixed size picks them before any shuffle).
+Classes, not documents, are compared; copies of a hot class reach a list or a comparison at most once from each task.
+The list of one shingle is one task's work, 24 bytes for each class that has it in its prefix. Components are found by distributed star steps.
 
 Defined results: a null or empty text, or one without words, has an empty set and is alone; fewer words than a shingle
 make one shingle; rows that repeat share their class; a null doc_id gets a null component unless another copy has an id, and never
-names one; an empty table gives no rows; other columns are ignored.
+names one; equal sizes and positions go by a hash of the class, without influence on the result; a text of any length is one set, held whole by one task;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,19 +44,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
-from .exchange import pack, range_count, split, unpack
-from .runtime import documents, volume, written
-from .text import SPACED, U64, chunks, gram_hashes, mix64, ranges, word_hashes, words
+from .exchange import pack, range_of, unpack
+from .runtime import documents, slots, written
+from .text import SPACED, U64, buffers, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
-#: Cells of the count sketch, and of the filter for classes that have a candidate; both of fixed size.
-CELLS, FILTER_CELLS = 1 << 20, 1 << 24
+#: Cells of the count sketch, and of the filter for classes that have a pair; both of fixed size.
+CELL_BITS, FILTER_BITS = 20, 24
 SLICES = 16
-BATCH_BYTES = 4 << 20
+#: Entries of lists that one task sorts, about.
+ENTRIES = 300_000
 #: Pairs that a task of the complete mode gathers before it drops repeated ones.
 PAIRS = 1 << 22
-INDEX = "kind int, token long, digest long, n int, pos int, doc_id long, other long"
-LIST, MEMBER, STAR = 0, 1, 2
+SETS = "doc_id long, n long, digest long, data binary"
+INDEX = "kind int, token long, digest long, n int, pos int, other long"
+ANSWER = "a long, b long, n_a long, n_b long, overlap long"
+LIST, STAR = 0, 2
 
 
 def shingle_sets(column, shingle: int):
@@ -105,62 +114,64 @@ def sketch(rows: DataFrame, cells_of, n_cells: int, most: int) -> np.ndarray:
     return out.ravel()
 
 
+def flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of sets, end to end, and where each set starts."""
+    data, offsets = buffers(column)
+    return data.view("<u8"), offsets // 8
+
+
+def coded(batches, shingle: int):
+    """Per document its class and size; the set itself where the class is new to the task (SETS)."""
+    seen: set[int] = set()
+    for batch in batches:
+        ids = batch.column("doc_id")
+        for first, sets in shingle_sets(batch.column("text"), shingle):
+            name = [digest(s) if len(s) else 0 for s in sets]
+            data = [s.tobytes() if len(s) and d not in seen and not seen.add(d) else None for s, d in zip(sets, name)]
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n", "digest", "data"])
+
+
 class Join:
-    def __init__(self, shingle: int, percent: int, n_ranges: int, n_batches: int, order: np.ndarray):
-        self.shingle, self.percent, self.n_ranges, self.n_batches = shingle, percent, n_ranges, n_batches
+    def __init__(self, percent: int, n_ranges: int, order: np.ndarray):
+        self.percent, self.n_ranges = percent, n_ranges
         self.order = order  # frequency class of each sketch cell, small numbers first
 
+    def ordered(self, s: np.ndarray) -> np.ndarray:
+        """Hashes in the global order, rare ones first; s is sorted by hash, which breaks ties."""
+        return s[np.argsort(self.order[(s >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
+
     def prefix(self, s: np.ndarray) -> np.ndarray:
         """The rarest shingles of a set, in the global order."""
         n = len(s)
-        k = n - -(-self.percent * n // 100) + 1
-        rank = self.order[(s >> U64(64 - 20)).astype(np.int64)]
-        return s[np.argsort(rank, kind="stable")[:k]]  # s is sorted by hash, which breaks ties
+        return self.ordered(s)[: n - -(-self.percent * n // 100) + 1]
 
     def index(self, batches):
-        """Payloads by range of shingle hash: prefix entries of each class that is new to the task; and the documents' classes."""
-        seen: set[int] = set()
+        """Payloads by range of shingle hash: the prefix entries of each class."""
         for batch in batches:
-            ids = batch.column("doc_id")
-            for first, sets in shingle_sets(batch.column("text"), self.shingle):
-                n = np.array([len(s) for s in sets], np.int64)
-                name = np.array([digest(s) if len(s) else 0 for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([first % self.n_ranges], pa.int32()), pa.array([pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array(n), pa.array(name)], ["doc_id", "n", "digest"]).serialize().to_pybytes()], pa.binary()), pa.array([MEMBER], pa.int32())],
-                    ["range", "data", "kind"],
-                )
-                new = [i for i, d in enumerate(name.tolist()) if n[i] and d not in seen and not seen.add(d)]
-                if not new:
-                    continue
-                parts = [self.prefix(sets[i]) for i in new]
-                size = np.array([len(p) for p in parts])
-                token = np.concatenate(parts)
-                order = np.argsort(token, kind="stable")
-                token = token[order]
-                who, pos = np.repeat(name[new], size)[order], ranges(np.zeros(len(new), np.int64), size)[order]
-                many = np.repeat(n[new], size)[order]
-                at = split(token, self.n_ranges, 64)
-                full = [k for k in range(self.n_ranges) if at[k + 1] > at[k]]
-                data = [pack(token[(s := slice(at[k], at[k + 1]))]) + who[s].tobytes() + many[s].astype("<u4").tobytes() + pos[s].astype("<u4").tobytes() for k in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary()), pa.array([LIST] * len(full), pa.int32())], ["range", "data", "kind"])
+            values, offsets = flat(batch.column("data"))
+            names, n = batch.column("digest").to_numpy(), np.diff(offsets)
+            parts = [self.prefix(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            size = np.array([len(p) for p in parts], np.int64)
+            token = np.concatenate([np.empty(0, U64), *parts])
+            order = np.argsort(token, kind="stable")
+            token = token[order]
+            who, pos, many = np.repeat(names, size)[order], ranges(np.zeros(len(parts), np.int64), size)[order], np.repeat(n, size)[order]
+            where = range_of(token, self.n_ranges, 64)
+            start, length = runs(where)
+            data = [pack(token[(s := slice(a, a + k))]) + who[s].tobytes() + many[s].astype("<u4").tobytes() + pos[s].astype("<u4").tobytes() for a, k in zip(start.tolist(), length.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(where[start], pa.int64()), pa.array(data, pa.binary())], ["range", "data"])
 
     def lists(self, t: pa.Table) -> pa.Table:
-        """Lists with two classes or more, the star pairs in them, and the documents passed through."""
-        kind, raw = t.column("kind").to_pylist(), t.column("data").to_pylist()
-        out = [pa.table({c: pa.array([], k) for c, k in zip(("kind", "token", "digest", "n", "pos", "doc_id", "other"), _TYPES)})]
-        for k, r in zip(kind, raw):
-            if k == MEMBER:
-                m = pa.ipc.read_record_batch(r, _MEMBER_SCHEMA)
-                out.append(_table(MEMBER, digest=m.column("digest"), n=m.column("n").cast(pa.int32()), doc_id=m.column("doc_id")))
+        """Lists with two classes or more, and the star pairs in them."""
+        out = [pa.table({c: pa.array([], k) for c, k in zip(_COLUMNS, _TYPES)})]
         token, who, n, pos = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, "<u4")], [np.empty(0, "<u4")]
-        for k, r in zip(kind, raw):
-            if k == LIST:
-                h, rest = unpack(r)
-                m = len(h)
-                token.append(h)
-                who.append(np.frombuffer(rest, np.int64, m))
-                n.append(np.frombuffer(rest, "<u4", m, 8 * m))
-                pos.append(np.frombuffer(rest, "<u4", m, 12 * m))
+        for r in t.column("data").to_pylist():
+            h, rest = unpack(r)
+            m = len(h)
+            token.append(h)
+            who.append(np.frombuffer(rest, np.int64, m))
+            n.append(np.frombuffer(rest, "<u4", m, 8 * m))
+            pos.append(np.frombuffer(rest, "<u4", m, 12 * m))
         token, who, n, pos = (np.concatenate(x) for x in (token, who, n, pos))
         # lists of one entry first go without sorting by all keys
         order = np.argsort(token, kind="stable")
@@ -182,10 +193,8 @@ class Join:
             out.append(_table(LIST, token=token.view(np.int64), digest=who, n=n.astype(np.int32), pos=pos.astype(np.int32)))
             a, b = self.stars(token, who, n, pos)
             pair = np.unique(np.stack([who[a], who[b]]), axis=1)
-            which = np.unique(np.concatenate([a, b]))
-            size = dict(zip(who[which].tolist(), n[which].tolist()))
             if pair.shape[1]:
-                out.append(_table(STAR, digest=pair[0], other=pair[1], n=np.array([size[x] for x in pair[0].tolist()], np.int32), pos=np.array([size[x] for x in pair[1].tolist()], np.int32)))
+                out.append(_table(STAR, digest=pair[0], other=pair[1]))
         return pa.concat_tables(out)
 
     def most(self, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -195,11 +204,12 @@ class Join:
         return np.minimum(by_size, by_position)
 
     def stars(self, token, who, n, pos) -> tuple[np.ndarray, np.ndarray]:
-        """Leader and member entries: in each list the entry of least priority leads all within its reach in size, then the next. Priorities are the same in all lists."""
+        """Leader and member entries: in each list the entry that has the fewest rarer shingles leads all within its reach in size, then the next of the rest."""
         start, length = runs(token)
         leaders, members = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         most, reach = self.most(n, pos), 100 * n // self.percent
-        rank = mix64(who.view(U64))
+        rank = np.empty(len(who), np.int64)
+        rank[np.lexsort([mix64(who.view(U64)), pos])] = np.arange(len(who))
         for a, k in zip(start.tolist(), length.tolist()):
             left = np.arange(a, a + k)
             while len(left) > 1:
@@ -213,68 +223,128 @@ class Join:
         return np.concatenate(leaders), np.concatenate(members)
 
     def groups(self, t: pa.Table):
-        """The lists with several labels: columns sorted by list, label and leader, and for each list the first entries of its (label, leader) groups."""
+        """The lists with several labels and several leaders: columns sorted by list, leader and label, and for each list where its (leader, label) groups start and end."""
         cols = {c: t.column(c).to_numpy() for c in ("token", "digest", "n", "pos", "label", "leader", "d")}
-        order = np.lexsort([cols["n"], cols["leader"], cols["label"], cols["token"]])
+        order = np.lexsort([cols["n"], cols["label"], cols["leader"], cols["token"]])
         cols = {c: v[order].astype(np.int64) for c, v in cols.items()}
         start, length = runs(cols["token"])
         out = []
         for a, k in zip(start.tolist(), length.tolist()):
             label, leader = cols["label"][a : a + k], cols["leader"][a : a + k]
-            if label[0] != label[-1]:
+            if leader[0] != leader[-1] and (label != label[0]).any():
                 edge = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (leader[1:] != leader[:-1])]))
                 out.append((a + edge, a + np.append(edge[1:], k)))
         return cols, out
 
+    def meeting(self, first, stop, cols, most):
+        """For each group of a list the later groups, of another label and leader, that it can meet within the bounds of size and position."""
+        label, leader = cols["label"][first], cols["leader"][first]
+        low, high = cols["n"][first], cols["n"][stop - 1]  # sorted by size within a group
+        top = np.maximum.reduceat(most[first[0] : stop[-1]], first - first[0])
+        last = np.searchsorted(leader, leader, "right")  # groups of one leader stand together
+        for k, a in enumerate(last.tolist()):
+            j = a + np.flatnonzero((label[a:] != label[k]) & (low[a:] <= top[k]) & (low[k] <= top[a:]))
+            if len(j):
+                yield k, j, high
+
     def leaders(self, t: pa.Table) -> pa.Table:
-        """Pairs of leaders of different labels whose stars meet in a list within the bounds."""
+        """Pairs of leaders whose stars meet in a list within the bounds, under different labels."""
         cols, lists = self.groups(t)
-        n, label, leader = cols["n"], cols["label"], cols["leader"]
-        most = self.most(n, cols["pos"])
+        leader, most = cols["leader"], self.most(cols["n"], cols["pos"])
         found = [np.empty((2, 0), np.int64)]
         for first, stop in lists:
-            low, high = n[first], n[stop - 1]  # sorted by size within a group
-            top = np.maximum.reduceat(most[first[0] : stop[-1]], first - first[0])
-            for k in range(len(first) - 1):
-                j = k + 1 + np.flatnonzero((label[first[k + 1 :]] != label[first[k]]) & (low[k + 1 :] <= top[k]) & (low[k] <= top[k + 1 :]))
-                if len(j):
-                    found.append(np.stack([np.full(len(j), leader[first[k]]), leader[first[j]]]))
+            for k, j, _ in self.meeting(first, stop, cols, most):
+                other = np.unique(leader[first[j]])
+                found.append(np.stack([np.full(len(other), leader[first[k]]), other]))
         pair = np.concatenate(found, axis=1)
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
-        pair = pair[:, pair[0] != pair[1]]
         return pa.table({"range": np.full(pair.shape[1], t.column("range")[0].as_py(), np.int64), "a": pair[0], "b": pair[1]})
 
     def crossed(self, t: pa.Table, known: pa.Table) -> pa.Table:
-        """Pairs of different labels that a list, its bounds and the leaders' answers allow."""
+        """Pairs of different labels and leaders that a list, its bounds and the leaders' answers allow."""
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         if not t.num_rows:
             return none
         cols, lists = self.groups(t)
-        n, label, leader, d, who = (cols[c] for c in ("n", "label", "leader", "d", "digest"))
+        n, leader, d, who = (cols[c] for c in ("n", "leader", "d", "digest"))
         most = self.most(n, cols["pos"])
         apart = dict(zip(zip(known.column("a").to_pylist(), known.column("b").to_pylist()), known.column("d").to_pylist()))
         found = [np.empty((2, 0), np.int64)]
         for first, stop in lists:
-            near, big = np.maximum.reduceat(d[first[0] : stop[-1]], first - first[0]), n[stop - 1]
-            for k in range(len(first) - 1):
-                own = slice(first[k], stop[k])
-                for j in range(k + 1, len(first)):
-                    if label[first[j]] == label[first[k]]:
-                        continue
-                    x, y = leader[first[k]], leader[first[j]]
-                    gap = apart.get((x, y) if x < y else (y, x), 0)
-                    if gap - near[k] - near[j] > self.allowed_within(big[k], big[j]):
-                        continue
-                    other = np.arange(first[j], stop[j])
-                    for i in range(own.start, own.stop):
-                        at = other[(n[other] <= most[i]) & (n[i] <= most[other]) & (gap - d[i] - d[other] <= self.allowed(n[i], n[other]))]
-                        at = at[(who[at] != leader[at])] if who[i] == leader[i] else at  # leaders have been compared
-                        if len(at):
-                            found.append(np.stack([np.full(len(at), who[i]), who[at]]))
+            near = np.maximum.reduceat(d[first[0] : stop[-1]], first - first[0])
+            for k, j, big in self.meeting(first, stop, cols, most):
+                x = int(leader[first[k]])
+                gap = np.array([apart.get((x, y) if x < y else (y, x), 0) for y in leader[first[j]].tolist()], np.int64)
+                ok = gap - near[k] - near[j] <= self.allowed_within(big[k], big[j])
+                j, gap = j[ok], np.repeat(gap[ok], stop[j[ok]] - first[j[ok]])
+                if not len(j):
+                    continue
+                other = ranges(first[j], stop[j] - first[j])
+                for i in range(int(first[k]), int(stop[k])):
+                    pick = (n[other] <= most[i]) & (n[i] <= most[other]) & (gap - d[i] - d[other] <= self.allowed(n[i], n[other]))
+                    at = other[pick]
+                    if len(at):
+                        found.append(np.stack([np.full(len(at), who[i]), who[at]]))
         pair = np.concatenate(found, axis=1)
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
         return pa.table({"a": pair[0], "b": pair[1]})
 
+    def differences(self, batches):
+        """Entries of the difference lists: for each anchored class the prefix of its difference that a link to a class of another label has to share a part of.
+
+        An unlinked class differs from the anchor by more than r * (n + n_leader), r = (100 - percent) / (100 + percent); so with any y of the
+        anchor's classes, y linked or not, it has to share more than (d(y) - r * (n(y) - n_leader)) / 2.
+        """
+        p = self.percent
+        for batch in batches:
+            values, offsets = flat(batch.column("delta"))
+            n, n_leader, d = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "n_leader", "d"))
+            linked = d <= self.allowed(n, n_leader)
+            least = np.where(linked, ((100 + p) * d - (100 - p) * (n - n_leader)) // (2 * (100 + p)) + 1, d - (100 - p) * n // p)
+            size = np.clip(d - np.maximum(least, 1) + 1, 0, d)
+            at, own = ranges(offsets[:-1], size), np.repeat(np.arange(len(n)), size)
+            token, pos = values[at], at - offsets[own]
+            cols = {c: batch.column(c).to_numpy()[own] for c in ("leader", "digest", "n", "d", "label")}
+            yield pa.RecordBatch.from_pydict(cols | {"token": token.view(np.int64), "pos": pos, "linked": linked[own]})
+
+    def within(self, t: pa.Table) -> pa.Table:
+        """Pairs of one anchor and different labels whose differences can share enough; those of two linked classes never are."""
+        cols = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("leader", "token", "digest", "n", "d", "label", "pos", "linked")}
+        order = np.lexsort([cols["linked"], cols["token"], cols["leader"]])
+        leader, token, who, n, d, label, pos, linked = (cols[c][order] for c in cols)
+        first = np.flatnonzero(np.concatenate([[True], (leader[1:] != leader[:-1]) | (token[1:] != token[:-1])]))
+        found = [np.empty((2, 0), np.int64)]
+        for a, b in zip(first.tolist(), np.append(first[1:], len(leader)).tolist()):
+            for i in range(a, min(b - 1, a + int((~linked[a:b]).sum()))):  # the unlinked ones come first
+                y = np.arange(i + 1, b)
+                y = y[(label[y] != label[i]) & (self.percent * n[y] <= 100 * n[i]) & (self.percent * n[i] <= 100 * n[y])]
+                share = -(-(d[i] + d[y] - self.allowed(n[i], n[y])) // 2)
+                y = y[share <= np.minimum(d[i] - pos[i], d[y] - pos[y])]
+                if len(y):
+                    found.append(np.stack([np.full(len(y), who[i]), who[y]]))
+        pair = np.concatenate(found, axis=1)
+        pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
+        return pa.table({"a": pair[0], "b": pair[1]})
+
+    def compared(self, batches, told: bool):
+        """Both sizes and the overlap of each pair of sets; if told, also what b adds to a, then what it lacks, each in the global order, unless that is more than a set."""
+        for batch in batches:
+            (left, at), (right, bt) = flat(batch.column("left")), flat(batch.column("right"))
+            overlap, added, delta = [], [], []
+            for i in range(batch.num_rows):
+                s, r = left[at[i] : at[i + 1]], right[bt[i] : bt[i + 1]]
+                place = np.minimum(np.searchsorted(s, r), len(s) - 1)
+                hit = s[place] == r
+                overlap.append(int(hit.sum()))
+                if told:
+                    near = len(s) + len(r) - 2 * overlap[-1] <= min(len(s), len(r))
+                    lacks = np.ones(len(s), bool)
+                    lacks[place[hit]] = False
+                    added.append(len(r) - overlap[-1])
+                    delta.append(self.ordered(r[~hit]).tobytes() + self.ordered(s[lacks]).tobytes() if near else None)
+            out = {"a": batch.column("a"), "b": batch.column("b"), "n_a": np.diff(at), "n_b": np.diff(bt), "overlap": pa.array(overlap, pa.int64())}
+            yield pa.RecordBatch.from_pydict(out | ({"delta": pa.array(delta, pa.binary())} if told else {}))
+
     def derived(self, t: pa.Table, known: pa.Table) -> pa.Table:
         """All pairs of classes that a list, its bounds and the leaders' answers allow, and whether these answers alone link them."""
         parts = [np.empty((3, 0), np.int64)]
@@ -314,58 +384,15 @@ class Join:
         """A bound of allowed() for sets of at most these sizes; allowed() itself falls and rises from size to size."""
         return (100 - self.percent) * (n1 + n2) // (100 + self.percent)
 
-    def wanted(self, batches, cells: np.ndarray):
-        """Texts of the classes that may have a candidate, once from each task."""
-        seen: set[int] = set()
-        for batch in batches:
-            for first, sets in shingle_sets(batch.column("text"), self.shingle):
-                name = [digest(s) if len(s) else None for s in sets]
-                pick = [i for i, d in enumerate(name) if d is not None and cells[(d & (2**64 - 1)) >> 40] and d not in seen and not seen.add(d)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name[i] % self.n_batches for i in pick], pa.int64()), pa.array([name[i] for i in pick], pa.int64()), batch.column("text").take(pa.array([first + i for i in pick], pa.int64()))],
-                    ["batch", "digest", "text"],
-                )
-
-    def sets(self, t: pa.Table) -> dict[int, np.ndarray]:
-        out: dict[int, np.ndarray] = {}
-        names = t.column("digest").to_pylist()
-        for first, sets in shingle_sets(t.column("text"), self.shingle):
-            for i, s in enumerate(sets):
-                out.setdefault(names[first + i], s)
-        return out
-
-    def ship(self, t: pa.Table, asked: pa.Table) -> pa.Table:
-        """The sets that other batches ask for."""
-        if not asked.num_rows:
-            return pa.table({"batch": pa.array([], pa.int64()), "a": pa.array([], pa.int64()), "data": pa.array([], pa.binary())})
-        own = self.sets(t)
-        raw = {a: pack(own[a]) for a in set(asked.column("a").to_pylist())}
-        return pa.table({"batch": asked.column("to"), "a": asked.column("a"), "data": pa.array([raw[a] for a in asked.column("a").to_pylist()], pa.binary())})
-
-    def verify(self, t: pa.Table, tests: pa.Table) -> pa.Table:
-        """Overlap of each asked pair (a: a set sent here; b: a set of this batch)."""
-        a, b, data = (tests.column(c).to_pylist() for c in ("a", "b", "data"))
-        sent = {x: unpack(d)[0] for x, d in zip(a, data) if d is not None}
-        own = self.sets(t) if len(sent) else {}
-        rows = []
-        for x, y in zip(a, b):
-            if y is not None:
-                s, r = sent[x], own[y]
-                at = np.minimum(np.searchsorted(s, r), len(s) - 1)
-                rows.append((x, y, len(s), len(r), int((s[at] == r).sum())))
-        cols = list(zip(*rows)) or [[]] * 5
-        return pa.table({c: pa.array(list(v), pa.int64()) for c, v in zip(("a", "b", "n_a", "n_b", "overlap"), cols)})
-
-
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-_MEMBER_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.int64())])
+
+_COLUMNS = ("kind", "token", "digest", "n", "pos", "other")
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
 
 def _table(kind: int, **columns) -> pa.Table:
     n = len(next(iter(columns.values())))
-    names = ("kind", "token", "digest", "n", "pos", "doc_id", "other")
     columns = {"kind": np.full(n, kind, np.int32)} | columns
-    return pa.table({c: pa.array(columns[c], k) if c in columns and not isinstance(columns[c], pa.Array) else columns.get(c, pa.nulls(n, k)) for c, k in zip(names, _TYPES)})
+    return pa.table({c: pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in zip(_COLUMNS, _TYPES)})
 
 
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -383,40 +410,40 @@ class Result:
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, complete: bool = False) -> Result:
     spark = docs.sparkSession
-    docs = documents(docs)
-    _, n_bytes = volume(docs, "text")
-    counts = sketch(docs, lambda batch: ((np.concatenate([np.empty(0, U64), *sets]) >> U64(64 - 20)).astype(np.int64) for _, sets in shingle_sets(batch.column("text"), shingle)), CELLS, 2**31 - 1)
+    sets = written(documents(docs).mapInArrow(lambda batches: coded(batches, shingle), SETS), "sets", "none")
+    members, sets = sets.select("doc_id", "n", "digest"), sets.where("data IS NOT NULL").select("digest", "n", "data")
+    counts = sketch(sets.select("data"), lambda batch: [(flat(batch.column("data"))[0] >> U64(64 - CELL_BITS)).astype(np.int64)], 1 << CELL_BITS, 2**31 - 1)
     order = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + counts), 65535).astype(np.uint16))
-    # a set is sent once to each batch that asks for it, so batches are as few as their size allows
-    n_ranges, n_batches = range_count(spark, n_bytes // 40), max(16, -(-n_bytes // BATCH_BYTES))
+    entries = sets.agg(F.sum(F.lit(1) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
+    n_ranges = max(1, min(slots(spark), 4096), -(-int(entries) // ENTRIES))
 
     def make() -> Join:
-        return Join(shingle, percent, n_ranges, n_batches, order.value)
+        return Join(percent, n_ranges, order.value)
 
-    payload = docs.mapInArrow(lambda batches: make().index(batches), "range int, data binary, kind int")
+    payload = sets.select("digest", "data").mapInArrow(lambda batches: make().index(batches), "range long, data binary")
     index = written(payload.groupBy("range").applyInArrow(lambda t: make().lists(t), INDEX), "index")
     lists = index.where(F.col("kind") == LIST).select("token", "digest", "n", "pos")
-    members = index.where(F.col("kind") == MEMBER).select("doc_id", F.col("n").cast("long").alias("n"), "digest")
     stars = index.where(F.col("kind") == STAR).select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct()
 
-    has = spark.sparkContext.broadcast((sketch(lists.select("digest"), lambda batch: [(batch.column("digest").to_numpy().view(U64) >> U64(40)).astype(np.int64)], FILTER_CELLS, 1) > 0))
-    parts = docs.select("text").mapInArrow(lambda batches: make().wanted(batches, has.value), "batch long, digest long, text string")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) with both sizes and their overlap."""
-        to = lambda c: F.pmod(F.col(c), F.lit(n_batches).cast("long"))
-        asked = pairs.select(to("a").alias("batch"), "a", to("b").alias("to")).distinct()
-        sent = parts.groupBy("batch").cogroup(asked.groupBy("batch")).applyInArrow(lambda t, q: make().ship(t, q), "batch long, a long, data binary")
-        tests = sent.select("batch", "a", F.lit(None).cast("long").alias("b"), "data").unionAll(pairs.select(to("b").alias("batch"), "a", "b", F.lit(None).cast("binary").alias("data")))
-        return parts.groupBy("batch").cogroup(tests.groupBy("batch")).applyInArrow(lambda t, q: make().verify(t, q), "a long, b long, n_a long, n_b long, overlap long")
+    def tested(pairs: DataFrame, what: str, told: bool = False) -> DataFrame:
+        """The pairs (a, b) with both sizes and their overlap (ANSWER), and their difference if told."""
+        pairs = written(pairs.select("a", "b"), "asked")
+        cell = lambda column: (column.to_numpy().view(U64) >> U64(64 - FILTER_BITS)).astype(np.int64)
+        has = spark.sparkContext.broadcast(sketch(pairs, lambda batch: [cell(batch.column("a")), cell(batch.column("b"))], 1 << FILTER_BITS, 1) > 0)
+        have = sets.select("digest", "data").mapInArrow(lambda batches: (b.filter(pa.array(has.value[cell(b.column("digest"))])) for b in batches), "digest long, data binary")
+        have = written(have.groupBy("digest").agg(F.first("data").alias("data")), "have", "none")
+        both = pairs.join(have.select(F.col("digest").alias("a"), F.col("data").alias("left")), "a").join(have.select(F.col("digest").alias("b"), F.col("data").alias("right")), "b")
+        return written(both.select("a", "b", "left", "right").mapInArrow(lambda batches: make().compared(batches, told), ANSWER + (", delta binary" if told else "")), what)
 
     linked = F.col("overlap") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    first = written(tested(stars), "stars")
+    differ = (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d")
+    first = tested(stars, "stars", told=True)
     label = written(components(first.where(linked)), "labels")
-    # each class joins the largest star that it is linked to
-    joins = first.where(linked).select(F.col("a").alias("leader"), F.col("b").alias("digest"), (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))
-    sizes = joins.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
-    star = joins.join(sizes, "leader").groupBy("digest").agg(F.max(F.struct("size", "leader", "d")).alias("s")).select("digest", "s.leader", "s.d")
+    # each class is anchored to the leader with the most members
+    near = first.where("delta IS NOT NULL").select(F.col("a").alias("leader"), F.col("b").alias("digest"), differ)
+    sizes = near.groupBy("leader").agg(F.count(F.lit(1)).alias("size"))
+    star = near.join(sizes, "leader").groupBy("digest").agg(F.max(F.struct("size", -F.col("d"), "leader")).alias("s")).select("digest", "s.leader")
+    star = written(star.join(near, ["digest", "leader"]), "anchors")
 
     def labelled(now: DataFrame) -> DataFrame:
         out = lists.join(now.withColumnRenamed("vertex", "digest"), "digest", "left").join(star, "digest", "left")
@@ -424,24 +451,30 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
 
     met = written(labelled(label).groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
-    second = written(tested(met.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")), "leaders")
+    second = tested(met.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
     links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
     label = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second.where(linked).select("a", "b"))), "labels")
-    answers = known.unionAll(second.select(known.columns)).select("a", "b", (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))
-    told = met.join(answers.distinct(), ["a", "b"]).select("range", "a", "b", "d")
-    cross = labelled(label).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long").distinct()
-    third = written(tested(cross.join(answers.select("a", "b"), ["a", "b"], "left_anti")).where(linked).select("a", "b"), "links")
+    answers = known.unionAll(second.select(known.columns)).select("a", "b", differ).distinct()
+    told = met.join(answers, ["a", "b"]).select("range", "a", "b", "d")
+    cross = labelled(label).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long")
+    # classes of one anchor, by their differences to it
+    delta = star.join(first.select(F.col("a").alias("leader"), F.col("b").alias("digest"), F.col("n_a").alias("n_leader"), F.col("n_b").alias("n"), "delta"), ["leader", "digest"])
+    delta = delta.join(label.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    shared = delta.mapInArrow(lambda batches: make().differences(batches), "leader long, digest long, n long, d long, label long, token long, pos long, linked boolean")
+    shared = shared.withColumn("range", F.pmod(F.xxhash64("leader", "token"), F.lit(n_ranges)))
+    inside = shared.groupBy("range").applyInArrow(lambda t: make().within(t), "a long, b long")
+    third = tested(cross.unionAll(inside).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest").where(linked).select("a", "b")
     links = links.unionAll(third)
     if complete:
         # leaders of stars that meet in a list, now of the same component too
         own = lambda: labelled(label).withColumn("label", F.col("leader"))
         near = written(own().groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
-        more = written(tested(near.select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti")), "leaders")
-        answers = answers.unionAll(more.select("a", "b", (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d"))).distinct()
+        more = tested(near.select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
+        answers = answers.unionAll(more.select("a", "b", differ)).distinct()
         told = near.join(answers, ["a", "b"]).select("range", "a", "b", "d")
         pairs = own().groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().derived(t, k), "a long, b long, sure long")
         pairs = written(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
-        links = pairs.where("sure = 1").select("a", "b").unionAll(written(tested(pairs.where("sure = 0").select("a", "b")).where(linked).select("a", "b"), "links"))
+        links = pairs.where("sure = 1").select("a", "b").unionAll(tested(pairs.where("sure = 0").select("a", "b"), "links").where(linked).select("a", "b"))
     final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(third)), "labels")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("vertex", "digest"), "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
