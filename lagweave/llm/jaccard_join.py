@@ -56,9 +56,12 @@ SLICES = 16
 ENTRIES = 300_000
 #: Pairs that a task of the complete mode gathers before it drops repeated ones.
 PAIRS = 1 << 22
+#: Bytes of sets that one task compares at a time, about.
+PART_BYTES = 4 << 20
 SETS = "doc_id long, n long, digest long, data binary"
 INDEX = "kind int, token long, digest long, n int, pos int, other long"
 ANSWER = "a long, b long, n_a long, n_b long, overlap long"
+MET = "range long, token long, a long, b long"
 LIST, STAR = 0, 2
 
 
@@ -131,6 +134,38 @@ def coded(batches, shingle: int):
             yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n", "digest", "data"])
 
 
+def marked(rows: DataFrame, cells_of, bits: int) -> np.ndarray:
+    """Which of 2**bits cells occur; an eighth of a byte of each reaches the driver."""
+    wide = (1 << bits) // SLICES // 8
+
+    def mark(batches):
+        seen = np.zeros(1 << bits, bool)
+        for batch in batches:
+            for cells in cells_of(batch):
+                seen[cells] = True
+        if seen.any():
+            low = np.packbits(seen)
+            yield pa.RecordBatch.from_pydict({"slice": np.arange(SLICES), "data": pa.array([zlib.compress(low[k * wide : (k + 1) * wide].tobytes(), 1) for k in range(SLICES)], pa.binary())})
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(wide, np.uint8)
+        for raw in t.column("data").to_pylist():
+            total |= np.frombuffer(zlib.decompress(raw), np.uint8)
+        return pa.table({"slice": t.column("slice").slice(0, 1), "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    part = rows.mapInArrow(mark, "slice long, data binary").withColumn("deal", F.pmod(F.spark_partition_id(), F.lit(16)))
+    for keys in (["slice", "deal"], ["slice"]):
+        part = part.groupBy(*keys).applyInArrow(add, "slice long, data binary").withColumn("deal", F.lit(0))
+    out = np.zeros((SLICES, wide), np.uint8)
+    for r in part.select("slice", "data").collect():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(r["data"]), np.uint8)
+    return out.ravel()
+
+
+def occurs(cells_seen: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return (cells_seen[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 class Join:
     def __init__(self, percent: int, n_ranges: int, order: np.ndarray):
         self.percent, self.n_ranges = percent, n_ranges
@@ -248,17 +283,22 @@ class Join:
                 yield k, j, high
 
     def leaders(self, t: pa.Table) -> pa.Table:
-        """Pairs of leaders whose stars meet in a list within the bounds, under different labels."""
+        """Pairs of leaders whose stars meet in a list within the bounds, under different labels; and the lists (token) in which any do."""
         cols, lists = self.groups(t)
         leader, most = cols["leader"], self.most(cols["n"], cols["pos"])
-        found = [np.empty((2, 0), np.int64)]
+        found, open_ = [np.empty((2, 0), np.int64)], []
         for first, stop in lists:
+            before = len(found)
             for k, j, _ in self.meeting(first, stop, cols, most):
                 other = np.unique(leader[first[j]])
                 found.append(np.stack([np.full(len(other), leader[first[k]]), other]))
+            if len(found) > before:
+                open_.append(int(cols["token"][first[0]]))
         pair = np.concatenate(found, axis=1)
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
-        return pa.table({"range": np.full(pair.shape[1], t.column("range")[0].as_py(), np.int64), "a": pair[0], "b": pair[1]})
+        none, own = pa.nulls(len(open_), pa.int64()), pa.array([t.column("range")[0].as_py()], pa.int64())
+        pairs = pa.table({"range": pa.repeat(own[0], pair.shape[1]), "token": pa.nulls(pair.shape[1], pa.int64()), "a": pair[0], "b": pair[1]})
+        return pa.concat_tables([pairs, pa.table({"range": pa.repeat(own[0], len(open_)), "token": pa.array(open_, pa.int64()), "a": none, "b": none})])
 
     def crossed(self, t: pa.Table, known: pa.Table) -> pa.Table:
         """Pairs of different labels and leaders that a list, its bounds and the leaders' answers allow."""
@@ -326,24 +366,36 @@ class Join:
         pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
         return pa.table({"a": pair[0], "b": pair[1]})
 
-    def compared(self, batches, told: bool):
-        """Both sizes and the overlap of each pair of sets; if told, also what b adds to a, then what it lacks, each in the global order, unless that is more than a set."""
-        for batch in batches:
-            (left, at), (right, bt) = flat(batch.column("left")), flat(batch.column("right"))
-            overlap, added, delta = [], [], []
-            for i in range(batch.num_rows):
-                s, r = left[at[i] : at[i + 1]], right[bt[i] : bt[i + 1]]
-                place = np.minimum(np.searchsorted(s, r), len(s) - 1)
-                hit = s[place] == r
-                overlap.append(int(hit.sum()))
-                if told:
-                    near = len(s) + len(r) - 2 * overlap[-1] <= min(len(s), len(r))
-                    lacks = np.ones(len(s), bool)
-                    lacks[place[hit]] = False
-                    added.append(len(r) - overlap[-1])
-                    delta.append(self.ordered(r[~hit]).tobytes() + self.ordered(s[lacks]).tobytes() if near else None)
-            out = {"a": batch.column("a"), "b": batch.column("b"), "n_a": np.diff(at), "n_b": np.diff(bt), "overlap": pa.array(overlap, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out | ({"delta": pa.array(delta, pa.binary())} if told else {}))
+    def ship(self, t: pa.Table, asked: pa.Table) -> pa.Table:
+        """The sets that other parts ask for, once each."""
+        place = {d: i for i, d in enumerate(t.column("digest").to_pylist())}
+        at = pa.array([place[a] for a in asked.column("a").to_pylist()], pa.int64())
+        return pa.table({"part": asked.column("to"), "a": asked.column("a"), "data": t.column("data").take(at)})
+
+    def compared(self, t: pa.Table, asked: pa.Table, told: bool) -> pa.Table:
+        """Both sizes and the overlap of each pair (a: a set sent here; b: a set of this part); if told, also what b adds to a, then what it lacks, each in the global order, unless that is more than a set."""
+        (left, at), (right, bt) = flat(asked.column("data")), flat(t.column("data"))
+        a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
+        sent = {x: i for i, (x, y) in enumerate(zip(a, b)) if y is None}
+        own = {d: i for i, d in enumerate(t.column("digest").to_pylist())}
+        rows, delta = [], []
+        for x, y in zip(a, b):
+            if y is None:
+                continue
+            i, j = sent[x], own[y]
+            s, r = left[at[i] : at[i + 1]], right[bt[j] : bt[j + 1]]
+            place = np.minimum(np.searchsorted(s, r), len(s) - 1)
+            hit = s[place] == r
+            overlap = int(hit.sum())
+            rows.append((x, y, len(s), len(r), overlap))
+            if told:
+                near = len(s) + len(r) - 2 * overlap <= min(len(s), len(r))
+                lacks = np.ones(len(s), bool)
+                lacks[place[hit]] = False
+                delta.append(self.ordered(r[~hit]).tobytes() + self.ordered(s[lacks]).tobytes() if near else None)
+        cols = list(zip(*rows)) or [[]] * 5
+        out = {c: pa.array(list(v), pa.int64()) for c, v in zip(("a", "b", "n_a", "n_b", "overlap"), cols)}
+        return pa.table(out | ({"delta": pa.array(delta, pa.binary())} if told else {}))
 
     def derived(self, t: pa.Table, known: pa.Table) -> pa.Table:
         """All pairs of classes that a list, its bounds and the leaders' answers allow, and whether these answers alone link them."""
@@ -429,11 +481,16 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
         """The pairs (a, b) with both sizes and their overlap (ANSWER), and their difference if told."""
         pairs = written(pairs.select("a", "b"), "asked")
         cell = lambda column: (column.to_numpy().view(U64) >> U64(64 - FILTER_BITS)).astype(np.int64)
-        has = spark.sparkContext.broadcast(sketch(pairs, lambda batch: [cell(batch.column("a")), cell(batch.column("b"))], 1 << FILTER_BITS, 1) > 0)
-        have = sets.select("digest", "data").mapInArrow(lambda batches: (b.filter(pa.array(has.value[cell(b.column("digest"))])) for b in batches), "digest long, data binary")
+        has = spark.sparkContext.broadcast(marked(pairs, lambda batch: [cell(batch.column("a")), cell(batch.column("b"))], FILTER_BITS))
+        have = sets.select("digest", "data").mapInArrow(lambda batches: (b.filter(pa.array(occurs(has.value, cell(b.column("digest"))))) for b in batches), "digest long, data binary")
         have = written(have.groupBy("digest").agg(F.first("data").alias("data")), "have", "none")
-        both = pairs.join(have.select(F.col("digest").alias("a"), F.col("data").alias("left")), "a").join(have.select(F.col("digest").alias("b"), F.col("data").alias("right")), "b")
-        return written(both.select("a", "b", "left", "right").mapInArrow(lambda batches: make().compared(batches, told), ANSWER + (", delta binary" if told else "")), what)
+        n_parts = max(slots(spark), -(-(have.agg(F.sum(F.octet_length("data"))).first()[0] or 0) // PART_BYTES))
+        part = lambda c: F.pmod(F.col(c), F.lit(n_parts).cast("long"))
+        have = have.withColumn("part", part("digest"))
+        wanted = pairs.select(part("a").alias("part"), "a", part("b").alias("to")).distinct()
+        sent = have.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(lambda t, q: make().ship(t, q), "part long, a long, data binary")
+        asked = sent.select("part", "a", F.lit(None).cast("long").alias("b"), "data").unionAll(pairs.select(part("b").alias("part"), "a", "b", F.lit(None).cast("binary").alias("data")))
+        return written(have.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(lambda t, q: make().compared(t, q, told), ANSWER + (", delta binary" if told else "")), what)
 
     linked = F.col("overlap") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
     differ = (F.col("n_a") + F.col("n_b") - 2 * F.col("overlap")).alias("d")
@@ -445,21 +502,24 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     star = near.join(sizes, "leader").groupBy("digest").agg(F.max(F.struct("size", -F.col("d"), "leader")).alias("s")).select("digest", "s.leader")
     star = written(star.join(near, ["digest", "leader"]), "anchors")
 
-    def labelled(now: DataFrame) -> DataFrame:
+    def labelled(now: DataFrame, lists: DataFrame) -> DataFrame:
         out = lists.join(now.withColumnRenamed("vertex", "digest"), "digest", "left").join(star, "digest", "left")
         return out.select("token", "digest", "n", "pos", F.coalesce("label", "digest").alias("label"), F.coalesce("leader", "digest").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
 
-    met = written(labelled(label).groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
+    met = written(labelled(label, lists).groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met")
+    met, still = met.where("token IS NULL"), lists.join(met.where("token IS NOT NULL").select("token"), "token", "left_semi")
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
     second = tested(met.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
     links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
     label = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second.where(linked).select("a", "b"))), "labels")
     answers = known.unionAll(second.select(known.columns)).select("a", "b", differ).distinct()
     told = met.join(answers, ["a", "b"]).select("range", "a", "b", "d")
-    cross = labelled(label).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long")
+    cross = labelled(label, still).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long")
     # classes of one anchor, by their differences to it
     delta = star.join(first.select(F.col("a").alias("leader"), F.col("b").alias("digest"), F.col("n_a").alias("n_leader"), F.col("n_b").alias("n"), "delta"), ["leader", "digest"])
     delta = delta.join(label.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    several = delta.groupBy("leader").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("leader")
+    delta = delta.join(several, "leader", "left_semi")
     shared = delta.mapInArrow(lambda batches: make().differences(batches), "leader long, digest long, n long, d long, label long, token long, pos long, linked boolean")
     shared = shared.withColumn("range", F.pmod(F.xxhash64("leader", "token"), F.lit(n_ranges)))
     inside = shared.groupBy("range").applyInArrow(lambda t: make().within(t), "a long, b long")
@@ -467,8 +527,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     links = links.unionAll(third)
     if complete:
         # leaders of stars that meet in a list, now of the same component too
-        own = lambda: labelled(label).withColumn("label", F.col("leader"))
-        near = written(own().groupBy("range").applyInArrow(lambda t: make().leaders(t), "range long, a long, b long"), "met")
+        own = lambda: labelled(label, lists).withColumn("label", F.col("leader"))
+        near = written(own().groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met").where("token IS NULL")
         more = tested(near.select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
         answers = answers.unionAll(more.select("a", "b", differ)).distinct()
         told = near.join(answers, ["a", "b"]).select("range", "a", "b", "d")

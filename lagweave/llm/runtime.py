@@ -28,7 +28,7 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage, so that a lost executor costs one reread."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagweave-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
