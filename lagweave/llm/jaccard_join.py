@@ -2,10 +2,11 @@
 
 Texts with the same shingle set are one class. The shingles of a set are put in a global order, rare ones first
 (by a count sketch of fixed size over all documents, then by hash), and the first n - ceil(t * n) + 1 of them,
-its prefix, go into inverted lists with size and position. Two sets over the threshold share a prefix shingle.
+its prefix, and LEAST - 1 more go into inverted lists with size and position. Two sets over the threshold share their first LEAST common
+shingles there (fewer, if they need not have so many in common), so that a pair is looked at only if it meets in so many lists.
 
-Index-level skipping: the position p of an entry bounds the size of a partner, because at most n - p shingles
-can still agree; entries are compared only within these bounds.
+Index-level skipping: the position p of an entry bounds the size of a partner, because at most n - p shingles, and
+LEAST - 1 before, can agree; entries are compared only within these bounds.
 
 Answer-level skipping. First every list links its entries to a leader each: the entry with the fewest rare shingles before the list's
 own, so that a group of near copies has few leaders, and central ones. For each pair of leader and member the difference is kept,
@@ -49,6 +50,8 @@ from .runtime import documents, slots, written
 from .text import SPACED, U64, buffers, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
+#: Lists in which a pair has to meet.
+LEAST = 3
 #: Cells of the count sketch, and of the filter for classes that have a pair; both of fixed size.
 CELL_BITS, FILTER_BITS = 20, 24
 SLICES = 16
@@ -61,7 +64,7 @@ PART_BYTES = 4 << 20
 SETS = "doc_id long, n long, digest long, data binary"
 INDEX = "kind int, token long, digest long, n int, pos int, other long"
 ANSWER = "a long, b long, n_a long, n_b long, overlap long"
-MET = "range long, token long, a long, b long"
+MET = "range long, token long, a long, b long, times long"
 LIST, STAR = 0, 2
 
 
@@ -123,6 +126,17 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data.view("<u8"), offsets // 8
 
 
+def portions(batches, size: int = 1 << 17):
+    """Classes, hashes and starts of about `size` hashes of sets at a time."""
+    for batch in batches:
+        values, offsets = flat(batch.column("data"))
+        names, i = batch.column("digest").to_numpy(), 0
+        while i < len(names):
+            j = min(len(names), max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, "right")) - 1))
+            yield names[i:j], values[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            i = j
+
+
 def coded(batches, shingle: int):
     """Per document its class and size; the set itself where the class is new to the task (SETS)."""
     seen: set[int] = set()
@@ -176,15 +190,14 @@ class Join:
         return s[np.argsort(self.order[(s >> U64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
-        """The rarest shingles of a set, in the global order."""
+        """The rarest shingles of a set, in the global order: those among which its partners' first LEAST common ones are."""
         n = len(s)
-        return self.ordered(s)[: n - -(-self.percent * n // 100) + 1]
+        return self.ordered(s)[: n - -(-self.percent * n // 100) + LEAST]
 
     def index(self, batches):
         """Payloads by range of shingle hash: the prefix entries of each class."""
-        for batch in batches:
-            values, offsets = flat(batch.column("data"))
-            names, n = batch.column("digest").to_numpy(), np.diff(offsets)
+        for names, values, offsets in portions(batches):
+            n = np.diff(offsets)
             parts = [self.prefix(values[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             size = np.array([len(p) for p in parts], np.int64)
             token = np.concatenate([np.empty(0, U64), *parts])
@@ -224,20 +237,33 @@ class Join:
         start, length = runs(token)
         big = np.repeat(length > 1, length)
         token, who, n, pos = token[big], who[big], n[big], pos[big]
+        if len(token):
+            # pairs that can't be linked over their list make no list
+            start, length = runs(token)
+            two = start[length == 2]
+            most = self.most(n, pos)
+            never = two[(n[two + 1] > most[two]) | (n[two] > most[two + 1])]
+            keep = np.ones(len(token), bool)
+            keep[never] = keep[never + 1] = False
+            token, who, n, pos = token[keep], who[keep], n[keep], pos[keep]
         if len(token):
             out.append(_table(LIST, token=token.view(np.int64), digest=who, n=n.astype(np.int32), pos=pos.astype(np.int32)))
             a, b = self.stars(token, who, n, pos)
-            pair = np.unique(np.stack([who[a], who[b]]), axis=1)
+            pair, times = np.unique(np.stack([who[a], who[b], self.least(n[a], n[b])]), axis=1, return_counts=True)
             if pair.shape[1]:
-                out.append(_table(STAR, digest=pair[0], other=pair[1]))
+                out.append(_table(STAR, digest=pair[0], other=pair[1], n=times.astype(np.int32), pos=pair[2].astype(np.int32)))
         return pa.concat_tables(out)
 
     def most(self, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
         """The largest size of a partner that an entry of this size and position can link to over this shingle."""
         by_size = 100 * n // self.percent
-        by_position = (100 + self.percent) * (n - pos) // self.percent - n
+        by_position = (100 + self.percent) * (n - np.maximum(pos - (LEAST - 1), 0)) // self.percent - n
         return np.minimum(by_size, by_position)
 
+    def least(self, n1, n2):
+        """In how many lists linked sets of these sizes meet at least."""
+        return np.minimum(LEAST, need(n1, n2, self.percent))
+
     def stars(self, token, who, n, pos) -> tuple[np.ndarray, np.ndarray]:
         """Leader and member entries: in each list the entry that has the fewest rarer shingles leads all within its reach in size, then the next of the rest."""
         start, length = runs(token)
@@ -295,21 +321,20 @@ class Join:
             if len(found) > before:
                 open_.append(int(cols["token"][first[0]]))
         pair = np.concatenate(found, axis=1)
-        pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
+        pair, times = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1, return_counts=True)
         none, own = pa.nulls(len(open_), pa.int64()), pa.array([t.column("range")[0].as_py()], pa.int64())
-        pairs = pa.table({"range": pa.repeat(own[0], pair.shape[1]), "token": pa.nulls(pair.shape[1], pa.int64()), "a": pair[0], "b": pair[1]})
-        return pa.concat_tables([pairs, pa.table({"range": pa.repeat(own[0], len(open_)), "token": pa.array(open_, pa.int64()), "a": none, "b": none})])
+        pairs = pa.table({"range": pa.repeat(own[0], pair.shape[1]), "token": pa.nulls(pair.shape[1], pa.int64()), "a": pair[0], "b": pair[1], "times": times})
+        return pa.concat_tables([pairs, pa.table({"range": pa.repeat(own[0], len(open_)), "token": pa.array(open_, pa.int64()), "a": none, "b": none, "times": none})])
 
     def crossed(self, t: pa.Table, known: pa.Table) -> pa.Table:
-        """Pairs of different labels and leaders that a list, its bounds and the leaders' answers allow."""
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        """Pairs of different labels and leaders that a list, its bounds and the leaders' answers allow: in how many lists, and in how many they have to be."""
         if not t.num_rows:
-            return none
+            return pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "least", "times")})
         cols, lists = self.groups(t)
         n, leader, d, who = (cols[c] for c in ("n", "leader", "d", "digest"))
         most = self.most(n, cols["pos"])
         apart = dict(zip(zip(known.column("a").to_pylist(), known.column("b").to_pylist()), known.column("d").to_pylist()))
-        found = [np.empty((2, 0), np.int64)]
+        found = [np.empty((3, 0), np.int64)]
         for first, stop in lists:
             near = np.maximum.reduceat(d[first[0] : stop[-1]], first - first[0])
             for k, j, big in self.meeting(first, stop, cols, most):
@@ -324,10 +349,9 @@ class Join:
                     pick = (n[other] <= most[i]) & (n[i] <= most[other]) & (gap - d[i] - d[other] <= self.allowed(n[i], n[other]))
                     at = other[pick]
                     if len(at):
-                        found.append(np.stack([np.full(len(at), who[i]), who[at]]))
-        pair = np.concatenate(found, axis=1)
-        pair = np.unique(np.stack([pair.min(0), pair.max(0)]), axis=1)
-        return pa.table({"a": pair[0], "b": pair[1]})
+                        found.append(np.stack([np.minimum(who[i], who[at]), np.maximum(who[i], who[at]), self.least(n[i], n[at])]))
+        pair, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+        return pa.table({"a": pair[0], "b": pair[1], "least": pair[2], "times": times})
 
     def differences(self, batches):
         """Entries of the difference lists: for each anchored class the prefix of its difference that a link to a class of another label has to share a part of.
@@ -464,9 +488,9 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     spark = docs.sparkSession
     sets = written(documents(docs).mapInArrow(lambda batches: coded(batches, shingle), SETS), "sets", "none")
     members, sets = sets.select("doc_id", "n", "digest"), sets.where("data IS NOT NULL").select("digest", "n", "data")
-    counts = sketch(sets.select("data"), lambda batch: [(flat(batch.column("data"))[0] >> U64(64 - CELL_BITS)).astype(np.int64)], 1 << CELL_BITS, 2**31 - 1)
+    counts = sketch(sets.select("digest", "data"), lambda batch: ((values >> U64(64 - CELL_BITS)).astype(np.int64) for _, values, _ in portions([batch])), 1 << CELL_BITS, 2**31 - 1)
     order = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + counts), 65535).astype(np.uint16))
-    entries = sets.agg(F.sum(F.lit(1) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
+    entries = sets.agg(F.sum(F.lit(LEAST) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
     n_ranges = max(1, min(slots(spark), 4096), -(-int(entries) // ENTRIES))
 
     def make() -> Join:
@@ -475,7 +499,8 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     payload = sets.select("digest", "data").mapInArrow(lambda batches: make().index(batches), "range long, data binary")
     index = written(payload.groupBy("range").applyInArrow(lambda t: make().lists(t), INDEX), "index")
     lists = index.where(F.col("kind") == LIST).select("token", "digest", "n", "pos")
-    stars = index.where(F.col("kind") == STAR).select(F.col("digest").alias("a"), F.col("other").alias("b")).distinct()
+    enough = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least")).where("times >= least").select("a", "b")
+    stars = enough(index.where(F.col("kind") == STAR).select(F.col("digest").alias("a"), F.col("other").alias("b"), F.col("n").alias("times"), F.col("pos").alias("least")))
 
     def tested(pairs: DataFrame, what: str, told: bool = False) -> DataFrame:
         """The pairs (a, b) with both sizes and their overlap (ANSWER), and their difference if told."""
@@ -509,12 +534,12 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     met = written(labelled(label, lists).groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met")
     met, still = met.where("token IS NULL"), lists.join(met.where("token IS NOT NULL").select("token"), "token", "left_semi")
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
-    second = tested(met.select("a", "b").distinct().join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
+    second = tested(enough(met.withColumn("least", F.lit(LEAST))).join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
     links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
     label = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second.where(linked).select("a", "b"))), "labels")
     answers = known.unionAll(second.select(known.columns)).select("a", "b", differ).distinct()
     told = met.join(answers, ["a", "b"]).select("range", "a", "b", "d")
-    cross = labelled(label, still).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long")
+    cross = labelled(label, still).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long, least long, times long")
     # classes of one anchor, by their differences to it
     delta = star.join(first.select(F.col("a").alias("leader"), F.col("b").alias("digest"), F.col("n_a").alias("n_leader"), F.col("n_b").alias("n"), "delta"), ["leader", "digest"])
     delta = delta.join(label.withColumnRenamed("vertex", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
@@ -523,13 +548,13 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
     shared = delta.mapInArrow(lambda batches: make().differences(batches), "leader long, digest long, n long, d long, label long, token long, pos long, linked boolean")
     shared = shared.withColumn("range", F.pmod(F.xxhash64("leader", "token"), F.lit(n_ranges)))
     inside = shared.groupBy("range").applyInArrow(lambda t: make().within(t), "a long, b long")
-    third = tested(cross.unionAll(inside).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest").where(linked).select("a", "b")
+    third = tested(enough(cross).unionAll(inside).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest").where(linked).select("a", "b")
     links = links.unionAll(third)
     if complete:
         # leaders of stars that meet in a list, now of the same component too
         own = lambda: labelled(label, lists).withColumn("label", F.col("leader"))
         near = written(own().groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met").where("token IS NULL")
-        more = tested(near.select("a", "b").distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
+        more = tested(enough(near.withColumn("least", F.lit(LEAST))).join(answers.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
         answers = answers.unionAll(more.select("a", "b", differ)).distinct()
         told = near.join(answers, ["a", "b"]).select("range", "a", "b", "d")
         pairs = own().groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().derived(t, k), "a long, b long, sure long")
