@@ -14,20 +14,51 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Times in a block of a long series.
+BLOCK = 1 << 16
+
+
 def series():
     """Rows of a dataset in time."""
     return Window.partitionBy("dataset").orderBy("t")
 
 
+def overlapping(df: DataFrame, before: int, after: int = 0, block: int = BLOCK) -> DataFrame:
+    """df's rows by `block` of times, each block with the last `before` rows of the one before it and the first `after` of the next: one long series is work for many tasks."""
+    block = max(block, before + 1, after + 1)
+    own, place = F.floor(F.col("t") / block), F.pmod(F.col("t"), F.lit(block))
+    at = F.array_compact(F.array(F.when(place < after, own - 1), own, F.when(place >= block - before, own + 1)))
+    return df.withColumn("own", own).withColumn("block", F.explode(at)).withColumn("own", F.col("own") == F.col("block"))
+
+
 def autocorrelation(df: DataFrame, value: str, max_lag: int) -> DataFrame:
-    """(dataset, lag, r): Pearson's correlation of the series with itself, lag by lag."""
-    lagged = df.select("dataset", F.col(value).alias("x"), *[F.lag(value, k).over(series()).alias(f"l{k}") for k in range(1, max_lag + 1)])
-    wide = lagged.groupBy("dataset").agg(F.lit(1.0).alias("r0"), *[F.corr("x", f"l{k}").alias(f"r{k}") for k in range(1, max_lag + 1)])
-    return wide.select("dataset", F.posexplode(F.array(*[F.col(f"r{k}") for k in range(max_lag + 1)])).alias("lag", "r"))
+    """(dataset, lag, r): Pearson's correlation of the series with itself, lag by lag; sums of blocks, so that neither lags nor length make a wide plan."""
+    means = df.groupBy("dataset").agg(F.avg(value).alias("mean"))
+    rows = overlapping(df.select("dataset", "t", F.col(value).cast("double").alias("x")), max_lag).join(means, "dataset").select("dataset", "block", "t", "own", (F.col("x") - F.col("mean")).alias("x"))
+
+    def sums(t: pa.Table) -> pa.Table:
+        at = t.column("t").to_numpy()
+        first = int(at.min())
+        x, own = np.full(int(at.max()) - first + 1, np.nan), np.zeros(int(at.max()) - first + 1, bool)
+        x[at - first] = t.column("x").to_numpy(zero_copy_only=False)
+        own[at - first] = t.column("own").to_numpy(zero_copy_only=False)
+        out = []
+        for k in range(max_lag + 1):
+            a, b = x[k:], x[: len(x) - k]
+            ok = own[k:] & ~np.isnan(a) & ~np.isnan(b)
+            a, b = a[ok], b[ok]
+            out.append((k, len(a), a.sum(), b.sum(), a @ a, b @ b, a @ b))
+        cols = [np.array(c) for c in zip(*out)]
+        return pa.table({"dataset": pa.repeat(t.column("dataset")[0], len(out)), "lag": cols[0].astype(np.int32)} | {c: v.astype(float) for c, v in zip(("n", "a", "b", "aa", "bb", "ab"), cols[1:])})
+
+    parts = rows.groupBy("dataset", "block").applyInArrow(sums, "dataset string, lag int, n double, a double, b double, aa double, bb double, ab double")
+    total = parts.groupBy("dataset", "lag").agg(*[F.sum(c).alias(c) for c in ("n", "a", "b", "aa", "bb", "ab")])
+    r = (F.col("n") * F.col("ab") - F.col("a") * F.col("b")) / F.sqrt((F.col("n") * F.col("aa") - F.col("a") ** 2) * (F.col("n") * F.col("bb") - F.col("b") ** 2))
+    return total.select("dataset", "lag", F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(r).alias("r"))
 
 
 def block_length(r: np.ndarray, n: int, most: float = 0.1) -> int:
-    """Block length for resampling from an autocorrelation: exponential decay of its envelope, then Pfeifer's formula; at most a share of the series."""
+    """Block length for resampling from an autocorrelation: exponential decay of its envelope, then Pfeifer's formula; at most a share of the series, and a twentieth of it where the fit fails."""
     spectrum = np.fft.fft(r)
     half = np.zeros(len(r))
     half[0] = 1
@@ -40,10 +71,14 @@ def block_length(r: np.ndarray, n: int, most: float = 0.1) -> int:
     for _ in range(200):  # Gauss-Newton on a * d**k
         model = a * d**k
         j = np.stack([d**k, a * k * d ** np.maximum(k - 1, 0)], axis=1)
+        if not np.isfinite(j).all():
+            return max(1, int(0.05 * n))
         step = np.linalg.lstsq(j, envelope - model, rcond=None)[0]
         a, d = a + step[0], min(max(d + step[1], 1e-6), 1 - 1e-6)
         if np.abs(step).max() < 1e-10:
             break
+    else:
+        return max(1, int(0.05 * n))
     x = d / (1 - d)
     size = (4 * n * (x + x * x) ** 2 / (1 + 2 * x) ** 2) ** (1 / 3)
     return int(min(max(1, size), max(1, int(most * n))))
@@ -53,17 +88,32 @@ def smooth(df: DataFrame, value: str, width: int, kernel: str = "heaviside", res
     """df with `smoothed`: the moving mean of 2 * ceil(width / 2) - 1 values, or the mean weighted by exp(-distance**2 / width**2); masked values carry no weight."""
     x = F.when(~F.col(mask), F.col(value)) if mask else F.col(value)
     if kernel == "heaviside":
-        c = math.ceil(width / 2)
-        out = df.withColumn("smoothed", F.avg(x).over(series().rowsBetween(-(c - 1), c - 1)))
+        c = math.ceil(width / 2) - 1
+        near = Window.partitionBy("dataset", "block").orderBy("t").rowsBetween(-c, c)
+        out = overlapping(df, c, c).withColumn("smoothed", F.avg(x).over(near)).where("own").drop("own", "block")
     elif kernel == "gaussian":
-        # beyond nine widths the weight is below 1e-35
+        # beyond nine widths the weight is below 1e-35; where nothing is that near, weights relative to the nearest value count
         reach = 9 * width
-        near = df.select("dataset", F.col("t").alias("s"), x.alias("v")).where("v is not null")
-        near = near.select("dataset", "s", "v", F.explode(F.sequence(F.floor(F.col("s") / reach) - 1, F.floor(F.col("s") / reach) + 1)).alias("cell"))
+        values = df.select("dataset", F.col("t").alias("s"), x.alias("v")).where("v is not null")
+        near = values.select("dataset", "s", "v", F.explode(F.sequence(F.floor(F.col("s") / reach) - 1, F.floor(F.col("s") / reach) + 1)).alias("cell"))
         own = df.select("dataset", "t", F.floor(F.col("t") / reach).alias("cell"))
         pairs = own.join(near, ["dataset", "cell"]).where(F.abs(F.col("t") - F.col("s")) <= reach)
         weight = F.exp(-((F.col("t") - F.col("s")) ** 2) / F.lit(float(width**2)))
         means = pairs.groupBy("dataset", "t").agg((F.sum(weight * F.col("v")) / F.sum(weight)).alias("smoothed"))
+        far = df.select("dataset", "t").join(means, ["dataset", "t"], "left_anti")
+        sides = []
+        for pick, side in ((F.max_by, F.col("s") < F.col("t")), (F.min_by, F.col("s") > F.col("t"))):
+            # cells of the occupied stretches, not values, are compared
+            cells = values.groupBy("dataset", F.floor(F.col("s") / reach).alias("cell")).agg(F.min("s").alias("low"), F.max("s").alias("high"))
+            edge = "high" if pick is F.max_by else "low"
+            met = far.join(cells.withColumn("s", F.col(edge)), "dataset").where(side)
+            sides.append(met.groupBy("dataset", "t").agg((F.max("s") if pick is F.max_by else F.min("s")).alias("s")))
+        ends = sides[0].unionAll(sides[1])
+        least = ends.groupBy("dataset", "t").agg(F.min(F.abs(F.col("t") - F.col("s"))).alias("least"))
+        spots = ends.join(least, ["dataset", "t"]).select("dataset", "t", "least", F.explode(F.sequence(F.floor(F.col("s") / reach) - 1, F.floor(F.col("s") / reach) + 1)).alias("cell")).distinct()
+        whole = values.withColumn("cell", F.floor(F.col("s") / reach))
+        rest = F.exp((F.col("least") ** 2 - (F.col("t") - F.col("s")) ** 2) / F.lit(float(width**2)))
+        means = means.unionAll(spots.join(whole, ["dataset", "cell"]).groupBy("dataset", "t").agg((F.sum(rest * F.col("v")) / F.sum(rest)).alias("smoothed")))
         out = df.join(means, ["dataset", "t"], "left")
     else:
         raise ValueError("kernel is heaviside or gaussian")

@@ -40,6 +40,7 @@ class Answer:
     p: float
     n: int = 0
     dim: int = 0
+    conf: tuple[float, float] | None = None
 
 
 @dataclass
@@ -112,12 +113,15 @@ class Data:
             parts.append(F.when(self.valid(q), F.struct(F.lit(k).alias("k"), F.array(*[F.col(column(n)) for n in nodes]).alias("v"))))
         rows = self.embedding().select("dataset", "t", F.explode(F.array_compact(F.array(*parts))).alias("r")).select("dataset", "t", "r.k", "r.v")
         asked = list(questions)
+        kinds = pa.schema([(name, {"long": pa.int64(), "double": pa.float64()}[kind]) for name, kind in (c.split() for c in schema.split(", "))])
 
         def run(t: pa.Table) -> pa.Table:
             k = t.column("k")[0].as_py()
             t = t.sort_by([("dataset", "ascending"), ("t", "ascending")])
-            x = np.array(t.column("v").to_pylist(), float)
-            return pa.Table.from_pylist(fn(k, x, asked[k]), schema=None)
+            q, v = asked[k], t.column("v").combine_chunks()
+            v = v if isinstance(v, pa.Array) else pa.concat_arrays(v.chunks)
+            x = v.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, len(q.x) + len(q.y) + len(q.z))
+            return pa.Table.from_pylist(fn(k, x, q), schema=kinds)
 
         return rows.groupBy("k").applyInArrow(run, schema)
 
@@ -204,6 +208,17 @@ class ParCorr:
         low, high = (at + t_ppf(q, df) for q in ((1 - level) / 2, (1 + level) / 2))
         return low / math.sqrt(df + low * low), high / math.sqrt(df + high * high)
 
+    @staticmethod
+    def reduced(x, y, z, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Residuals of the one X and the one Y on Z and a constant."""
+        z = np.concatenate([np.ones((len(x), 1)), z], axis=1)
+        return residuals(x[:, 0], z), residuals(y[:, 0], z)
+
+    @staticmethod
+    def between(a: np.ndarray, b: np.ndarray) -> float:
+        scale = a.std() * b.std()
+        return float(np.mean((a - a.mean()) * (b - b.mean())) / scale) if scale > 0 else 0.0
+
     def score(self, data: Data, target: Node, parents: Sequence[Node], kind: str = "aic") -> float:
         """Information criterion of the linear model of target on parents; smaller is better."""
         q = data.expanded(Question((target,), (target,), tuple(parents)))
@@ -243,6 +258,21 @@ class ParCorrMult:
         return Answer(val, chi2_sf(-(m.n - dz - 0.5 * (dx + dy + 1)) * math.log(val), dx * dy), m.n, dx + dy + dz)
 
 
+    @staticmethod
+    def reduced(x, y, z, rng) -> tuple[np.ndarray, np.ndarray]:
+        z = np.concatenate([np.ones((len(x), 1)), z], axis=1)
+        return residuals(x, z), residuals(y, z)
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> float:
+        dx = a.shape[1]
+        c = np.corrcoef(np.concatenate([a, b], axis=1), rowvar=False)
+        if self.measure == "max_corr":
+            part = c[:dx, dx:]
+            return float(part.flat[np.abs(part).argmax()])
+        root = np.linalg.lstsq(c[:dx, :dx], c[:dx, dx:], rcond=None)[0] @ np.linalg.lstsq(c[dx:, dx:], c[dx:, :dx], rcond=None)[0]
+        return float(np.prod(1 - np.clip(np.linalg.eigvals(root).real, 0, 1 - 1e-15)))
+
+
 def normal_scores(x: np.ndarray, edge: float = 1e-5) -> np.ndarray:
     """Ranks of each column (ties: the largest) as quantiles of the normal distribution."""
     out = np.empty_like(x)
@@ -261,35 +291,46 @@ def residuals(target: np.ndarray, z: np.ndarray, weight: np.ndarray | None = Non
     return target - z @ np.linalg.lstsq(z * w[:, None], target * w, rcond=None)[0]
 
 
+def arrays(x, y, z=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two-dimensional (rows, variables)."""
+    x, y = (np.asarray(a, float).reshape(len(a), -1) for a in (x, y))
+    return x, y, np.empty((len(x), 0)) if z is None else np.asarray(z, float).reshape(len(x), -1)
+
+
 class SampleTest:
-    """A test that needs the sample itself: measure(x, y, z, generator) -> value, p."""
+    """A test that needs the sample itself: measure(x, y, z, generator) -> value, p and, if it gives one, the bounds of an interval.
 
-    name, two_sided = "", True
+    A typed test gets kinds too: flags of the discrete columns of x, y and z."""
 
-    def measure(self, x: np.ndarray, y: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
-        raise NotImplementedError
+    name, two_sided, typed = "", True, False
 
     def run(self, data: Data, questions: Sequence[Question], seed: int = 42) -> list[Answer]:
         asked = [data.expanded(q) for q in questions]
         out = [Answer(0.0, 1.0) for _ in asked]
+        discrete = frozenset(data.panel.discrete)
 
         def one(k: int, v: np.ndarray, q: Question):
             a, b = len(q.x), len(q.x) + len(q.y)
             keep = v.std(axis=0) > 0
             x, y, z = v[:, :a][:, keep[:a]], v[:, a:b][:, keep[a:b]], v[:, b:][:, keep[b:]]
-            val, p = self.measure(x, y, z, np.random.default_rng([seed, k])) if x.shape[1] and y.shape[1] else (0.0, 1.0)
-            return [{"k": k, "val": float(val), "p": float(p), "n": len(v)}]
-
-        for r in data.samples(asked, one, "k long, val double, p double, n long").collect():
+            more = {}
+            if self.typed:
+                flag = np.array([n[0] in discrete for n in (*q.x, *q.y, *q.z)], bool)
+                more["kinds"] = flag[:a][keep[:a]], flag[a:b][keep[a:b]], flag[b:][keep[b:]]
+            got = self.measure(x, y, z, np.random.default_rng([seed, k]), **more) if x.shape[1] and y.shape[1] else (0.0, 1.0)
+            val, p, low, high = (*got, None, None)[:4]
+            return [{"k": k, "val": float(val), "p": float(p), "n": len(v), "low": low and float(low), "high": high and float(high)}]
+
+        for r in data.samples(asked, one, "k long, val double, p double, n long, low double, high double").collect():
             q = asked[r["k"]]
-            out[r["k"]] = Answer(r["val"], r["p"], r["n"], len(q.x) + len(q.y) + len(q.z))
+            out[r["k"]] = Answer(r["val"], r["p"], r["n"], len(q.x) + len(q.y) + len(q.z), None if r["low"] is None else (r["low"], r["high"]))
         return out
 
-    def raw(self, x, y, z=None, seed: int = 42) -> Answer:
+    def raw(self, x, y, z=None, seed: int = 42, **more) -> Answer:
         """The test on arrays (rows, variables)."""
-        x, y = (np.asarray(a, float).reshape(len(a), -1) for a in (x, y))
-        z = np.empty((len(x), 0)) if z is None else np.asarray(z, float).reshape(len(x), -1)
-        return Answer(*map(float, self.measure(x, y, z, np.random.default_rng([seed, 0]))), len(x), x.shape[1] + y.shape[1] + z.shape[1])
+        x, y, z = arrays(x, y, z)
+        got = self.measure(x, y, z, np.random.default_rng([seed, 0]), **more)
+        return Answer(float(got[0]), float(got[1]), len(x), x.shape[1] + y.shape[1] + z.shape[1], tuple(map(float, got[2:])) or None)
 
 
 class RobustParCorr(SampleTest):
@@ -297,39 +338,66 @@ class RobustParCorr(SampleTest):
 
     name = "robust_par_corr"
 
-    def measure(self, x, y, z, rng):
+    def reduced(self, x, y, z, rng):
         v = normal_scores(np.concatenate([x, y, z], axis=1))
         v = (v - v.mean(0)) / v.std(0)
-        a, b = residuals(v[:, 0], v[:, 2:]), residuals(v[:, 1], v[:, 2:])
-        val = float(np.corrcoef(a, b)[0, 1])
-        return val, ParCorr.p_value(val, len(v), v.shape[1])
+        return residuals(v[:, 0], v[:, 2:]), residuals(v[:, 1], v[:, 2:])
+
+    between = staticmethod(ParCorr.between)
+
+    def measure(self, x, y, z, rng):
+        val = self.between(*self.reduced(x, y, z, rng))
+        return val, ParCorr.p_value(val, len(x), 2 + z.shape[1])
 
 
 class ParCorrWLS(SampleTest):
-    """Partial correlation for noise whose spread changes in time: weighted least squares with the rolling mean of absolute residuals."""
+    """Partial correlation for noise whose spread changes: weighted least squares.
+
+    The spread is estimated from the absolute residuals: by `window` rows along time (expert "time"), or by the `window` nearest
+    values of one parent in Z (expert: that parent's place in Z); or it is known: spreads of X and Y, one value a row.
+    """
 
     name = "par_corr_wls"
 
-    def __init__(self, window: int = 10, robust: bool = False):
-        self.window, self.robust = window, robust
+    def __init__(self, window: int = 10, robust: bool = False, expert: str | int | tuple = "time", known: tuple[np.ndarray, np.ndarray] | None = None):
+        self.window, self.robust, self.known = window, robust, known
+        self.expert = expert if isinstance(expert, tuple) else (expert, expert)
 
-    def spread(self, r: np.ndarray) -> np.ndarray:
+    def rolling(self, r: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(np.abs(r))])
         out = np.ones(len(r))
         out[self.window - 1 :] = (total[self.window :] - total[: -self.window]) / self.window
         return np.maximum(out, 1e-12)
 
-    def measure(self, x, y, z, rng):
+    def spread(self, r: np.ndarray, z: np.ndarray, by) -> np.ndarray:
+        if by is None:
+            return np.ones(len(r))
+        if by == "time":
+            return self.rolling(r)
+        order = np.argsort(z[:, by], kind="stable")
+        out = np.empty(len(r))
+        half = self.window // 2
+        total = np.concatenate([[0], np.cumsum(np.abs(r[order]))])
+        low, high = np.maximum(np.arange(len(r)) - half, 0), np.minimum(np.arange(len(r)) + half + 1, len(r))
+        out[order] = (total[high] - total[low]) / (high - low)
+        return np.maximum(out, 1e-12)
+
+    def reduced(self, x, y, z, rng):
         v = np.concatenate([x, y, z], axis=1)
         if self.robust:
             v = normal_scores(v)
         v = (v - v.mean(0)) / v.std(0)
         parts = []
         for k in (0, 1):
-            s = self.spread(residuals(v[:, k], v[:, 2:]))
+            s = np.asarray(self.known[k], float) if self.known is not None else self.spread(residuals(v[:, k], v[:, 2:]), z, self.expert[k])
             parts.append(residuals(v[:, k], v[:, 2:], 1 / s) / s)
-        val = float(np.corrcoef(*parts)[0, 1])
-        return val, ParCorr.p_value(val, len(v), v.shape[1])
+        return parts
+
+    between = staticmethod(ParCorr.between)
+
+    def measure(self, x, y, z, rng):
+        val = self.between(*self.reduced(x, y, z, rng))
+        return val, ParCorr.p_value(val, len(x), 2 + z.shape[1])
 
 
 def neighbours(v: np.ndarray, k: int) -> np.ndarray:
@@ -377,6 +445,15 @@ class CMIknn(SampleTest):
         xz, yz, only = within(np.concatenate([x, z], 1), radius), within(np.concatenate([y, z], 1), radius), within(z, radius)
         return float(digamma(np.array([k]))[0] - (digamma(xz) + digamma(yz) - digamma(only)).mean())
 
+    def conditional_entropy(self, x, z, seed: int = 42) -> float:
+        """Of X given Z, in nats: neighbours of (X, Z) and of Z at the same distances."""
+        x, z, _ = arrays(x, z)
+        v = self.prepared(np.concatenate([x, z], axis=1), np.random.default_rng([seed, 0]))
+        k = max(1, int(self.knn * len(v))) if self.knn < 1 else int(self.knn)
+        radius = neighbours(v, k)
+        near = within(v[:, x.shape[1] :], radius * 0.999999999)
+        return float(digamma(near).mean() - digamma(np.array([k]))[0] + x.shape[1] * np.log(2 * np.maximum(radius, 1e-300)).mean())
+
     def measure(self, x, y, z, rng):
         v = self.prepared(np.concatenate([x, y, z], axis=1), rng)
         dx, dy = x.shape[1], y.shape[1]
@@ -466,12 +543,18 @@ class GPDC(SampleTest):
                     best, out = like, v @ (noise * proj / e)
         return out
 
-    def measure(self, x, y, z, rng):
+    def reduced(self, x, y, z, rng):
         a, b = x[:, 0], y[:, 0]
         if z.shape[1]:
             a, b = self.fitted(a, z), self.fitted(b, z)
         rank = lambda v: np.searchsorted(np.sort(v), v, "right") / len(v)
-        val = distance_correlation(rank(a), rank(b))
+        return rank(a), rank(b)
+
+    between = staticmethod(distance_correlation)
+
+    def measure(self, x, y, z, rng):
+        a, b = self.reduced(x, y, z, rng)
+        val = self.between(a, b)
         return val, float(np.mean(null_distance_correlations(len(a), self.samples) > abs(val)))
 
 

@@ -125,8 +125,8 @@ class Discovery:
 
     # -- momentary conditional independence -------------------------------------------------------
 
-    def momentary(self, tau_max: int, tau_min: int = 0, parents: dict[int, list[Node]] | None = None, max_conds_py: int | None = None, max_conds_px: int | None = None, alpha: float = 0.05, fdr: bool = False, links: Assumed | None = None, kind: str = "mci", conf: float | None = None) -> Found:
-        """One test for each link. kind: mci (parents of both sides), bivci (own past), fullci (whole past), pair (nothing)."""
+    def momentary(self, tau_max: int, tau_min: int = 0, parents: dict[int, list[Node]] | None = None, max_conds_py: int | None = None, max_conds_px: int | None = None, alpha: float = 0.05, fdr: bool = False, links: Assumed | None = None, kind: str = "mci", conf: float | None = None, fdr_contemporaneous: bool = False) -> Found:
+        """One test for each link. kind: mci (parents of both sides), bivci (own past), fullci (whole past), pair (nothing). fdr corrects over the lagged links, or all."""
         self.at(tau_max)
         parents = parents or {}
         assumed = assumptions(self.n, tau_min, tau_max, links)
@@ -150,11 +150,13 @@ class Discovery:
         for (i, j, t, mark), a in zip(at, answers):
             sure = mark in ("-->", "<--", "o-o") and links is not None and "?" not in mark
             val[i, j, t], p[i, j, t] = (1.0, 0.0) if sure else (a.val, a.p)
-            if conf:
+            if a.conf is not None and conf:
+                bounds[i, j, t] = a.conf
+            elif conf:
                 bounds[i, j, t] = ParCorr.confidence(a.val, a.n, a.dim, conf)
         counted = np.zeros(shape, bool)
         for i, j, t, _ in at:
-            counted[i, j, t] = t > 0
+            counted[i, j, t] = t > 0 or fdr_contemporaneous
         q = fdr_values(p, counted) if fdr else p
         val, q = self.symmetrised(val, q)
         return Found(val, q, self.graph_of(q, alpha, tau_min), dict(parents), conf=bounds)
@@ -267,19 +269,21 @@ class Discovery:
                             sepsets[(x, -t), y] = s
                         break
             dim += 1
-        graph[np.char.find(graph, "?") >= 0] = np.char.replace(graph[np.char.find(graph, "?") >= 0], "?", "-")
+        open_ = np.char.find(graph, "?") >= 0
+        if open_.any():
+            graph[open_] = np.char.replace(graph[open_], "?", "-")
         return Found(val, p, graph, sepsets=sepsets)
 
     @staticmethod
     def triples(graph: np.ndarray) -> list[tuple[Node, int, int]]:
-        """Unshielded (i, -t) *-> k o-o j or (i, 0) o-o k o-o j."""
+        """Unshielded (i, -t) --> k o-o j or (i, 0) o-o k o-o j."""
         n, out = len(graph), []
         for k, i in product(range(n), repeat=2):
             for t in range(graph.shape[2]):
-                if (i, t) == (k, 0) or graph[i, k, t] == "" or (t == 0 and graph[i, k, 0] != "o-o"):
+                if (i, t) == (k, 0) or graph[i, k, t] == "" or (t == 0 and graph[i, k, 0] not in ("o-o", "-->")):
                     continue
                 for j in range(n):
-                    if graph[j, k, 0] == "o-o" and j != k and (i, t) != (j, 0) and graph[i, j, t] == "" and not (t == 0 and i > j):
+                    if graph[j, k, 0] == "o-o" and j != k and (i, t) != (j, 0) and graph[i, j, t] == "" and not (t == 0 and graph[i, k, 0] == "o-o" and i > j):
                         out.append(((i, -t), k, j))
         return out
 
@@ -304,8 +308,9 @@ class Discovery:
                     found.ambiguous.append(triple)
                 elif share <= limit if rule == "conservative" else share < limit:
                     heads.append(triple)
+        directed = {(i, k) for (i, lag), k, _ in heads if lag == 0 and graph[i, k, 0] == "-->"}
         for (i, lag), k, j in heads:
-            if lag == 0:
+            if lag == 0 and (i, k) not in directed:
                 self.head(graph, i, k, conflicts)
             self.head(graph, j, k, conflicts)
 
@@ -339,12 +344,9 @@ class Discovery:
                     self.head(g, i, j, conflicts)
 
     def graph_score(self, found: Found) -> float:
-        """Mean score of all variables' models in one directed graph of the class."""
-        g = found.graph.copy()
+        """Mean score of all variables' models in one directed graph of the class, variables of strong links first."""
         order = sorted(range(self.n), key=lambda j: -np.abs(found.val[:, j]).sum())
-        for i, j in combinations(order, 2):
-            if g[i, j, 0] in ("o-o", "x-x"):
-                g[i, j, 0], g[j, i, 0] = "-->", "<--"
+        g = directed_member(found.graph, order)
         return float(np.mean([self.test.score(self.data, (j, 0), [(i, -t) for i in range(self.n) for t in range(g.shape[2]) if g[i, j, t] == "-->"]) for j in range(self.n)]))
 
     # -- repeated runs --------------------------------------------------------------------------------
@@ -368,7 +370,7 @@ class Discovery:
                 own._nodes, own._whole, own._gaps = set(nodes), {(): m}, False
                 out[run] = own
             return out
-        df = df.persist()
+        df = df.persist()  # read once for each run; released with the session's cache
         out = {}
         for r in df.select("run").distinct().orderBy("run").collect():  # one row for each window or sample
             own = Data(self.panel, tau_max, self.cut_off, self.mask_type, frame=df.where(F.col("run") == r["run"]).drop("run"))
@@ -392,6 +394,41 @@ class Discovery:
         return summary(self.panel.df.sparkSession.createDataFrame(rows, LINKS + ", link string"), level)
 
 
+def directed_member(graph: np.ndarray, order: Sequence[int] | None = None) -> np.ndarray:
+    """One directed graph of the class that a partly directed graph stands for: again and again a variable without links out of it whose undirected neighbours are
+    neighbours of all its other neighbours takes all its open links in (Dor and Tarsi). Conflicting links count as undirected.
+
+    If the graph stands for no class (conflicts can lead to that), the rest is directed in the given order."""
+    n = len(graph)
+    order = list(range(n)) if order is None else list(order)
+    g, left = graph.copy(), set(range(n))
+    open_ = lambda i, j: g[i, j, 0] in ("o-o", "x-x")
+    near = lambda i: {j for j in left if j != i and g[i, j, 0] != ""}
+    out = graph.copy()
+
+    def point(i: int, j: int) -> None:
+        out[i, j, 0], out[j, i, 0] = "-->", "<--"
+
+    while left:
+        for x in order:
+            if x not in left or any(g[x, j, 0] == "-->" for j in left):
+                continue
+            own = near(x)
+            free = {j for j in own if open_(x, j)}
+            if all(own - {j} <= near(j) for j in free):
+                for j in free:
+                    point(j, x)
+                left.discard(x)
+                break
+        else:
+            rank = {x: k for k, x in enumerate(order)}
+            for i, j in combinations(sorted(left, key=rank.get), 2):
+                if open_(i, j):
+                    point(i, j)
+            break
+    return out
+
+
 @dataclass
 class _Selection:
     """State of the parent selection of one variable at one alpha."""

@@ -15,9 +15,13 @@ from lagweave.functions import transforms as T
 from lagweave.operators import links as L
 from lagweave.operators.ci import CMIknn, CMIsymb, Data, GPDC, GSquared, OracleCI, PairwiseMultCI, ParCorr, ParCorrMult, ParCorrWLS, Question, RobustParCorr, symbols, with_margins
 from lagweave.operators.embedding import column, lagged, sample
+from lagweave.operators.mixed import CMIknnMixed, RegressionCI
 from lagweave.operators.moments import moments
+from lagweave.operators.significance import Bootstrapped, Shuffled, Thresholded
 from lagweave.plans.effects import CausalEffects
 from lagweave.plans.graphs import ancestor_table, from_links
+from lagweave.plans.joint import JointDiscovery, RegimeDiscovery
+from lagweave.plans.lpcmci import LatentDiscovery
 from lagweave.plans.models import LinearModel, Mediation, Prediction, bootstrap_effects
 from lagweave.plans.pcmci import Discovery, windowed
 from lagweave.sources.panel import Panel, event_days, event_hours, lineitem_days, order_weeks
@@ -28,29 +32,32 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Panels in SQL.
-EVT_DAY = """evt_day AS (
+EVT_DAY = """ev AS (
+  SELECT datediff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS t, event_type FROM events
+), evt_day AS (
   SELECT CAST(d.t AS BIGINT) AS t, coalesce(click, 0.0) AS v0, coalesce(error, 0.0) AS v1, coalesce(purchase, 0.0) AS v2, coalesce(signup, 0.0) AS v3, coalesce(view, 0.0) AS v4
-  FROM range(30) d(t) LEFT JOIN (
-    SELECT datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t,
-      CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS error,
+  FROM range((SELECT max(t) + 1 FROM ev)) d(t) LEFT JOIN (
+    SELECT t, CAST(count(*) FILTER (WHERE event_type = 'click') AS DOUBLE) AS click, CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS error,
       CAST(count(*) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS purchase, CAST(count(*) FILTER (WHERE event_type = 'signup') AS DOUBLE) AS signup,
       CAST(count(*) FILTER (WHERE event_type = 'view') AS DOUBLE) AS view
-    FROM events GROUP BY 1) e ON d.t = e.t)"""
+    FROM ev GROUP BY t) e ON d.t = e.t)"""
 LI_DAY = """li AS (
-  SELECT datediff('day', DATE '1995-01-02', CAST(l_shipdate AS DATE)) AS t, l_quantity, l_extendedprice * (1 - l_discount) AS rev, l_returnflag AS f FROM lineitem
+  SELECT datediff('day', (SELECT min(CAST(l_shipdate AS DATE)) FROM lineitem), CAST(l_shipdate AS DATE)) AS t, l_quantity, l_extendedprice * (1 - l_discount) AS rev, l_returnflag AS f FROM lineitem
 ), li_day AS (
   SELECT CAST(d.t AS BIGINT) AS t, coalesce(q, 0.0) AS v0, coalesce(rev, 0.0) AS v1, coalesce(a, 0.0) AS v2, coalesce(n, 0.0) AS v3, coalesce(r, 0.0) AS v4
   FROM range((SELECT max(t) + 1 FROM li)) d(t) LEFT JOIN (
     SELECT t, sum(l_quantity) AS q, sum(rev) AS rev, CAST(count(*) FILTER (WHERE f = 'A') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE f = 'N') AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE f = 'R') AS DOUBLE) AS r
     FROM li GROUP BY t) s ON d.t = s.t)"""
-EVT_HOUR = """evt_hour AS (
-  SELECT CAST(d.t AS BIGINT) AS t, v0, v1, v2, v3, v4 FROM range(720) d(t) LEFT JOIN (
-    SELECT CAST(floor(date_diff('second', TIMESTAMP '2024-01-01', ts) / 3600) AS BIGINT) AS t,
+EVT_HOUR = """ends AS (
+  SELECT date_trunc('day', min(ts)) AS first, datediff('day', min(ts), max(ts)) + 1 AS days FROM events
+), evt_hour AS (
+  SELECT CAST(d.t AS BIGINT) AS t, v0, v1, v2, v3, v4 FROM range((SELECT 24 * days FROM ends)) d(t) LEFT JOIN (
+    SELECT CAST(floor(date_diff('second', (SELECT CAST(first AS TIMESTAMP) FROM ends), ts) / 3600) AS BIGINT) AS t,
       avg(value) FILTER (WHERE event_type = 'click') AS v0, avg(value) FILTER (WHERE event_type = 'error') AS v1, avg(value) FILTER (WHERE event_type = 'purchase') AS v2,
       avg(value) FILTER (WHERE event_type = 'signup') AS v3, avg(value) FILTER (WHERE event_type = 'view') AS v4
     FROM events GROUP BY 1) e ON d.t = e.t)"""
 ORD_SEG = """w AS (
-  SELECT c_mktsegment AS segment, CAST(floor(datediff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 7) AS BIGINT) AS t, o_totalprice, o_orderpriority
+  SELECT c_mktsegment AS segment, CAST(floor(datediff('day', (SELECT min(CAST(o_orderdate AS DATE)) FROM orders), CAST(o_orderdate AS DATE)) / 7) AS BIGINT) AS t, o_totalprice, o_orderpriority
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), ord_seg AS (
   SELECT s.segment AS dataset, CAST(d.t AS BIGINT) AS t, coalesce(n, 0.0) AS v0, coalesce(p, 0.0) AS v1, coalesce(u, 0.0) AS v2
@@ -59,6 +66,37 @@ ORD_SEG = """w AS (
   ON x.segment = s.segment AND x.t = d.t)"""
 
 
+# Formulas in SQL.
+def sql_t_p(r: str, n: str, dim: str) -> str:
+    """Two-sided p of a correlation: Student's distribution function as an integral of a power of the cosine, by Simpson's rule."""
+    df = f"(({n}) - ({dim}))"
+    theta = f"atan(abs({r}) / sqrt(1 - ({r}) * ({r})))"
+    area = f"list_sum(list_transform(range(2001), lambda k: (CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({theta} * k / 2000.0), {df} - 1))) * {theta} / 6000.0"
+    return f"greatest(0.0, 1 - 2 * exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt(pi()) * {area})"
+
+
+def sql_pcor(r: Callable[[str, str], str], x: str, y: str, z: list[str]) -> str:
+    """Partial correlation as an expression of plain ones, condition by condition."""
+    if not z:
+        return r(x, y)
+    xy, xz, yz = (sql_pcor(r, a, b, z[1:]) for a, b in ((x, y), (x, z[0]), (y, z[0])))
+    return f"(({xy} - {xz} * {yz}) / sqrt((1 - {xz} * {xz}) * (1 - {yz} * {yz})))"
+
+
+def sql_normal(u: str) -> str:
+    """Acklam's approximation of the normal quantile."""
+    c = "(((((-39.69683028665376 * w + 220.9460984245205) * w - 275.9285104469687) * w + 138.3577518672690) * w - 30.66479806614716) * w + 2.506628277459239) * (u - 0.5) / (((((-54.47609879822406 * w + 161.5858368580409) * w - 155.6989798598866) * w + 66.80131188771972) * w - 13.28068155288572) * w + 1)"
+    e = "(((((-0.007784894002430293 * v - 0.3223964580411365) * v - 2.400758277161838) * v - 2.549732539343734) * v + 4.374664141464968) * v + 2.938163982698783) / ((((0.007784695709041462 * v + 0.3224671290700398) * v + 2.445134137142996) * v + 3.754408661907416) * v + 1)"
+    c, e = (x.replace("w", f"(({u}) - 0.5) * (({u}) - 0.5)").replace("(u - 0.5)", f"(({u}) - 0.5)").replace("* v", f"* sqrt(-2 * ln(least({u}, 1 - ({u}))))") for x in (c, e))
+    return f"(CASE WHEN least({u}, 1 - ({u})) >= 0.02425 THEN {c} WHEN ({u}) < 0.5 THEN {e} ELSE -({e}) END)"
+
+
+def sql_lags(table: str, nodes: list[tuple[int, int]], first: int, by: str = "") -> str:
+    """The rows from `first` on with a column for each node."""
+    cols = ", ".join(f"v{v} AS x{v}_0" if not k else f"lag(v{v}, {-k}) OVER ({by}ORDER BY t) AS x{v}_{-k}" for v, k in nodes)
+    return f"SELECT * FROM (SELECT t, {cols} FROM {table}) WHERE t >= {first}"
+
+
 def query(sql: str | None = None):
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
@@ -171,7 +209,7 @@ def autocorrelation(spark, d):
 def block_length(spark, d):
     df = lineitem_days(spark, d).df
     n = df.count()
-    r = [x["r"] for x in T.autocorrelation(df, "v0", min(100, max(5, n // 10))).orderBy("lag").collect()]
+    r = [x["r"] for x in T.autocorrelation(df, "v0", max(5, n // 10)).orderBy("lag").collect()]
     return spark.createDataFrame([(T.block_length(np.array(r), n),)], "block_length int")
 
 
@@ -201,7 +239,7 @@ def uniform_transform(spark, d):
     return lineitem_days(spark, d).df.select("t", F.round(T.uniform("v0"), 9).alias("u"))
 
 
-@query()
+@query(f"WITH {LI_DAY}, u AS (SELECT t, CASE WHEN cume_dist() OVER (ORDER BY v0) >= 1 THEN 0.999 ELSE cume_dist() OVER (ORDER BY v0) END AS q FROM li_day) SELECT t, round({sql_normal('q')}, 6) AS z FROM u")
 def normal_transform(spark, d):
     return lineitem_days(spark, d).df.select("t", F.round(T.normal_scores("v0"), 6).alias("z"))
 
@@ -271,24 +309,82 @@ def moment_matrix(spark, d):
 
 
 @query(
-    f"WITH {EVT_DAY} "
+    f"WITH {EVT_DAY}, c AS ("
     + " UNION ALL ".join(
-        f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, CAST({k} AS INTEGER) AS tau, round(corr(x, y), 6) AS val FROM (SELECT t, lag(v{i}, {k}) OVER (ORDER BY t) AS x, v{j} AS y FROM evt_day) WHERE t >= 4" for i in range(5) for j in range(5) for k in range(1, 3)
+        f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, CAST({k} AS INTEGER) AS tau, corr(x, y) AS r, count(*) AS n FROM (SELECT t, lag(v{i}, {k}) OVER (ORDER BY t) AS x, v{j} AS y FROM evt_day) WHERE t >= 4" for i in range(5) for j in range(5) for k in range(1, 3)
     )
+    + f") SELECT i, j, tau, round(r, 6) AS val, round({sql_t_p('r', 'n', '2')}, 6) AS p FROM c"
 )
 def lagged_dependencies(spark, d):
     f = Discovery(event_days(spark, d)).momentary(2, 1, kind="pair")
-    return f.links(spark).where("tau > 0").select("i", "j", "tau", r6("val").alias("val"))
+    return f.links(spark).where("tau > 0").select("i", "j", "tau", r6("val").alias("val"), r6("p").alias("p"))
 
 
-@query(
-    f"""WITH {EVT_DAY}, e AS (SELECT t, lag(v0, 1) OVER (ORDER BY t) AS x, v1 AS y, lag(v1, 1) OVER (ORDER BY t) AS z FROM evt_day),
-    c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, count(*) AS n FROM e WHERE t >= 2)
-    SELECT CAST(0 AS INTEGER) AS k, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS val, n FROM c"""
-)
+_ONE = f"WITH {EVT_DAY}, e AS (SELECT t, lag(v0, 1) OVER (ORDER BY t) AS x, v1 AS y, lag(v1, 1) OVER (ORDER BY t) AS z FROM evt_day), c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, count(*) AS n FROM e WHERE t >= 2), r AS (SELECT (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r, n FROM c)"
+
+
+@query(f"{_ONE} SELECT CAST(0 AS INTEGER) AS k, round(r, 6) AS val, round({sql_t_p('r', 'n', '3')}, 6) AS p, n FROM r")
 def partial_correlation(spark, d):
     q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
-    return answers(spark, q, ParCorr().run(Data(event_days(spark, d), 1), q)).select("k", r6("val").alias("val"), "n")
+    return answers(spark, q, ParCorr().run(Data(event_days(spark, d), 1), q)).select("k", r6("val").alias("val"), r6("p").alias("p"), "n")
+
+
+@query(f"{_ONE} SELECT CAST(0 AS INTEGER) AS k, round(r, 6) AS val, CASE WHEN abs(r) >= 0.1 THEN 0.0 ELSE 1.0 END AS p, n FROM r")
+def fixed_threshold(spark, d):
+    q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
+    return answers(spark, q, Thresholded(ParCorr(), 0.1).run(Data(event_days(spark, d), 1), q)).select("k", r6("val").alias("val"), "p", "n")
+
+
+@query(f"{_ONE} SELECT CAST(0 AS INTEGER) AS k, round(r, 6) AS val, n FROM r")
+def block_shuffle_test(spark, d):
+    """The value; p comes from 500 shuffled samples, of which SQL knows nothing (tests hold it to the analytic one)."""
+    q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
+    return answers(spark, q, Shuffled(ParCorr()).run(Data(event_days(spark, d), 1), q)).select("k", r6("val").alias("val"), "n")
+
+
+@query()
+def block_bootstrap_interval(spark, d):
+    q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
+    a = Bootstrapped(ParCorr(), 0.9, 200).run(Data(lineitem_days(spark, d), 1), q)[0]
+    return spark.createDataFrame([(a.val, *a.conf)], "val double, low double, high double").select(*[r6(c).alias(c) for c in ("val", "low", "high")])
+
+
+@query(f"{_ONE} SELECT CAST(0 AS INTEGER) AS k, round(-n * ln(1 - r * r), 6) AS val, n FROM r")
+def regression_test(spark, d):
+    """Of numbers: the likelihood ratio of two least-squares models."""
+    q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
+    return answers(spark, q, RegressionCI().run(Data(event_days(spark, d), 1), q)).select("k", r6("val").alias("val"), "n")
+
+
+def _mixed(spark, d) -> Panel:
+    """Events as plain rows: type (categories), value and hour of day; whole table."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    code = sum((F.when(F.col("event_type") == k, float(i)).otherwise(0.0) for i, k in enumerate(kinds)), F.lit(0.0))
+    return Panel.from_spark(e.select(F.col("event_id").alias("t"), code.alias("type"), "value", F.hour("ts").cast("double").alias("h")), "t", ["type", "value", "h"], gapless=True, discrete=["type"])
+
+
+@query(
+    """WITH g AS (SELECT event_type AS k, count(*) AS n, sum(value) AS s, sum(hour(ts)) AS sh, sum(value * value) AS vv, sum(value * hour(ts)) AS vh, sum(hour(ts) * hour(ts)) AS hh FROM events GROUP BY 1),
+    whole AS (SELECT sum(n) AS n, sum(vv) - sum(s) * sum(s) / sum(n) AS vv, sum(vh) - sum(s) * sum(sh) / sum(n) AS vh, sum(hh) - sum(sh) * sum(sh) / sum(n) AS hh, sum(vv - s * s / n) AS wv, sum(vh - s * sh / n) AS wc, sum(hh - sh * sh / n) AS wh FROM g)
+    SELECT CAST(n AS BIGINT) AS n, round(n * ln((vv - vh * vh / hh) / (wv - wc * wc / wh)), 4) AS val FROM whole"""
+)
+def regression_test_mixed(spark, d):
+    """Event type against value given the hour: least squares with and without the type."""
+    q = [Question(((0, 0),), ((1, 0),), ((2, 0),))]
+    a = RegressionCI().run(Data(_mixed(spark, d), 0), q)[0]
+    return spark.createDataFrame([(a.n, a.val)], "n long, val double").withColumn("val", F.round("val", 4))
+
+
+@query()
+def cmi_mixed(spark, d):
+    """Days above the median of clicks (categories) against purchases: three estimators."""
+    days = event_days(spark, d).df
+    mid = days.agg(F.median("v0").alias("mid"))
+    p = Panel.from_spark(days.crossJoin(F.broadcast(mid)).select("t", (F.col("v0") > F.col("mid")).cast("double").alias("c"), "v2", "v1"), "t", ["c", "v2", "v1"], gapless=True, discrete=["c"])  # one row of a median
+    q, data = [Question(((0, 0),), ((1, 0),), ((2, 0),))], Data(p, 0)
+    rows = [(e, float((a := CMIknnMixed(5, e, samples=100).run(data, q)[0]).val), float(a.p)) for e in ("MS", "MSinf", "ZMADG")]
+    return spark.createDataFrame(rows, "estimator string, val double, p double").select("estimator", r6("val").alias("val"), r6("p").alias("p"))
 
 
 def _sample_test(test):
@@ -302,8 +398,51 @@ def _sample_test(test):
 for _name, _test in (("robust_partial_correlation", RobustParCorr()), ("weighted_partial_correlation", ParCorrWLS()), ("cmi_nearest_neighbours", CMIknn(samples=50)), ("gp_distance_correlation", GPDC(samples=100))):
     QUERIES[_name] = _sample_test(_test)
 
+#: The two questions' samples: x, y and, for the first, z.
+_TWO = f"{EVT_DAY}, e0 AS (SELECT * FROM (SELECT t, lag(v0, 1) OVER (ORDER BY t) AS x, v1 AS y, lag(v1, 1) OVER (ORDER BY t) AS z FROM evt_day) WHERE t >= 2), e1 AS (SELECT t, v2 AS x, v3 AS y FROM evt_day WHERE t >= 2)"
+_U = lambda c: f"CASE WHEN cume_dist() OVER (ORDER BY {c}) >= 1 THEN 1 - 1e-5 ELSE cume_dist() OVER (ORDER BY {c}) END"
+ORACLES["robust_partial_correlation"] = f"""WITH {_TWO},
+    u0 AS (SELECT {_U('x')} AS x, {_U('y')} AS y, {_U('z')} AS z FROM e0), u1 AS (SELECT {_U('x')} AS x, {_U('y')} AS y FROM e1),
+    g0 AS (SELECT {sql_normal('x')} AS x, {sql_normal('y')} AS y, {sql_normal('z')} AS z FROM u0), g1 AS (SELECT {sql_normal('x')} AS x, {sql_normal('y')} AS y FROM u1),
+    c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, count(*) AS n FROM g0),
+    r AS (SELECT 0 AS k, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r, n, 3 AS dim FROM c UNION ALL SELECT 1, corr(x, y), count(*), 2 FROM g1)
+    SELECT CAST(k AS INTEGER) AS k, round(r, 6) AS val, round({sql_t_p('r', 'n', 'dim')}, 6) AS p, n FROM r"""
+_Z = lambda c: f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}"
+_SPREAD = lambda c: f"CASE WHEN row_number() OVER (ORDER BY t) < 10 THEN 1.0 ELSE avg(abs({c})) OVER (ORDER BY t ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) END"
+ORACLES["weighted_partial_correlation"] = f"""WITH {_TWO},
+    s0 AS (SELECT t, {_Z('x')}, {_Z('y')}, {_Z('z')} FROM e0), s1 AS (SELECT t, {_Z('x')}, {_Z('y')} FROM e1),
+    b0 AS (SELECT sum(x * z) / sum(z * z) AS bx, sum(y * z) / sum(z * z) AS by_ FROM s0), p0 AS (SELECT t, x, y, z, x - bx * z AS rx, y - by_ * z AS ry FROM s0, b0),
+    w0 AS (SELECT t, x, y, z, {_SPREAD('rx')} AS sx, {_SPREAD('ry')} AS sy FROM p0), w1 AS (SELECT t, x, y, {_SPREAD('x')} AS sx, {_SPREAD('y')} AS sy FROM s1),
+    c0 AS (SELECT sum(x * z / (sx * sx)) / sum(z * z / (sx * sx)) AS bx, sum(y * z / (sy * sy)) / sum(z * z / (sy * sy)) AS by_ FROM w0),
+    r AS (SELECT 0 AS k, corr((x - bx * z) / sx, (y - by_ * z) / sy) AS r, count(*) AS n, 3 AS dim FROM w0, c0 UNION ALL SELECT 1, corr(x / sx, y / sy), count(*), 2 FROM w1)
+    SELECT CAST(k AS INTEGER) AS k, round(r, 6) AS val, round({sql_t_p('r', 'n', 'dim')}, 6) AS p, n FROM r"""
 
-@query()
+
+_M5 = [(0, 0), (1, 0), (2, 0), (3, 0), (4, -1)]
+_R4 = lambda a, b: f"r{min(a, b)}{max(a, b)}" if a != b else "1.0"
+
+
+def _det(rows: list[int], r=_R4) -> str:
+    """Determinant of a correlation matrix, expanded."""
+    def minor(left: list[int], top: list[int]) -> str:
+        if not left:
+            return "1.0"
+        return "(" + " + ".join(f"{'-' if k % 2 else ''}1 * {r(left[0], c)} * {minor(left[1:], top[:k] + top[k + 1 :])}" for k, c in enumerate(top)) + ")"
+
+    return minor(rows, rows)
+
+
+@query(
+    f"WITH {EVT_DAY}, e AS ({sql_lags('evt_day', _M5, 2)}), c AS (SELECT count(*) AS n, "
+    + ", ".join(f"corr(x{a}_{'1' if a == 4 else '0'}, x{b}_{'1' if b == 4 else '0'}) AS c{a}{b}" for a in range(5) for b in range(a + 1, 5))
+    + " FROM e), r AS (SELECT n, "
+    + ", ".join(f"(c{a}{b} - c{a}4 * c{b}4) / sqrt((1 - c{a}4 * c{a}4) * (1 - c{b}4 * c{b}4)) AS r{a}{b}" for a in range(4) for b in range(a + 1, 4))
+    + f""" FROM c), top AS (SELECT n, r FROM (SELECT n, unnest([r02, r03, r12, r13]) AS r FROM r) ORDER BY abs(r) DESC LIMIT 1), l AS (SELECT n, {_det([0, 1, 2, 3])} / ({_det([0, 1])} * {_det([2, 3])}) AS lambda_ FROM r),
+    x AS (SELECT lambda_, -(n - 1 - 2.5) * ln(lambda_) AS chi FROM l)
+    SELECT 'max_corr' AS test, round(r, 6) AS val, round(least(1.0, 4 * {sql_t_p('r', 'n', '5')}), 6) AS p FROM top
+    UNION ALL SELECT 'wilks', round(lambda_, 6), round(exp(-chi / 2) * (1 + chi / 2), 6) FROM x
+    UNION ALL SELECT 'pairwise', round(r, 6), round(least(1.0, 4 * {sql_t_p('r', 'n', '3')}), 6) FROM top"""
+)
 def multivariate_correlation(spark, d):
     q = [Question(((0, 0), (1, 0)), ((2, 0), (3, 0)), ((4, -1),))]
     data = Data(event_days(spark, d), 1)
@@ -346,8 +485,9 @@ def symbolic_permutation_test(spark, d):
     return answers(spark, q, CMIsymb(100).run(Data(Panel.from_spark(df, "t", ["a", "b"], gapless=True), 1), q)).select("k", r6("val").alias("val"), r6("p").alias("p"), "n")
 
 
-@query()
+@query("SELECT CAST(k AS INTEGER) AS k, CAST(val AS DOUBLE) AS val, CAST(p AS DOUBLE) AS p, CAST(0 AS BIGINT) AS n FROM (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.0, 1.0)) q(k, val, p)")
 def oracle_separation(spark, d):
+    """0 -> 1 -> 2 with 0 and 1 on their own past: dependent; apart given 1; apart given the past between."""
     o = OracleCI({0: [(0, -1)], 1: [(0, -1), (1, -1)], 2: [(1, 0)]})
     q = [Question(((0, -1),), ((2, 0),)), Question(((0, -1),), ((2, 0),), ((1, 0),)), Question(((0, -2),), ((1, 0),), ((0, -1), (1, -1)))]
     return answers(spark, q, o.run(None, q))
@@ -463,14 +603,123 @@ def pc_plain(spark, d):
     return _found(Discovery(lineitem_days(spark, d)).run_pc(0, pc_alpha=0.01), spark)
 
 
-@query()
+_F15 = [(v, -k) for v in range(5) for k in range(3)]
+
+
+def sql_swept(nodes: list[tuple[int, int]], out: list[tuple[int, int]], source: str) -> str:
+    """CTEs that give `swept` (a, b, s): the covariances of nodes after sweeping `out`, one after another, n rows in `many`."""
+    name = {n: f"x{n[0]}_{-n[1]}" for n in nodes}
+    pairs = [(a, b) for a in nodes for b in nodes]
+    covs = ", ".join(f"covar_pop({name[a]}, {name[b]}) AS c{i}" for i, (a, b) in enumerate(pairs))
+    rows = " UNION ALL ".join(f"SELECT '{name[a]}' AS a, '{name[b]}' AS b, c{i} AS s FROM cov" for i, (a, b) in enumerate(pairs))
+    steps = [f"many AS (SELECT count(*) AS n FROM {source}), cov AS (SELECT {covs} FROM {source}), s0 AS ({rows})"]
+    for k, n in enumerate(out):
+        p = name[n]
+        steps.append(
+            f"s{k + 1} AS (SELECT x.a, x.b, CASE WHEN x.a = '{p}' AND x.b = '{p}' THEN -1 / d.s WHEN x.a = '{p}' THEN r.s / d.s WHEN x.b = '{p}' THEN l.s / d.s ELSE x.s - l.s * r.s / d.s END AS s FROM s{k} x JOIN s{k} l ON l.a = x.a AND l.b = '{p}' JOIN s{k} r ON r.a = '{p}' AND r.b = x.b JOIN s{k} d ON d.a = '{p}' AND d.b = '{p}')"
+        )
+    return ", ".join(steps) + f", swept AS (SELECT * FROM s{len(out)})"
+
+
+def _marked_sql(tests: str, alpha: str = "0.05") -> str:
+    """Links of tests (i, j, tau, r, n, dim): marks and rounded values."""
+    return f"SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(tau AS INTEGER) AS tau, CASE WHEN p <= {alpha} THEN '-->' ELSE '' END AS link, round(r, 6) AS val, round(p, 6) AS p FROM (SELECT i, j, tau, r, {sql_t_p('r', 'n', 'dim')} AS p FROM ({tests}))"
+
+
+_LAGGED10 = [(v, -k) for v in range(5) for k in (1, 2)]
+
+
+@query(
+    f"WITH {LI_DAY}, e AS ({sql_lags('li_day', _F15, 4)}), {sql_swept(_F15, _LAGGED10, 'e')}, t AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {-k} AS tau, c.s / sqrt(c.s * c.s - g.s * v.s) AS r, n, 11 AS dim FROM swept c, swept g, swept v, many WHERE c.a = 'x{i}_{-k}' AND c.b = 'x{j}_0' AND g.a = c.a AND g.b = c.a AND v.a = c.b AND v.b = c.b" for i, k in _LAGGED10 for j in range(5))
+    + f") {_marked_sql('SELECT * FROM t')}"
+)
 def full_conditioning(spark, d):
-    return _found(Discovery(lineitem_days(spark, d)).momentary(2, 1, kind="fullci"), spark)
+    """Each lagged link given the whole rest of the past."""
+    return _found(Discovery(lineitem_days(spark, d)).momentary(2, 1, kind="fullci"), spark).where("tau > 0")
 
 
-@query()
+def _own_past(table: str) -> str:
+    tests = []
+    for i, k in _LAGGED10:
+        for j in range(5):
+            z = [f"x{j}_{s}" for s in (1, 2) if (j, -s) != (i, k)]
+            tests.append(f"SELECT {i} AS i, {j} AS j, {-k} AS tau, {sql_pcor(lambda a, b: f'corr({a}, {b})', f'x{i}_{-k}', f'x{j}_0', z)} AS r, count(*) AS n, {2 + len(z)} AS dim FROM {table}")
+    return " UNION ALL ".join(tests)
+
+
+@query(f"WITH {LI_DAY}, e AS ({sql_lags('li_day', _F15, 4)}), t AS ({_own_past('e')}) {_marked_sql('SELECT * FROM t')}")
 def own_past_conditioning(spark, d):
-    return _found(Discovery(lineitem_days(spark, d)).momentary(2, 1, kind="bivci"), spark)
+    return _found(Discovery(lineitem_days(spark, d)).momentary(2, 1, kind="bivci"), spark).where("tau > 0")
+
+
+_GIVEN = {0: [(0, -1)], 1: [(1, -1)], 2: [(0, -1)], 3: [], 4: [(4, -1)]}
+
+
+def _momentary_sql(table: str) -> str:
+    tests = []
+    for i, k in _LAGGED10:
+        for j in range(5):
+            z = [n for n in _GIVEN[j] if n != (i, k)] + [(v, k + s) for v, s in _GIVEN[i]]
+            z = [f"x{v}_{-s}" for v, s in dict.fromkeys(z) if (v, s) not in ((i, k), (j, 0))]
+            tests.append(f"SELECT {i} AS i, {j} AS j, {-k} AS tau, {sql_pcor(lambda a, b: f'corr({a}, {b})', f'x{i}_{-k}', f'x{j}_0', z)} AS r, count(*) AS n, {2 + len(z)} AS dim FROM {table}")
+    return " UNION ALL ".join(tests)
+
+
+_F20 = [(v, -k) for v in range(5) for k in range(4)]
+
+
+@query(f"WITH {LI_DAY}, e AS ({sql_lags('li_day', _F20, 4)}), t AS ({_momentary_sql('e')}) {_marked_sql('SELECT * FROM t', '0.01')}")
+def momentary_given_parents(spark, d):
+    """Momentary tests of all lagged links, given the parents of both ends."""
+    return _found(Discovery(lineitem_days(spark, d)).momentary(2, 1, parents=_GIVEN, alpha=0.01), spark).where("tau > 0")
+
+
+@query()
+def lpcmci(spark, d):
+    """Lineitem days with the possibility of hidden common causes."""
+    return _found(LatentDiscovery(lineitem_days(spark, d)).run_lpcmci(2, pc_alpha=0.01), spark)
+
+
+@query()
+def jpcmci_plus(spark, d):
+    """Segments' order weeks, with a dummy for the segment and one for the week."""
+    return _found(JointDiscovery(order_weeks(spark, d), {3: "time_dummy", 4: "space_dummy"}).run_jpcmciplus(1, pc_alpha=0.01), spark)
+
+
+@query(
+    f"""WITH {ORD_SEG}, e AS (SELECT dataset, t, lag(v0, 1) OVER (PARTITION BY dataset ORDER BY t) AS x, v1 AS y, lag(v2, 1) OVER (PARTITION BY dataset ORDER BY t) AS z FROM ord_seg),
+    f AS (SELECT dataset, x - avg(x) OVER (PARTITION BY dataset) AS x, y - avg(y) OVER (PARTITION BY dataset) AS y, z - avg(z) OVER (PARTITION BY dataset) AS z FROM e WHERE t >= 2),
+    c AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz, count(*) AS n, 3 + count(DISTINCT dataset) AS dim FROM f), r AS (SELECT (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS r, n, dim FROM c)
+    SELECT round(r, 6) AS val, round({sql_t_p('r', 'n', 'dim')}, 6) AS p FROM r"""
+)
+def correlation_given_dataset(spark, d):
+    """Partial correlation given a variable and the dataset's dummy."""
+    found = JointDiscovery(order_weeks(spark, d), {3: "space_dummy"})
+    found.at(1)
+    a = found.answer(Question(((0, -1),), ((1, 0),), ((2, -1), (3, 0))))
+    return spark.createDataFrame([(a.val, a.p)], "val double, p double").select(r6("val").alias("val"), r6("p").alias("p"))
+
+
+@query(
+    f"""WITH {ORD_SEG}, e AS (SELECT dataset, t, v1 AS y FROM ord_seg WHERE t >= 2), k AS (SELECT DISTINCT dataset AS k FROM e),
+    c AS (SELECT k, corr(CASE WHEN dataset = k THEN 1.0 ELSE 0.0 END, y) AS r, count(*) AS n FROM e, k GROUP BY k), m AS (SELECT count(*) AS m FROM k), top AS (SELECT r, n, m FROM c, m ORDER BY abs(r) DESC LIMIT 1)
+    SELECT round(abs(r), 6) AS size, round(least(1.0, m * {sql_t_p('r', 'n', '1 + m')}), 6) AS p FROM top"""
+)
+def dataset_dummy_test(spark, d):
+    """The dataset's dummy against the price: the largest correlation of an indicator, Bonferroni over them."""
+    found = JointDiscovery(order_weeks(spark, d), {3: "space_dummy"})
+    found.at(1)
+    a = found.answer(Question(((3, 0),), ((1, 0),), ()))
+    return spark.createDataFrame([(abs(a.val), a.p)], "size double, p double").select(r6("size").alias("size"), r6("p").alias("p"))
+
+
+@query()
+def regimes(spark, d):
+    """Two regimes of the first three lineitem series."""
+    p = lineitem_days(spark, d)
+    found = RegimeDiscovery(Panel(p.df.select("dataset", "t", "v0", "v2", "v3").toDF("dataset", "t", "v0", "v1", "v2"), ["quantity", "flag_A", "flag_N"])).run_rpcmci(2, 3, annealings=2, iterations=4)
+    return found.times.groupBy("regime").agg(F.count(F.lit(1)).alias("times"))
 
 
 @query(
@@ -527,7 +776,33 @@ def forecast_predictors(spark, d):
     return spark.createDataFrame([(i, lag) for i, lag in p.predictors(0, 2, 4)] or [], "i int, lag int")
 
 
-@query()
+def _two(y: str, a: str, b: str) -> tuple[str, str]:
+    """Least-squares coefficients of y on a and b."""
+    c = lambda p, q: f"covar_pop({p}, {q})"
+    det = f"({c(a, a)} * {c(b, b)} - {c(a, b)} * {c(a, b)})"
+    return f"(({c(a, y)} * {c(b, b)} - {c(b, y)} * {c(a, b)}) / {det})", f"(({c(b, y)} * {c(a, a)} - {c(a, y)} * {c(a, b)}) / {det})"
+
+
+_E = f"e AS ({sql_lags('li_day', [(0, 0), (0, -1), (1, 0), (1, -1), (2, 0), (3, 0), (4, 0)], 2)})"
+_SD = lambda c: f"stddev_pop({c})"
+_LINKS5 = f"""coef AS (SELECT corr(x0_0, x0_1) AS c00, {_two('x1_0', 'x0_0', 'x1_1')[0]} * {_SD('x0_0')} / {_SD('x1_0')} AS c01, {_two('x1_0', 'x0_0', 'x1_1')[1]} * {_SD('x1_1')} / {_SD('x1_0')} AS c11, corr(x0_0, x2_0) AS c02, corr(x0_0, x3_0) AS c03, corr(x2_0, x4_0) AS c24 FROM e),
+    link AS (SELECT 0 AS i, 0 AS j, 1 AS lag, c00 AS w FROM coef UNION ALL SELECT 0, 1, 0, c01 FROM coef UNION ALL SELECT 1, 1, 1, c11 FROM coef UNION ALL SELECT 0, 2, 0, c02 FROM coef UNION ALL SELECT 0, 3, 0, c03 FROM coef UNION ALL SELECT 2, 4, 0, c24 FROM coef),
+    walk(i, j, lag, w, no) AS (SELECT i.range, i.range, 0, 1.0::DOUBLE, k.range - 1 FROM range(5) i, range(6) k UNION ALL SELECT walk.i, link.j, walk.lag + link.lag, walk.w * link.w, walk.no FROM walk JOIN link ON link.i = walk.j AND walk.lag + link.lag <= 2 AND link.j <> walk.no),
+    psi AS (SELECT i, j, lag, no, sum(w) AS w FROM walk GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LI_DAY}, {_E}, {_LINKS5}, most AS (SELECT i, j, max(abs(w)) AS w FROM psi WHERE no = -1 GROUP BY ALL),
+    pair AS (SELECT a.range AS i, b.range AS j FROM range(5) a, range(5) b WHERE a.range <> b.range), full_ AS (SELECT pair.i, pair.j, coalesce(w, 0.0) AS w FROM pair LEFT JOIN most USING (i, j)),
+    lost AS (SELECT a.i, a.j, k.range AS k, max(abs(a.w - coalesce(b.w, 0.0))) AS w FROM psi a CROSS JOIN range(5) k LEFT JOIN psi b ON b.i = a.i AND b.j = a.j AND b.lag = a.lag AND b.no = k.range WHERE a.no = -1 GROUP BY ALL),
+    out AS (
+      SELECT 'effect 0-4' AS name, (SELECT w FROM psi WHERE i = 0 AND j = 4 AND lag = 0 AND no = -1) AS val
+      UNION ALL SELECT 'through 2', (SELECT w FROM psi WHERE i = 0 AND j = 4 AND lag = 0 AND no = -1) - coalesce((SELECT w FROM psi WHERE i = 0 AND j = 4 AND lag = 0 AND no = 2), 0.0)
+      UNION ALL SELECT 'joint', coalesce((SELECT w FROM psi WHERE i = 0 AND j = 4 AND lag = 0 AND no = 1), 0.0) + coalesce((SELECT w FROM psi WHERE i = 1 AND j = 4 AND lag = 0 AND no = 0), 0.0)
+      UNION ALL SELECT 'ace ' || i, avg(w) FROM full_ GROUP BY i UNION ALL SELECT 'acs ' || j, avg(w) FROM full_ GROUP BY j
+      UNION ALL SELECT 'amce ' || k.range, avg(coalesce(lost.w, 0.0)) FROM pair CROSS JOIN range(5) k LEFT JOIN lost ON lost.i = pair.i AND lost.j = pair.j AND lost.k = k.range WHERE pair.i <> k.range AND pair.j <> k.range GROUP BY k.range)
+    SELECT name, round(val, 6) AS val FROM out"""
+)
 def mediation(spark, d):
     m = Mediation.fit(lineitem_days(spark, d), _PARENTS, 2)
     rows = [("effect 0-4", m.effect(0, 0, 4)), ("through 2", m.mediated(0, 0, 4, 2)), ("joint", m.joint([(0, 0), (1, 0)], 4))]
@@ -552,14 +827,20 @@ def total_effect(spark, d):
     return spark.createDataFrame([(float(next(iter(e.effect().values()))),)], "effect double").withColumn("effect", r6("effect"))
 
 
-@query()
+@query(
+    f"""WITH {LI_DAY}, e AS ({sql_lags('li_day', [(0, 0), (1, -1), (2, 0)], 1)}), m AS (SELECT {_two('x2_0', 'x0_0', 'x1_1')[0]} AS b, avg(x2_0) AS y, avg(x0_0) AS x FROM e)
+    SELECT CAST(k AS INTEGER) AS "case", round(y + b * (do_x - x), 6) AS y0 FROM m, (VALUES (0, 0.0), (1, 100.0), (2, 700.0)) c(k, do_x)"""
+)
 def intervention(spark, d):
     p = lineitem_days(spark, d)
     e = CausalEffects(from_links({0: [(0, -1)], 1: [(0, 0), (1, -1)], 2: [(0, 0), (1, 0)], 3: [], 4: []}), [(0, 0)], [(2, 0)]).fit(p)
     return e.predict(p, [[0.0], [100.0], [700.0]]).select("case", r6("y0").alias("y0"))
 
 
-@query()
+@query(
+    f"""WITH {LI_DAY}, m AS (SELECT {_two('v2', 'v0', 'v1')[0]} AS b0, {_two('v2', 'v0', 'v1')[1]} AS b1, regr_slope(v1, v0) AS a FROM li_day)
+    SELECT 'all' AS paths, round(b0 + a * b1, 6) AS effect FROM m UNION ALL SELECT 'through 1', round(a * b1, 6) FROM m"""
+)
 def path_effects(spark, d):
     p = lineitem_days(spark, d)
     e = CausalEffects(from_links({0: [(0, -1)], 1: [(0, 0)], 2: [(0, 0), (1, 0)], 3: [], 4: []}), [(0, 0)], [(2, 0)])
@@ -567,7 +848,12 @@ def path_effects(spark, d):
     return spark.createDataFrame([(a, float(b)) for a, b in rows], "paths string, effect double").withColumn("effect", r6("effect"))
 
 
-@query()
+@query(
+    f"""WITH {LI_DAY}, e AS ({sql_lags('li_day', [(0, 0), (0, -1), (1, 0), (1, -1), (2, 0), (3, 0), (4, 0)], 1)}),
+    m AS (SELECT regr_slope(x0_0, x0_1) AS a, {_two('x1_0', 'x0_0', 'x1_1')[0]} AS b0, {_two('x1_0', 'x0_0', 'x1_1')[1]} AS b1, regr_slope(x2_0, x0_0) AS c, regr_slope(x3_0, x0_0) AS f, regr_slope(x4_0, x2_0) AS g FROM e),
+    r AS (SELECT x0_0 - a * x0_1 AS r0, x1_0 - b0 * x0_0 - b1 * x1_1 AS r1, x2_0 - c * x0_0 AS r2, x3_0 - f * x0_0 AS r3, x4_0 - g * x2_0 AS r4 FROM e, m) """
+    + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS i, CAST({j} AS INTEGER) AS j, round(covar_samp(r{i}, r{j}), 3) AS cov FROM r" for i in range(5) for j in range(5))
+)
 def residual_covariance(spark, d):
     p = lineitem_days(spark, d)
     c = LinearModel.fit(p, _PARENTS, 1).residual_covariance(p)

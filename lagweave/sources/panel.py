@@ -22,6 +22,8 @@ class Panel:
     vectors: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     offsets: dict[str, int] = field(default_factory=dict)
     anchors: list[int] | None = None
+    #: Variables whose values are categories; tests for mixed data ask for them.
+    discrete: frozenset[int] = frozenset()
 
     @property
     def n(self) -> int:
@@ -40,6 +42,7 @@ class Panel:
         vectors: dict[int, list[tuple[int, int]]] | None = None,
         offsets: dict[str, int] | None = None,
         anchors: Sequence[int] | None = None,
+        discrete: Sequence[str] = (),
     ) -> Panel:
         """Rows of df as a panel. With gapless, `time` already counts 0, 1, ... in each dataset and no sort is needed; else rows are numbered in its order."""
         key = F.col(dataset).cast("string") if dataset else F.lit("0")
@@ -53,7 +56,7 @@ class Panel:
         offsets = dict(offsets or {})
         if offsets and (min(offsets.values()) < 0 or 0 not in offsets.values()):
             raise ValueError("time offsets are not negative, and one of them is 0")
-        return cls(df.select(*columns), list(variables), bool(masks), dict(vectors or {}), offsets, sorted(set(anchors)) if anchors is not None else None)
+        return cls(df.select(*columns), list(variables), bool(masks), dict(vectors or {}), offsets, sorted(set(anchors)) if anchors is not None else None, frozenset(list(variables).index(c) for c in discrete))
 
     @classmethod
     def from_arrays(cls, spark: SparkSession, data: np.ndarray | dict[str, np.ndarray], mask: np.ndarray | dict | None = None, names: Sequence[str] | None = None, missing_flag: float | None = None) -> Panel:
@@ -103,53 +106,56 @@ class Panel:
         return self.df.withColumn("shared", F.col("t") + F.coalesce(table[F.col("dataset")], F.lit(0)))
 
 
+def on_spine(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """sums, a row for each whole number `at` (and by), with a row for every number from the least to the largest, counted by `t` from 0; rows without `at` are left out."""
+    ends = sums.agg(F.min("at").cast("long").alias("first"), F.max("at").cast("long").alias("last")).where("first is not null")
+    whole = ends.select("first", F.explode(F.sequence("first", "last")).alias("at"))
+    if by:
+        whole = sums.select(*by).distinct().crossJoin(F.broadcast(ends)).select(*by, "first", F.explode(F.sequence("first", "last")).alias("at"))  # ends is one row
+    return whole.join(sums, [*by, "at"], "left").withColumn("t", F.col("at") - F.col("first")).drop("at", "first")
+
+
 def event_days(spark: SparkSession, sf_dir: str) -> Panel:
-    """Events of each type a day, on the complete spine of days."""
+    """Events of each type a day, from the first day to the last."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = ["click", "error", "purchase", "signup", "view"]
-    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("t")
-    counts = events.groupBy(day).agg(*[F.count_if(F.col("event_type") == k).cast("double").alias(k) for k in kinds])
-    spine = spark.range(30).withColumnRenamed("id", "t")
-    df = spine.join(counts, "t", "left").select("t", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in kinds])
+    counts = events.groupBy(F.unix_date(F.to_date("ts")).alias("at")).agg(*[F.count_if(F.col("event_type") == k).cast("double").alias(k) for k in kinds])
+    df = on_spine(counts).select("t", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in kinds])
     return Panel.from_spark(df, "t", kinds, gapless=True)
 
 
 def event_hours(spark: SparkSession, sf_dir: str) -> Panel:
-    """Mean value of each event type an hour, NULL where there is none, on the spine of 720 hours."""
+    """Mean value of each event type an hour, NULL where there is none, from the first day's first hour to the last day's last."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     kinds = ["click", "error", "purchase", "signup", "view"]
-    hour = F.floor((F.unix_timestamp("ts") - F.unix_timestamp(F.lit("2024-01-01").cast("timestamp"))) / 3600).alias("t")
-    means = events.groupBy(hour).agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in kinds])
-    df = spark.range(720).withColumnRenamed("id", "t").join(means, "t", "left")
-    return Panel.from_spark(df, "t", kinds, gapless=True)
+    means = events.groupBy(F.floor(F.unix_timestamp("ts") / 3600).alias("at")).agg(*[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(k) for k in kinds])
+    ends = means.agg(F.min("at").alias("first"), F.max("at").alias("last")).select(F.explode(F.array(F.floor(F.col("first") / 24) * 24, F.floor(F.col("last") / 24) * 24 + 23)).alias("at"))
+    whole = means.join(ends, "at", "full")  # the ends of the first and last day, should they have no events
+    return Panel.from_spark(on_spine(whole), "t", kinds, gapless=True)
 
 
 def lineitem_days(spark: SparkSession, sf_dir: str) -> Panel:
     """Line items a ship day: quantity, revenue, and lines of each return flag; days without lines count 0."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    first = F.lit("1995-01-02").cast("date")
-    day = F.datediff(F.to_date("l_shipdate"), first).cast("long").alias("t")
-    sums = items.groupBy(day).agg(
+    sums = items.groupBy(F.unix_date(F.to_date("l_shipdate")).alias("at")).agg(
         F.sum("l_quantity").alias("quantity"),
         F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
         *[F.count_if(F.col("l_returnflag") == f).cast("double").alias(f"flag_{f}") for f in "ANR"],
     )
-    spine = items.agg(F.max(F.datediff(F.to_date("l_shipdate"), first)).alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("last").cast("long"))).alias("t"))
     names = ["quantity", "revenue", "flag_A", "flag_N", "flag_R"]
-    df = spine.join(sums, "t", "left").select("t", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    df = on_spine(sums).select("t", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     return Panel.from_spark(df, "t", names, gapless=True)
 
 
 def order_weeks(spark: SparkSession, sf_dir: str) -> Panel:
-    """Orders a week and market segment (a dataset each): their number, price, and those of urgent priority; weeks without orders count 0."""
+    """Orders in every seven days from the first order on, by market segment (a dataset each): their number, price, and those of urgent priority; weeks without orders count 0."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    week = F.floor(F.datediff(F.to_date("o_orderdate"), F.lit("1995-01-01").cast("date")) / 7).alias("t")
-    sums = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment"), week).agg(
+    start = F.broadcast(orders.agg(F.min(F.to_date("o_orderdate")).alias("start")))  # one row
+    week = F.floor(F.datediff(F.to_date("o_orderdate"), F.col("start")) / 7).alias("at")
+    sums = orders.crossJoin(start).join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_mktsegment").alias("segment"), week).agg(
         F.count(F.lit(1)).cast("double").alias("orders"), F.sum("o_totalprice").alias("price"), F.count_if(F.col("o_orderpriority") == "1-URGENT").cast("double").alias("urgent")
     )
-    last = sums.agg(F.max("t").alias("last"))
-    spine = sums.select("segment").distinct().join(F.broadcast(last)).select("segment", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("t"))
     names = ["orders", "price", "urgent"]
-    df = spine.join(sums, ["segment", "t"], "left").select("segment", "t", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
+    df = on_spine(sums, ["segment"]).select("segment", "t", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names])
     return Panel.from_spark(df, "t", names, dataset="segment", gapless=True)
