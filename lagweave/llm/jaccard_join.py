@@ -46,7 +46,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .exchange import pack, range_of, unpack
-from .runtime import documents, slots, written
+from .runtime import arrow_rows, documents, slots, written
 from .text import SPACED, U64, buffers, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -315,8 +315,11 @@ class Join:
         found, open_ = [np.empty((2, 0), np.int64)], []
         for first, stop in lists:
             before = len(found)
+            star = (stop - first > 1) | (cols["digest"][first] != leader[first])
             for k, j, _ in self.meeting(first, stop, cols, most):
-                other = np.unique(leader[first[j]])
+                # leaders of stars are always compared: their answer rules out pairs of members
+                other = np.unique(np.concatenate([leader[first[j]], *[leader[first[j]][star[j] | star[k]]] * (LEAST - 1)]), return_counts=True)
+                other = np.repeat(other[0], np.minimum(other[1], LEAST))
                 found.append(np.stack([np.full(len(other), leader[first[k]]), other]))
             if len(found) > before:
                 open_.append(int(cols["token"][first[0]]))
@@ -485,6 +488,11 @@ class Result:
 
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, complete: bool = False) -> Result:
+    with arrow_rows(docs.sparkSession, 1000):
+        return _joined(docs, shingle, percent, complete)
+
+
+def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Result:
     spark = docs.sparkSession
     sets = written(documents(docs).mapInArrow(lambda batches: coded(batches, shingle), SETS), "sets", "none")
     members, sets = sets.select("doc_id", "n", "digest"), sets.where("data IS NOT NULL").select("digest", "n", "data")
@@ -532,7 +540,9 @@ def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, comp
         return out.select("token", "digest", "n", "pos", F.coalesce("label", "digest").alias("label"), F.coalesce("leader", "digest").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
 
     met = written(labelled(label, lists).groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met")
-    met, still = met.where("token IS NULL"), lists.join(met.where("token IS NOT NULL").select("token"), "token", "left_semi")
+    cells = lambda column: (mix64(column.to_numpy().view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
+    open_ = spark.sparkContext.broadcast(marked(met.where("token IS NOT NULL").select("token"), lambda batch: [cells(batch.column("token"))], FILTER_BITS))
+    met, still = met.where("token IS NULL"), lists.mapInArrow(lambda batches: (b.filter(pa.array(occurs(open_.value, cells(b.column("token"))))) for b in batches), "token long, digest long, n int, pos int")
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
     second = tested(enough(met.withColumn("least", F.lit(LEAST))).join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
     links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
