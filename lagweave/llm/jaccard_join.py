@@ -545,8 +545,6 @@ def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Resu
     met, still = met.where("token IS NULL"), lists.mapInArrow(lambda batches: (b.filter(pa.array(occurs(open_.value, cells(b.column("token"))))) for b in batches), "token long, digest long, n int, pos int")
     known = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_a", "n_b", "overlap")
     second = tested(enough(met.withColumn("least", F.lit(LEAST))).join(known.select("a", "b"), ["a", "b"], "left_anti"), "leaders")
-    links = first.where(linked).select("a", "b").unionAll(second.where(linked).select("a", "b"))
-    label = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(second.where(linked).select("a", "b"))), "labels")
     answers = known.unionAll(second.select(known.columns)).select("a", "b", differ).distinct()
     told = met.join(answers, ["a", "b"]).select("range", "a", "b", "d")
     cross = labelled(label, still).groupBy("range").cogroup(told.groupBy("range")).applyInArrow(lambda t, k: make().crossed(t, k), "a long, b long, least long, times long")
@@ -558,8 +556,8 @@ def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Resu
     shared = delta.mapInArrow(lambda batches: make().differences(batches), "leader long, digest long, n long, d long, label long, token long, pos long, linked boolean")
     shared = shared.withColumn("range", F.pmod(F.xxhash64("leader", "token"), F.lit(n_ranges)))
     inside = shared.groupBy("range").applyInArrow(lambda t: make().within(t), "a long, b long")
-    third = tested(enough(cross).unionAll(inside).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest").where(linked).select("a", "b")
-    links = links.unionAll(third)
+    third = second.where(linked).select("a", "b").unionAll(tested(enough(cross).unionAll(inside).distinct().join(answers.select("a", "b"), ["a", "b"], "left_anti"), "rest").where(linked).select("a", "b"))
+    links = first.where(linked).select("a", "b").unionAll(third)
     if complete:
         # leaders of stars that meet in a list, now of the same component too
         own = lambda: labelled(label, lists).withColumn("label", F.col("leader"))
