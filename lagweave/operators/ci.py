@@ -559,11 +559,19 @@ class GPDC(SampleTest):
 
 
 def symbols(data: Data, questions: Sequence[Question]) -> DataFrame:
-    """Counts (k, x, y, z, c) of the joint symbols of each question."""
-    parts = []
+    """Counts (k, x, y, z, c) of the joint symbols of each question; x, y, z are structs n0, n1, ... of the nodes' values, z is 0 where there is none."""
+    code = lambda nodes: F.struct(*[F.col(column(n)).alias(f"n{i}") for i, n in enumerate(nodes)]) if nodes else F.lit(0)
+    shapes: dict[tuple, list[int]] = {}
     for k, q in enumerate(questions):
-        code = lambda nodes: F.concat_ws(",", *[F.col(column(n)).cast("string") for n in nodes]) if nodes else F.lit("")
-        parts.append(F.when(data.valid(q), F.struct(F.lit(k).alias("k"), code(q.x).alias("x"), code(q.y).alias("y"), code(q.z).alias("z"))))
+        shapes.setdefault((len(q.x), len(q.y), len(q.z)), []).append(k)
+    if len(questions) == 1:
+        (q,) = questions
+        rows = data.embedding().where(data.valid(q)).select(F.lit(0).alias("k"), code(q.x).alias("x"), code(q.y).alias("y"), code(q.z).alias("z"))
+        return rows.groupBy("k", "x", "y", "z").agg(F.count(F.lit(1)).alias("c"))
+    text = lambda nodes: F.concat_ws(",", *[F.col(column(n)).cast("string") for n in nodes]) if nodes else F.lit("")
+    if len(shapes) == 1:
+        text = code
+    parts = [F.when(data.valid(q), F.struct(F.lit(k).alias("k"), text(q.x).alias("x"), text(q.y).alias("y"), text(q.z).alias("z"))) for k, q in enumerate(questions)]
     return data.embedding().select(F.explode(F.array_compact(F.array(*parts))).alias("r")).select("r.*").groupBy("k", "x", "y", "z").agg(F.count(F.lit(1)).alias("c"))
 
 
@@ -597,15 +605,9 @@ class CMIsymb:
                 k = t.column("k")[0].as_py()
                 rng = np.random.default_rng([seed, k])
                 x, y, z = (np.unique(np.array(t.column(c).to_pylist(), object).astype(str), return_inverse=True)[1] for c in "xyz")
-                c = t.column("c").to_numpy()
-                x, y, z = (np.repeat(v, c) for v in (x, y, z))
-                order = np.argsort(z, kind="stable")
-                x, y, z = x[order], y[order], z[order]
-                edges = np.flatnonzero(np.diff(z)) + 1
-                more = 0
-                for _ in range(samples):
-                    w = np.concatenate([rng.permutation(p) for p in np.split(x, edges)])
-                    more += cmi(w, y, z) >= vals[k] - 1e-12
+                table = np.zeros((z.max() + 1, x.max() + 1, y.max() + 1), np.int64)
+                np.add.at(table, (z, x, y), t.column("c").to_numpy())
+                more = sum(table_cmi(shuffled_table(table, rng)) >= vals[k] - 1e-12 for _ in range(samples))
                 return pa.table({"k": pa.array([k], pa.int64()), "p": pa.array([more / samples])})
 
             for r in counts.select("k", "x", "y", "z", "c").groupBy("k").applyInArrow(null, "k long, p double").collect():
@@ -614,6 +616,23 @@ class CMIsymb:
         return out
 
 
+def shuffled_table(table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Counts (z, x, y) after a random permutation of X within every z: each x in turn draws its y from what is left; the rows themselves are never made."""
+    out = np.empty_like(table)
+    for s, counts in enumerate(table):
+        left = counts.sum(0)
+        for i, n in enumerate(counts.sum(1)):
+            out[s, i] = rng.multivariate_hypergeometric(left, n, method="marginals")
+            left = left - out[s, i]
+    return out
+
+
+def table_cmi(table: np.ndarray) -> float:
+    """Conditional mutual information of counts (z, x, y), in nats."""
+    h = lambda c: -(c[c > 0] / table.sum() * np.log(c[c > 0] / table.sum())).sum()
+    return float(h(table.sum(2)) + h(table.sum(1)) - h(table.sum((1, 2))) - h(table))
+
+
 def cmi(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> float:
     """Conditional mutual information of integer codes, in nats."""
 

@@ -34,6 +34,11 @@ def lagged(panel: Panel, nodes: Iterable[Node], first: int, masks: bool = False,
     deep = max([first, *(-lag for _, lag in nodes)], default=0)
     block = max(block, deep + 1)
     df = panel.with_shared_time()
+    if not any(lag for _, lag in nodes):  # nothing to look back to
+        columns = [F.col(f"v{v}").alias(column((v, 0))) for v, _ in nodes]
+        if masks and panel.masked:
+            columns += [F.coalesce(F.col(f"m{v}"), F.lit(True)).alias(mask_column((v, 0))) for v, _ in nodes]
+        return _anchored(panel, df.where(F.col("t") >= first).select("dataset", "t", "shared", *columns))
     own = F.floor(F.col("t") / block)
     at = F.when(F.col("t") % block >= block - deep, F.array(own, own + 1)).otherwise(F.array(own)) if deep else F.array(own)
     df = df.withColumn("block", F.explode(at))
@@ -48,10 +53,14 @@ def lagged(panel: Panel, nodes: Iterable[Node], first: int, masks: bool = False,
     if masks and panel.masked:
         columns += [F.coalesce(back(f"m{v}", -lag), F.lit(True)).alias(mask_column((v, lag))) for v, lag in nodes]
     out = df.select("dataset", "t", "shared", (F.col("block") == own).alias("own"), *columns).where(F.col("own") & (F.col("t") >= first)).drop("own")
-    if panel.anchors is not None:
-        spark = df.sparkSession
-        out = out.join(F.broadcast(spark.createDataFrame([(int(a),) for a in panel.anchors], "shared long")), "shared", "left_semi")
-    return out
+    return _anchored(panel, out)
+
+
+def _anchored(panel: Panel, df: DataFrame) -> DataFrame:
+    """Only the reference points, if the panel has some; Spark decides by their number how to join."""
+    if panel.anchors is None:
+        return df
+    return df.join(df.sparkSession.createDataFrame([(int(a),) for a in panel.anchors], "shared long"), "shared", "left_semi")
 
 
 @dataclass

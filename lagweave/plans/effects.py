@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 
 from lagweave.operators.ci import Data, Question
 from lagweave.operators.embedding import Node, column, sample
-from lagweave.operators.moments import moments
+from lagweave.operators.moments import resampled_moments
 from lagweave.sources.panel import Panel
 
 from .graphs import Adjustment
 from .models import regression
-from .pcmci import resampled
 
 
 class CausalEffects:
@@ -64,7 +63,7 @@ class CausalEffects:
         """Intervals of the linear effects, all samples in one grouped pass."""
         nodes = list(dict.fromkeys([*self.x, *self.y, *self.z, *self.s]))
         df = sample(panel, self.x, self.y, self.z, self.s, self.tau_max, "tau_max").df
-        got = [m for _, m in sorted(moments(resampled(df, samples, block, seed), nodes, ["run"]).items())]
+        got = [m for _, m in sorted(resampled_moments(df, nodes, samples, block, seed).items())]
         out = {}
         for y in self.y:
             values = np.array([regression(m, y, [*self.x, *self.z, *self.s])[0][: len(self.x)] for m in got])

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from lagweave.operators.ci import Data, ParCorr, Question
 from lagweave.operators.embedding import Node, column, lagged
-from lagweave.operators.moments import Moments, moments
+from lagweave.operators.moments import Moments, moments, resampled_moments
 from lagweave.sources.panel import Panel
 
-from .pcmci import Discovery, resampled
+from .pcmci import Discovery
 
 
 def regression(m: Moments, target: Node, on: Sequence[Node], standard: bool = False) -> tuple[np.ndarray, float]:
@@ -170,7 +170,7 @@ class Mediation:
 def bootstrap_effects(panel: Panel, parents: dict[int, list[Node]], tau_max: int, of, samples: int = 100, block: int = 1, seed: int = 0, level: float = 0.9, standard: bool = True) -> tuple[float, float]:
     """Interval of a number of(Mediation) over block-bootstrap samples, all from one grouped pass."""
     nodes = sorted({(j, 0) for j in range(panel.n)} | {n for ps in parents.values() for n in ps})
-    got = moments(resampled(lagged(panel, nodes, tau_max), samples, block, seed), nodes, ["run"])
+    got = resampled_moments(lagged(panel, nodes, tau_max), nodes, samples, block, seed)
     values = [of(Mediation(LinearModel.of(m, parents, panel.n, tau_max, standard).tensor())) for _, m in sorted(got.items())]
     low, high = np.quantile(values, [(1 - level) / 2, (1 + level) / 2])
     return float(low), float(high)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lagweave.operators.ci import Answer, Data, ParCorr, Question
 from lagweave.operators.embedding import Node
 from lagweave.operators.links import LINKS, fdr_values, summary, to_links
-from lagweave.operators.moments import moments
+from lagweave.operators.moments import moments, numbered, resampled_moments
 from lagweave.sources.panel import Panel
 
 ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
@@ -387,7 +387,14 @@ class Discovery:
     def bootstrap(self, method: str, tau_max: int, samples: int = 100, block: int = 1, seed: int = 0, **args) -> dict[str, Found]:
         """The method on block-bootstrap samples of the anchor times."""
         base = Data(self.panel, tau_max, self.cut_off, self.mask_type)
-        return self.repeated(self._parts(resampled(base.embedding(), samples, block, seed), tau_max), method, tau_max=tau_max, **args)
+        if hasattr(self.test, "answer") and not base.gaps():
+            parts = {}
+            for run, m in sorted(resampled_moments(base.embedding(), base.nodes(), samples, block, seed).items()):
+                parts[run] = own = Data(self.panel, tau_max, self.cut_off, self.mask_type, frame=base.frame)
+                own._nodes, own._whole, own._gaps = set(base.nodes()), {(): m}, False
+        else:
+            parts = self._parts(resampled(base.embedding(), samples, block, seed), tau_max)
+        return self.repeated(parts, method, tau_max=tau_max, **args)
 
     def summarised(self, runs: dict[str, Found], level: float = 0.9) -> DataFrame:
         rows = [(int(i), int(j), int(t), float(f.val[i, j, t]), float(f.p[i, j, t]), str(f.graph[i, j, t])) for f in runs.values() for i, j, t in np.ndindex(f.val.shape) if (i, t) != (j, 0)]
@@ -473,10 +480,7 @@ def windowed(df: DataFrame, time: str, step: int, length: int) -> DataFrame:
 
 def resampled(df: DataFrame, samples: int, block: int, seed: int = 0) -> DataFrame:
     """Block-bootstrap samples of df's rows (dataset, t): each dataset's rows are drawn in blocks of consecutive ones, with `run`, the sample's number."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("dataset").orderBy("t")
-    rows = df.withColumn("pos", F.row_number().over(w) - 1)
+    rows = numbered(df)
     sizes = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("size"))
     draws = sizes.select("dataset", "size", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("run")).select("dataset", "size", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("size") / block) - 1)).alias("b"))
     start = F.pmod(F.xxhash64(F.lit(seed), "run", "b", "dataset"), F.greatest(F.lit(1), F.col("size") - block))

@@ -19,13 +19,17 @@ from lagweave.operators.mixed import CMIknnMixed, RegressionCI
 from lagweave.operators.moments import moments
 from lagweave.operators.significance import Bootstrapped, Shuffled, Thresholded
 from lagweave.plans.effects import CausalEffects
-from lagweave.plans.graphs import ancestor_table, from_links
+from lagweave.plans.general import GeneralEffects, LeastSquares, Nearest, Standardised, natural_effects
+from lagweave.plans.graphs import Adjustment, TimeGraph, ancestor_table, canonical, from_links, relevant_lag, reverse
 from lagweave.plans.joint import JointDiscovery, RegimeDiscovery
 from lagweave.plans.lpcmci import LatentDiscovery
 from lagweave.plans.models import LinearModel, Mediation, Prediction, bootstrap_effects
-from lagweave.plans.pcmci import Discovery, windowed
+from lagweave.plans.pcmci import Discovery, directed_member, windowed
+from lagweave.sources.counterfactual import Model as CounterfactualModel
+from lagweave.sources.counterfactual import natural_direct_effect, natural_indirect_effect
+from lagweave.sources.files import described
 from lagweave.sources.panel import Panel, event_days, event_hours, lineitem_days, order_weeks
-from lagweave.sources.processes import ensemble, random_links
+from lagweave.sources.processes import context_model, ensemble, random_links
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -474,7 +478,7 @@ def contingency_tests(spark, d):
 @query(f"{_MARGINS} SELECT CAST(z AS DOUBLE) AS z, CAST(sum(c) AS BIGINT) AS c, CAST(max(nz) AS BIGINT) AS n_z FROM m GROUP BY z")
 def contingency_margins(spark, d):
     m = with_margins(symbols(_flags(spark, d), [Question(((0, 0),), ((1, 0),), ((2, 0),))]))
-    return m.groupBy(F.col("z").cast("double").alias("z")).agg(F.sum("c").alias("c"), F.max("n_z").alias("n_z"))
+    return m.groupBy(F.col("z.n0").alias("z")).agg(F.sum("c").alias("c"), F.max("n_z").alias("n_z"))
 
 
 @query()
@@ -865,6 +869,102 @@ def simulated_ensemble(spark, d):
     return ensemble(spark, random_links(4, 4, 2, seed=3), 100, 8, seed=1).groupBy("dataset").agg(*[r6(F.avg(f"v{i}")).alias(f"v{i}") for i in range(4)])
 
 
+def _graph_with_mediator() -> np.ndarray:
+    """Quantity acts on returned lines directly and through the revenue, which keeps its own past."""
+    return from_links({0: [(0, -1)], 1: [(0, 0), (1, -1)], 2: [(0, 0), (1, 0)], 3: [], 4: []})
+
+
+@query(ORACLES["intervention"])
+def general_total_effect(spark, d):
+    """The same intervention by an estimator that is fitted on arrays, its predictions averaged over the cluster."""
+    e = GeneralEffects(_graph_with_mediator(), [(0, 0)], [(2, 0)], estimator=LeastSquares, transform=Standardised).fit(lineitem_days(spark, d))
+    return e.predict([[0.0], [100.0], [700.0]]).select("case", r6("y0").alias("y0"))
+
+
+@query(f"WITH {LI_DAY}, m AS (SELECT {_two('v2', 'v0', 'v3')[0]} AS b, {_two('v2', 'v0', 'v3')[1]} AS c, avg(v2) AS y, avg(v0) AS x, avg(v3) AS s FROM li_day) SELECT round(y + b * (100.0 - x) + c * (50.0 - s), 6) AS y0 FROM m")
+def conditional_total_effect(spark, d):
+    """Given the number of lines not returned."""
+    g = from_links({0: [], 1: [], 2: [(0, 0), (3, 0)], 3: [], 4: []}, 1)
+    e = GeneralEffects(g, [(0, 0)], [(2, 0)], s=[(3, 0)], estimator=LeastSquares).fit(lineitem_days(spark, d), tau_max=0)
+    return e.predict([[100.0]], given=[[50.0]]).select(r6("y0").alias("y0"))
+
+
+@query(
+    f"""WITH {LI_DAY}, e AS ({sql_lags('li_day', [(0, 0), (1, 0), (2, 0)], 0)}), m AS (SELECT {_two('x2_0', 'x0_0', 'x1_0')[0]} AS b, {_two('x2_0', 'x0_0', 'x1_0')[1]} AS c, regr_slope(x1_0, x0_0) AS a FROM e)
+    SELECT round(10 * b, 6) AS direct, round(10 * a * c, 6) AS indirect FROM m"""
+)
+def natural_effects_linear(spark, d):
+    """Direct and indirect effects through the revenue; with least squares these are products of coefficients."""
+    e = natural_effects(lineitem_days(spark, d), from_links({0: [], 1: [(0, 0)], 2: [(0, 0), (1, 0)], 3: [], 4: []}), (0, 0), (2, 0), LeastSquares)
+    return spark.createDataFrame([(e.direct(0.0, 10.0), e.indirect(0.0, 10.0))], "direct double, indirect double").select(r6("direct").alias("direct"), r6("indirect").alias("indirect"))
+
+
+@query()
+def natural_effects_neighbours(spark, d):
+    """The same by nearest neighbours, smoothed over the quantity."""
+    p = lineitem_days(spark, d)
+    e = natural_effects(p, from_links({0: [], 1: [(0, 0)], 2: [(0, 0), (1, 0)], 3: [], 4: []}), (0, 0), (2, 0), lambda: Standardised(Nearest(20)))
+    at, effect = e.smoothed(200.0, 800.0, 50.0, steps=12, sigma=2)
+    return spark.createDataFrame([(float(a), float(b)) for a, b in zip(at, effect)], "x double, effect double").select("x", r6("effect").alias("effect"))
+
+
+@query("SELECT 'direct' AS name, 3.0::DOUBLE AS val UNION ALL SELECT 'indirect', 2.0 UNION ALL SELECT 'series', 1.5")
+def counterfactual_truth(spark, d):
+    """In linear worlds that share their noise the effects are exact: 1.5 * 2, 0.5 * 2 * 2, and through one lag 0.75 * 2."""
+    m = CounterfactualModel({"x": lambda v: v.noise, "m": lambda v: 0.5 * v["x"] + v.noise, "y": lambda v: 1.5 * v["x"] + 2.0 * v["m"] + v.noise})
+    s = CounterfactualModel({"x": lambda v: v.noise, "y": lambda v: 0.75 * v["x", -1] + 0.5 * v["y", -1] + v.noise}, steps=2)
+    rows = [("direct", natural_direct_effect(m, spark, "x", "y", ["m"], 1.0, 3.0, 2000)), ("indirect", natural_indirect_effect(m, spark, "x", "y", ["m"], 1.0, 3.0, 2000)), ("series", natural_direct_effect(s, spark, "x", "y", [], 0.0, 2.0, 2000))]
+    return spark.createDataFrame(rows, "name string, val double").withColumn("val", F.round("val", 6))
+
+
+@query("SELECT CAST(4 AS BIGINT) AS datasets, CAST(60 AS BIGINT) AS times, true AS time_shared, true AS space_constant")
+def context_datasets(spark, d):
+    """What makes context context: the time context is the same in all datasets, the space context at all times."""
+    links = {0: [((0, -1), 0.5, None), ((2, 0), 1.0, None), ((3, 0), 1.0, None)], 1: [((0, -1), 0.5, None)], 2: [((2, -1), 0.5, None)], 3: []}
+    df = context_model(spark, links, {2: "time_context", 3: "space_context"}, 4, 60, seed=5).persist()
+    shared = df.groupBy("t").agg(F.countDistinct("v2").alias("k")).agg((F.max("k") == 1).alias("a")).first()["a"]
+    still = df.groupBy("dataset").agg(F.countDistinct("v3").alias("k")).agg((F.max("k") == 1).alias("a")).first()["a"]
+    n = df.agg(F.countDistinct("dataset"), F.countDistinct("t")).first()
+    df.unpersist()
+    return spark.createDataFrame([(n[0], n[1], shared, still)], "datasets long, times long, time_shared boolean, space_constant boolean")
+
+
+@query(
+    """SELECT name, val FROM (VALUES ('amenable: v into x', true), ('amenable: alone', false), ('optimal: confounded', true), ('visible in models', true), ('one hidden variable', true), ('relevant lag', true), ('directed member', true)) t(name, val)"""
+)
+def graph_facts(spark, d):
+    """Facts of small graphs that can be told by hand."""
+    seen = TimeGraph(_marks({(0, 1): "-->", (2, 0): "-->"}, 3), 0)
+    alone = TimeGraph(_marks({(0, 1): "-->"}, 2), 0)
+    confounded = Adjustment(_marks({(0, 1): "-->", (2, 0): "-->", (2, 1): "-->"}, 3), [(0, 0)], [(1, 0)], horizon=0)
+    member = directed_member(_marks({(0, 1): "o-o", (1, 2): "o-o", (0, 2): "o-o"}, 3), [0, 1, 2])[:, :, 0]
+    rows = [
+        ("amenable: v into x", seen.amenable([(0, 0)], [(1, 0)])),
+        ("amenable: alone", alone.amenable([(0, 0)], [(1, 0)])),
+        ("optimal: confounded", confounded.optimality() and confounded.optimal() == {(2, 0)}),
+        ("visible in models", alone.amenable([(0, 0)], [(1, 0)], latent=False)),
+        ("one hidden variable", canonical(_marks({(0, 1): "<->"}, 2)) == {0: [(2, 0)], 1: [(2, 0)], 2: []}),
+        ("relevant lag", relevant_lag(from_links({0: [(0, -1)], 1: [(0, -2)]}), [(1, 0)]) == 3),
+        ("directed member", sorted((member == "-->").sum(0).tolist()) == [0, 1, 2]),
+    ]
+    return spark.createDataFrame([(n, bool(v)) for n, v in rows], "name string, val boolean")
+
+
+def _marks(links: dict[tuple[int, int], str], n: int) -> np.ndarray:
+    graph = np.full((n, n, 1), "", dtype="<U3")
+    for (i, j), mark in links.items():
+        graph[i, j, 0], graph[j, i, 0] = mark, reverse(mark)
+    return graph
+
+
+@query(
+    f"""WITH {LI_DAY} """
+    + " UNION ALL ".join(f"SELECT '{n}' AS variable, count(v{i}) AS n, count(*) - count(v{i}) AS missing, round(avg(v{i}), 4) AS mean, round(stddev_pop(v{i}), 4) AS std, round(min(v{i}), 4) AS low, round(max(v{i}), 4) AS high FROM li_day" for i, n in enumerate(("quantity", "revenue", "flag_A", "flag_N", "flag_R")))
+)
+def panel_summary(spark, d):
+    return described(lineitem_days(spark, d)).select("variable", "n", "missing", *[F.round(c, 4).alias(c) for c in ("mean", "std", "low", "high")])
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Causal links between daily line-item series."""
     return pcmci(spark, d)
