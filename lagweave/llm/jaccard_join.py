@@ -15,7 +15,8 @@ with the most members. Later pairs are answered from these differences without r
 * same anchor: x and y differ by d(x) + d(y) - 2 * (what their differences share). If their labels differ, at least one of them is not linked
   to the anchor, and then a link needs a shared part; so pairs are sought by a prefix join over the differences, new shingles first.
 * different anchors L, M: x and y differ by d(L, M) - d(x) - d(y) at least, and only leaders that meet in a list are compared.
-Only the pairs that these bounds leave open are read. A group of near copies thus costs a few comparisons a member.
+Whatever the leaders, the parity sketches of two sets (256 bits, each flipped by the shingles that fall on it) differ in no more bits than the sets in shingles,
+which rules out most pairs that meet by chance. Only the pairs that these bounds leave open are read. A group of near copies thus costs a few comparisons a member.
 
 These rounds give the components, which is what near_duplicates, one_of_each and the queries need, and of the links a part that
 spans them. joined(complete=True) adds a round for all links, inside components too: the answers of two members' leaders
@@ -37,6 +38,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .exchange import pack, range_of, unpack
-from .runtime import arrow_rows, documents, slots, written
+from .runtime import arrow_rows, documents, scratch, slots, written
 from .text import SPACED, U64, buffers, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -59,9 +61,14 @@ SLICES = 16
 ENTRIES = 300_000
 #: Pairs that a task of the complete mode gathers before it drops repeated ones.
 PAIRS = 1 << 22
+#: Ids that may be broadcast.
+FEW = 1_000_000
 #: Bytes of sets that one task compares at a time, about.
 PART_BYTES = 4 << 20
-SETS = "doc_id long, n long, digest long, data binary"
+SETS = "doc_id long, n long, digest long, data binary, s0 long, s1 long, s2 long, s3 long"
+SKETCH = ("s0", "s1", "s2", "s3")
+#: Bits by which the sketches of a leader and a member may differ although the pair is not linked; a member beyond has no leader.
+LOOSE = 96
 INDEX = "kind int, token long, digest long, n int, pos int, other long"
 ANSWER = "a long, b long, n_a long, n_b long, overlap long"
 MET = "range long, token long, a long, b long, times long"
@@ -126,6 +133,11 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return data.view("<u8"), offsets // 8
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits, each flipped by every shingle that falls on it; two sets' differ in at most as many bits as the sets in shingles."""
+    return np.packbits(np.bincount((s >> U64(8)).astype(np.uint8), minlength=256).astype(np.uint8) & 1).view(np.int64)
+
+
 def portions(batches, size: int = 1 << 17):
     """Classes, hashes and starts of about `size` hashes of sets at a time."""
     for batch in batches:
@@ -145,7 +157,10 @@ def coded(batches, shingle: int):
         for first, sets in shingle_sets(batch.column("text"), shingle):
             name = [digest(s) if len(s) else 0 for s in sets]
             data = [s.tobytes() if len(s) and d not in seen and not seen.add(d) else None for s, d in zip(sets, name)]
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n", "digest", "data"])
+            sketches = np.array([parity(s) if x is not None else (0, 0, 0, 0) for s, x in zip(sets, data)], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(name, pa.int64()), pa.array(data, pa.binary()), *(pa.array(sketches[:, k]) for k in range(4))], ["doc_id", "n", "digest", "data", *SKETCH]
+            )
 
 
 def marked(rows: DataFrame, cells_of, bits: int) -> np.ndarray:
@@ -285,9 +300,10 @@ class Join:
 
     def groups(self, t: pa.Table):
         """The lists with several labels and several leaders: columns sorted by list, leader and label, and for each list where its (leader, label) groups start and end."""
-        cols = {c: t.column(c).to_numpy() for c in ("token", "digest", "n", "pos", "label", "leader", "d")}
+        cols = {c: t.column(c).to_numpy() for c in ("token", "digest", "n", "pos", "label", "leader", "d", *SKETCH)}
         order = np.lexsort([cols["n"], cols["label"], cols["leader"], cols["token"]])
         cols = {c: v[order].astype(np.int64) for c, v in cols.items()}
+        cols["sketch"] = np.stack([cols.pop(c) for c in SKETCH], axis=1)
         start, length = runs(cols["token"])
         out = []
         for a, k in zip(start.tolist(), length.tolist()):
@@ -308,6 +324,11 @@ class Join:
             if len(j):
                 yield k, j, high
 
+    def near(self, cols, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether the sketches allow a link between entry i and each of others."""
+        apart = np.bitwise_count(cols["sketch"][others].view(U64) ^ cols["sketch"][i].view(U64)).sum(1, dtype=np.int64)
+        return apart <= self.allowed(cols["n"][i], cols["n"][others])
+
     def leaders(self, t: pa.Table) -> pa.Table:
         """Pairs of leaders whose stars meet in a list within the bounds, under different labels; and the lists (token) in which any do."""
         cols, lists = self.groups(t)
@@ -317,6 +338,10 @@ class Join:
             before = len(found)
             star = (stop - first > 1) | (cols["digest"][first] != leader[first])
             for k, j, _ in self.meeting(first, stop, cols, most):
+                if not star[k]:  # two classes without members are held to their sketches at once
+                    j = j[star[j] | self.near(cols, first[k], first[j])]
+                    if not len(j):
+                        continue
                 # leaders of stars are always compared: their answer rules out pairs of members
                 other = np.unique(np.concatenate([leader[first[j]], *[leader[first[j]][star[j] | star[k]]] * (LEAST - 1)]), return_counts=True)
                 other = np.repeat(other[0], np.minimum(other[1], LEAST))
@@ -351,6 +376,7 @@ class Join:
                 for i in range(int(first[k]), int(stop[k])):
                     pick = (n[other] <= most[i]) & (n[i] <= most[other]) & (gap - d[i] - d[other] <= self.allowed(n[i], n[other]))
                     at = other[pick]
+                    at = at[self.near(cols, i, at)]
                     if len(at):
                         found.append(np.stack([np.minimum(who[i], who[at]), np.maximum(who[i], who[at]), self.least(n[i], n[at])]))
         pair, times = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
@@ -488,14 +514,15 @@ class Result:
 
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, complete: bool = False) -> Result:
-    with arrow_rows(docs.sparkSession, 1000):
+    with arrow_rows(docs.sparkSession, 1000), scratch(docs.sparkSession):
         return _joined(docs, shingle, percent, complete)
 
 
 def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Result:
     spark = docs.sparkSession
     sets = written(documents(docs).mapInArrow(lambda batches: coded(batches, shingle), SETS), "sets", "none")
-    members, sets = sets.select("doc_id", "n", "digest"), sets.where("data IS NOT NULL").select("digest", "n", "data")
+    members, whole = written(sets.select("doc_id", "n", "digest"), "kept-members"), sets.where("data IS NOT NULL")
+    sets, classes = whole.select("digest", "n", "data"), whole.groupBy("digest").agg(F.first("n").cast("int").alias("n"), *[F.first(c).alias(c) for c in SKETCH])
     counts = sketch(sets.select("digest", "data"), lambda batch: ((values >> U64(64 - CELL_BITS)).astype(np.int64) for _, values, _ in portions([batch])), 1 << CELL_BITS, 2**31 - 1)
     order = spark.sparkContext.broadcast(np.minimum(8 * np.log2(1.0 + counts), 65535).astype(np.uint16))
     entries = sets.agg(F.sum(F.lit(LEAST) + F.col("n") * (100 - percent) / 100)).first()[0] or 0
@@ -506,9 +533,13 @@ def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Resu
 
     payload = sets.select("digest", "data").mapInArrow(lambda batches: make().index(batches), "range long, data binary")
     index = written(payload.groupBy("range").applyInArrow(lambda t: make().lists(t), INDEX), "index")
+    sketches = written(classes, "classes")
     lists = index.where(F.col("kind") == LIST).select("token", "digest", "n", "pos")
     enough = lambda pairs: pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.max("least").alias("least")).where("times >= least").select("a", "b")
     stars = enough(index.where(F.col("kind") == STAR).select(F.col("digest").alias("a"), F.col("other").alias("b"), F.col("n").alias("times"), F.col("pos").alias("least")))
+    side = lambda c: sketches.select(F.col("digest").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(k).alias(f"{k}_{c}") for k in SKETCH])
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{k}_a").bitwiseXOR(F.col(f"{k}_b"))) for k in SKETCH])
+    stars = stars.join(side("a"), "a").join(side("b"), "b").where(apart <= F.greatest(F.lit(LOOSE), (F.col("n_a") + F.col("n_b")) * (100 - percent) / (100 + percent))).select("a", "b")
 
     def tested(pairs: DataFrame, what: str, told: bool = False) -> DataFrame:
         """The pairs (a, b) with both sizes and their overlap (ANSWER), and their difference if told."""
@@ -536,8 +567,8 @@ def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Resu
     star = written(star.join(near, ["digest", "leader"]), "anchors")
 
     def labelled(now: DataFrame, lists: DataFrame) -> DataFrame:
-        out = lists.join(now.withColumnRenamed("vertex", "digest"), "digest", "left").join(star, "digest", "left")
-        return out.select("token", "digest", "n", "pos", F.coalesce("label", "digest").alias("label"), F.coalesce("leader", "digest").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
+        out = lists.join(sketches.drop("n"), "digest").join(now.withColumnRenamed("vertex", "digest"), "digest", "left").join(star, "digest", "left")
+        return out.select("token", "digest", "n", "pos", *SKETCH, F.coalesce("label", "digest").alias("label"), F.coalesce("leader", "digest").alias("leader"), F.coalesce("d", F.lit(0)).alias("d"), F.pmod(F.xxhash64("token"), F.lit(n_ranges)).alias("range"))
 
     met = written(labelled(label, lists).groupBy("range").applyInArrow(lambda t: make().leaders(t), MET), "met")
     cells = lambda column: (mix64(column.to_numpy().view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)
@@ -571,7 +602,7 @@ def _joined(docs: DataFrame, shingle: int, percent: int, complete: bool) -> Resu
     final = written(components(label.select(F.col("vertex").alias("a"), F.col("label").alias("b")).unionAll(third)), "labels")
     classes = members.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least")).join(final.withColumnRenamed("vertex", "digest"), "digest", "left").select("digest", "least", F.coalesce("label", "digest").alias("label"))
     named = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    return Result(members, links, classes.join(named, "label").select("digest", "component_id", "label"))
+    return Result(members, written(links, "kept-links"), written(classes.join(named, "label").select("digest", "component_id", "label"), "kept-classes"))
 
 
 def linked_pairs(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -589,13 +620,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     return found.members.join(found.classes, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it has been counted to be small: else texts would be shuffled to drop some of them."""
+    ids = written(ids, "kept-ids")
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs, all columns, with one row (the smallest doc_id, once) of each group of near duplicates; rows with null doc_id stay.
     Rows that share a doc_id are told apart by their texts."""
     found = joined(docs, shingle, percent)
     members = found.members.join(found.classes, "digest", "left")
-    gone = members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
+    gone = _small(members.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    twice = _small(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id"))
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").join(twice, "doc_id", "left_anti").select(docs.columns)
     again = docs.join(twice, "doc_id").select(F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row"))
 

@@ -25,14 +25,36 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: list[list[str]] = []
+
+
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage, so that a lost executor costs one reread."""
+    """df, written to the shared folder and read back: cuts the lineage, so that a lost executor costs one reread. Within `scratch`, tables that aren't named kept-... go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagweave-{what}-{uuid.uuid4().hex}"
+    if _SCRATCH and not what.startswith("kept-"):
+        _SCRATCH[-1].append(path)
     df.write.option("compression", compression).option("parquet.block.size", 32 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are deleted at its end, be it by an error; nothing lazy that reads them may leave it."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A folder of any store that Spark writes to."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int):
     """Within, jobs hand that many rows at a time to Python workers, or fewer if the session says so: rows that hold whole sets or texts are large."""

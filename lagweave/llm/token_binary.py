@@ -10,7 +10,7 @@ files (columns file, block, ids, data), which any store that Spark reaches can h
 `export` writes the bare blocks of one table to a local file. The rank table is stored beside.
 
 Defined results: a null or empty text is its end id alone; equal doc_ids stay separate rows,
-ordered by their ids' bytes; a null doc_id comes first; an empty table gives no block.
+ordered by their number of ids, then a hash of them; a null doc_id comes first; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import documents, shared_dir, slots, written
+from .runtime import documents, scratch, shared_dir, slots, written
 from .text import buffers
 from .tokens import Encoder, encoded
 
@@ -151,7 +151,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
     n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     files = max(1, -(-n_bytes // FILE_BYTES), min(slots(spark), n_bytes // (FILE_BYTES // 16)))
     rows = tokens.mapInArrow(coded, "doc_id long, n long, control binary, data binary")
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "n", "data").withColumn("file", F.spark_partition_id())
+    ordered = rows.repartitionByRange(files, "doc_id", "n", F.xxhash64("data")).sortWithinPartitions("doc_id", "n", F.xxhash64("data"), "data").withColumn("file", F.spark_partition_id())
 
     def assemble(batches):
         number, held, ids, file = 0, [], 0, 0
@@ -228,5 +228,6 @@ def export(spark, path: str, target: str) -> int:
 def round_trip(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Writes docs to a fresh place in the shared folder and reads them back (DECODED)."""
     path = f"{shared_dir(docs.sparkSession)}/lagweave-tokens-{uuid.uuid4().hex}"
-    write(docs, tokenizer, path, end_id)
+    with scratch(docs.sparkSession):
+        write(docs, tokenizer, path, end_id)
     return read(docs.sparkSession, path)
