@@ -5,17 +5,20 @@ vocabulary. Runs of words that the benchmark knows are kept, everything else is
 no verbatim match can reach across it. The runs are sorted into a suffix array by prefix
 doubling, and every suffix of every benchmark item is binary-searched in it, which gives its
 longest verbatim match with its place, and the range of suffixes that begin with its window.
+Occurrences are followed from their first word to their last, which gives each text its longest match.
 Shards are independent, so nothing is shuffled; the index of the benchmark is broadcast in
-blocks of checked size, and what several blocks find in a text is merged by row.
+blocks of checked size, one after another, and what several blocks find in a text is merged by row.
 
 Defined results: a null or empty text has no words and no hits; a null item text has no window;
 a null item_id is reported as "null"; rows with equal item_id count as one item; an empty benchmark leaves
-every text clean; repeated document rows each get their own result row; other columns are ignored.
+every text clean; of equally long matches the first in the text counts, then the item that sorts first; a text of any length is searched to its end, by one task;
+repeated document rows each get their own result row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import documents
+from .runtime import documents, written
 from .text import ALNUM, Chunk, chunks, covered, gram_hashes, ranges, word_hashes, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Bytes of benchmark text in one broadcast block; a larger benchmark takes several.
 BLOCK_BYTES = 32 << 20
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, longest_start long, longest_item string"
 MATCHES = "item_id string, item_start long, length long, doc_id long, doc_start long"
 
 
@@ -153,18 +156,27 @@ class Shard:
         return cls(seq, place, w.offsets, suffix_array(seq, depth))
 
 
-def occurrences(shard: Shard, bench: Benchmark, suffixes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word position, words covered and item of every occurrence of a window in the shard."""
+def occurrences(shard: Shard, bench: Benchmark, suffixes) -> tuple[np.ndarray, np.ndarray]:
+    """Every occurrence of a window in the shard: its place in the shard's sequence, and the item suffix."""
     item, start, rest, wide = suffixes
     if not len(shard.order) or not len(item):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     low = bounds(shard.seq, shard.order, bench.ids, start, wide, False)
     inside = np.flatnonzero(low < len(shard.order))
     common, _ = compare(shard.seq, shard.order[low[inside]], bench.ids, start[inside], wide[inside])
     hit = inside[common == wide[inside]]
-    high = bounds(shard.seq, shard.order, bench.ids, start[hit], wide[hit], True)
-    n = high - low[hit]
-    return shard.place[shard.order[ranges(low[hit], n)]], np.repeat(wide[hit], n), np.repeat(item[hit], n)
+    n = bounds(shard.seq, shard.order, bench.ids, start[hit], wide[hit], True) - low[hit]
+    return shard.order[ranges(low[hit], n)], np.repeat(hit, n)
+
+
+def followed(shard: Shard, bench: Benchmark, suffixes, at: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal matches: of the occurrences that no occurrence one word before reaches, place in the sequence, words, item."""
+    item, start, rest, _ = (x[suffix] for x in suffixes)
+    inner = (start > bench.offsets[item]) & (at > 0)
+    inner[inner] = shard.seq[at[inner] - 1] == bench.ids[start[inner] - 1]
+    own = np.flatnonzero(~inner)
+    length, _ = compare(shard.seq, at[own], bench.ids, start[own], rest[own])
+    return at[own], length, item[own]
 
 
 def longest(shard: Shard, bench: Benchmark, start: np.ndarray, rest: np.ndarray) -> np.ndarray:
@@ -188,14 +200,14 @@ def first_match(shard: Shard, bench: Benchmark, start: np.ndarray, length: np.nd
     return np.minimum.reduceat(np.append(key, len(key)), pair.T.ravel())[::2][which.ravel()]
 
 
-def blocks(benchmark: DataFrame, window: int) -> list:
-    """The benchmark in broadcast blocks of at most BLOCK_BYTES each."""
+def blocks(benchmark: DataFrame, window: int) -> tuple[int, Callable[[int], object]]:
+    """The number of blocks of at most BLOCK_BYTES each that the benchmark takes, and what broadcasts one of them."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").cast("string").alias("t")).where("t is not null")
     n_bytes = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-n_bytes // BLOCK_BYTES))
     rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(n)))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(Benchmark.build([(r["i"], r["t"]) for r in rows.where(F.col("b") == k).toLocalIterator()], window)) for k in range(n)]
+    return n, lambda k: sc.broadcast(Benchmark.build([(r["i"], r["t"]) for r in rows.where(F.col("b") == k).toLocalIterator()], window))
 
 
 def _found(batches, block, depth_beyond: int = 1):
@@ -214,38 +226,71 @@ def digest(names: list[str]) -> str:
 
 
 def _per_text(shard: Shard, bench: Benchmark, suffixes):
-    """Flags of the hit words, and for each text with hits its items."""
-    at, wide, item = occurrences(shard, bench, suffixes)
-    hit = covered(at, wide, int(shard.offsets[-1]))
-    text = np.searchsorted(shard.offsets, at, "right") - 1
-    pairs = np.unique(np.stack([text, item]), axis=1) if len(at) else np.empty((2, 0), np.int64)
+    """Flags of the hit words, and for each text with hits its items and its longest match (words, first word, item)."""
+    at, suffix = occurrences(shard, bench, suffixes)
+    hit = covered(shard.place[at], suffixes[3][suffix], int(shard.offsets[-1]))
+    text = np.searchsorted(shard.offsets, shard.place[at], "right") - 1
+    pairs = np.unique(np.stack([text, suffixes[0][suffix]]), axis=1) if len(at) else np.empty((2, 0), np.int64)
     items: dict[int, set[str]] = {}
     for t, i in pairs.T.tolist():
         items.setdefault(t, set()).add(bench.names[i])
-    return hit, items
+    best: dict[int, tuple[int, int, str]] = {}
+    where, length, item = followed(shard, bench, suffixes, at, suffix)
+    place = shard.place[where]
+    text = np.searchsorted(shard.offsets, place, "right") - 1
+    first = place - shard.offsets[text]
+    order = np.lexsort([first, -length, text])
+    top = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])] if len(order) else order
+    for t, n, s in zip(text[top].tolist(), length[top].tolist(), first[top].tolist()):
+        best[t] = n, s, ""
+    same = [k for k in order.tolist() if (length[k], first[k]) == best[int(text[k])][:2]]
+    for k in same:
+        t, name = int(text[k]), bench.names[item[k]]
+        best[t] = *best[t][:2], min(best[t][2] or name, name)
+    return hit, items, best
+
+
+def _rows(doc_id, n_words, n_hit, items, best) -> pa.RecordBatch:
+    n_hit = np.asarray(n_hit, np.int64)
+    best = [b or (0, None, None) for b in best]
+    return pa.RecordBatch.from_pydict(
+        {
+            "doc_id": doc_id,
+            "n_words": np.asarray(n_words, np.int64),
+            "n_hit": n_hit,
+            "n_items": np.array([len(x) for x in items], np.int64),
+            "items_sha256": [digest(list(x)) for x in items],
+            "contaminated": n_hit > 0,
+            "longest_match": pa.array([b[0] for b in best], pa.int64()),
+            "longest_start": pa.array([b[1] for b in best], pa.int64()),
+            "longest_item": pa.array([b[2] for b in best], pa.string()),
+        }
+    )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document: words, words hit, and the benchmark items found in it (RESULT)."""
-    found = blocks(benchmark, window)
+    """Per document: words, words hit, the benchmark items found in it, and its longest verbatim match with an item: words, first word, item (RESULT)."""
+    n, load = blocks(benchmark, window)
     docs = documents(docs)
-    if len(found) == 1:
-        block = found[0]
+    if n == 1:
+        block = load(0)
 
         def one(batches):
             for batch, chunk, shard, bench, suffixes in _found(batches, block):
-                hit, items = _per_text(shard, bench, suffixes)
+                hit, items, best = _per_text(shard, bench, suffixes)
                 total = np.concatenate([[0], np.cumsum(hit)])[shard.offsets]
-                yield _rows(batch.column("doc_id").slice(chunk.first, len(chunk)), np.diff(shard.offsets), np.diff(total), [items.get(i, ()) for i in range(len(chunk))])
+                yield _rows(batch.column("doc_id").slice(chunk.first, len(chunk)), np.diff(shard.offsets), np.diff(total), [items.get(i, ()) for i in range(len(chunk))], [best.get(i) for i in range(len(chunk))])
 
         return docs.mapInArrow(one, RESULT)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")  # numbered once: all blocks see the same rows
     parts = None
-    for block in found:
+    for k in range(n):
+        block = load(k)
 
         def some(batches, block=block):
             for batch, chunk, shard, bench, suffixes in _found(batches, block):
-                hit, items = _per_text(shard, bench, suffixes)
+                hit, items, best = _per_text(shard, bench, suffixes)
+                best = [best.get(i) or (0, None, None) for i in range(len(chunk))]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": batch.column("row").slice(chunk.first, len(chunk)),
@@ -253,39 +298,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                         "n_words": np.diff(shard.offsets),
                         "hits": pa.array([np.packbits(hit[a:b]).tobytes() for a, b in zip(shard.offsets[:-1], shard.offsets[1:])], pa.binary()),
                         "items": pa.array([sorted(items.get(i, ())) for i in range(len(chunk))], pa.list_(pa.string())),
+                        "longest": pa.array([b[0] for b in best], pa.int64()),
+                        "start": pa.array([b[1] for b in best], pa.int64()),
+                        "item": pa.array([b[2] for b in best], pa.string()),
                     }
                 )
 
-        part = docs.mapInArrow(some, "row long, doc_id long, n_words long, hits binary, items array<string>")
+        part = written(docs.mapInArrow(some, "row long, doc_id long, n_words long, hits binary, items array<string>, longest long, start long, item string"), "hits")
+        block.unpersist()
         parts = part if parts is None else parts.unionAll(part)
 
     def merged(t: pa.Table) -> pa.Table:
         hits = np.bitwise_or.reduce([np.frombuffer(h, np.uint8) for h in t.column("hits").to_pylist()])
         names = set().union(*t.column("items").to_pylist())
-        return pa.Table.from_batches([_rows(t.column("doc_id").combine_chunks().slice(0, 1), t.column("n_words").to_numpy()[:1], [int(np.unpackbits(hits).sum())], [names])])
+        found = [x for x in zip(t.column("longest").to_pylist(), t.column("start").to_pylist(), t.column("item").to_pylist()) if x[0]]
+        best = min(found, key=lambda x: (-x[0], x[1], x[2])) if found else None
+        return pa.Table.from_batches([_rows(t.column("doc_id").combine_chunks().slice(0, 1), t.column("n_words").to_numpy()[:1], [int(np.unpackbits(hits).sum())], [names], [best])])
 
     return parts.groupBy("row").applyInArrow(merged, RESULT)
 
 
-def _rows(doc_id, n_words, n_hit, items) -> pa.RecordBatch:
-    n_hit = np.asarray(n_hit, np.int64)
-    return pa.RecordBatch.from_pydict(
-        {
-            "doc_id": doc_id,
-            "n_words": np.asarray(n_words, np.int64),
-            "n_hit": n_hit,
-            "n_items": np.array([len(x) for x in items], np.int64),
-            "items_sha256": [digest(list(x)) for x in items],
-            "contaminated": n_hit > 0,
-        }
-    )
-
-
 def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per benchmark item: its longest verbatim match in the corpus and one place of it (MATCHES); ties go to the smaller document, then place, then place in the item. Matches of any length count, a single word too."""
-    found = blocks(benchmark, window)
+    n, load = blocks(benchmark, window)
     out = None
-    for block in found:
+    for k in range(n):
+        block = load(k)
 
         def best(batches, block=block):
             bench = block.value
@@ -323,6 +361,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                 )
 
         part = documents(docs).mapInArrow(best, MATCHES)
+        if n > 1:
+            part = written(part, "matches")
+            block.unpersist()
         out = part if out is None else out.unionAll(part)
     first = F.max_by(F.struct("item_start", "length", "doc_id", "doc_start"), F.struct("length", -F.col("doc_id"), -F.col("doc_start"), -F.col("item_start"))).alias("m")
     return out.groupBy("item_id").agg(first).select("item_id", "m.*")
@@ -330,15 +371,19 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs, all columns, whose text holds no window of the benchmark."""
-    found = blocks(benchmark, window)
-    for block in found:
+    n, load = blocks(benchmark, window)
+    for k in range(n):
+        block = load(k)
 
         def clean(batches, block=block):
             for batch, chunk, shard, bench, suffixes in _found(batches, block):
-                at, _, _ = occurrences(shard, bench, suffixes)
+                at, _ = occurrences(shard, bench, suffixes)
                 keep = np.ones(len(chunk), bool)
-                keep[np.searchsorted(shard.offsets, at, "right") - 1] = False
+                keep[np.searchsorted(shard.offsets, shard.place[at], "right") - 1] = False
                 yield batch.slice(chunk.first, len(chunk)).filter(pa.array(keep))
 
         docs = docs.mapInArrow(clean, docs.schema)
+        if n > 1:
+            docs = written(docs, "clean")
+            block.unpersist()
     return docs

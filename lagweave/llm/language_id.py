@@ -7,14 +7,15 @@ against its codeword, each bit weighted by how well its classifier did on that l
 training, and takes the language of least loss. A text whose best and second language come
 close is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample of labelled rows: for every language the
-`per_language` rows of smallest hash, at most `rows` in all; their texts are read whole.
+The classifiers are fitted on a bounded sample of labelled documents: for every language the
+`per_language` doc_ids of smallest hash, at most `rows` in all (of more languages than that, the commonest); their texts are read whole.
 Only text and lang of rows whose crc32(doc_id as text) mod 4 is not 2 are used.
 
 Defined results: a null text, an empty one or one without a letter is `und` with score 0; with no
 labelled row every text is `und`; with one language every text with a letter is that language;
 rows with null lang or null doc_id teach nothing; a null doc_id is not held out; repeated rows
-and other columns make no difference. Equal losses go to the language that sorts first.
+and other columns make no difference (a doc_id teaches a language once, by the text that sorts first); a text of any length is judged as a whole, a chunk
+of texts at a time. Equal losses go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -182,15 +183,18 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
     taught = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string").alias("lang")).where(
         (F.crc32(F.col("doc_id").cast("string")) % FOLDS != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    taught = taught.withColumn("h", F.xxhash64("doc_id"))
-    narrow = taught.select("lang", "h")
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = narrow.withColumn("place", place).where(F.col("place") <= per_language).groupBy("lang").agg(F.max("h").alias("h"), F.max("place").alias("n"))
-    limits = {r["lang"]: (r["h"], r["n"]) for r in last.orderBy("lang").collect()}  # a row for each language
-    if not limits:
+    spark = docs.sparkSession
+    sizes = taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    if not sizes:
         return Model.fit(np.zeros((0, 1 << BITS), np.float32), [])
-    each = max(1, min(per_language, rows // len(limits)))
-    chosen = taught.join(F.broadcast(docs.sparkSession.createDataFrame([(k, h) for k, (h, _) in limits.items()], "lang string, most long")), "lang").where("h <= most")
+    each = max(1, min(per_language, rows // len(sizes)))
+    # the least hashes of each language: first in 64 parts, so that no task sees a whole language
+    ids = taught.select("lang", "doc_id").distinct().withColumn("h", F.xxhash64("doc_id")).withColumn("part", F.pmod(F.xxhash64("h", "lang"), F.lit(64)))
+    for by in (("lang", "part"), ("lang",)):
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))).where(F.col("place") <= each)
+    known = [r["lang"] for r in sizes]
+    picked = [(r["lang"], r["doc_id"], r["h"]) for r in ids.where(F.col("lang").isin(known)).select("lang", "doc_id", "h").collect()]  # `rows` at most
+    chosen = taught.join(F.broadcast(spark.createDataFrame(picked, "lang string, doc_id long, h long")), ["lang", "doc_id"]).groupBy("lang", "doc_id", "h").agg(F.min("text").alias("text"))
 
     def vectorised(batches):
         for batch in batches:
@@ -199,12 +203,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = ROWS) ->
 
     got = chosen.select("lang", "h", "text").mapInArrow(vectorised, "lang string, h long, x binary").toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, 1 << BITS)
-    y, keep, seen = got.column("lang").to_pylist(), [], {}
-    for i, lang in enumerate(y):
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= each:
-            keep.append(i)
-    return Model.fit(x[keep].astype(np.float32), [y[i] for i in keep])
+    return Model.fit(x.astype(np.float32), got.column("lang").to_pylist())
 
 
 def _predicted(model: Model, chunk: Chunk) -> tuple[list[str], np.ndarray, np.ndarray]:

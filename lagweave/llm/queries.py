@@ -34,7 +34,7 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest_start", "longest_item")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,21 +122,23 @@ CONTAMINATION_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
 ), b AS (
-  SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+  SELECT row_number() OVER () AS k, coalesce(CAST(item_id AS VARCHAR), 'null') AS item, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
 ), test AS (
-  SELECT DISTINCT item, m, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)
+  SELECT k, item, m, s AS ts, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT k, item, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)
 ), size AS (SELECT DISTINCT m FROM test
 ), win AS (
   SELECT r, m, s, array_to_string(w[s:s + m - 1], ' ') AS g FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, size WHERE len(w) >= m)
 ), hit AS (
-  SELECT r, s, win.m, item FROM win JOIN test ON win.m = test.m AND win.g = test.g
+  SELECT r, s, win.m, item, k, ts FROM win JOIN test ON win.m = test.m AND win.g = test.g
 ), place AS (
   SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + m)) AS p FROM hit) GROUP BY r
 ), named AS (
   SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r
-)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN place ON d.r = place.r LEFT JOIN named ON d.r = named.r
+), run AS (
+  SELECT r, count(*) + max(m) - 1 AS n FROM (SELECT r, k, m, s - ts AS diagonal, s - row_number() OVER (PARTITION BY r, k, s - ts ORDER BY s) AS island FROM hit) GROUP BY r, k, diagonal, island
+), most AS (SELECT r, max(n) AS longest FROM run GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN place ON d.r = place.r LEFT JOIN named ON d.r = named.r LEFT JOIN most ON d.r = most.r
 """
 
 SUBSTRING_SQL = r"""
@@ -158,6 +160,25 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS
 """
 
 
+SUFFIX_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), win AS (
+  SELECT r, s, md5(substr(x, 2 * s - 1, 800)) AS h FROM (SELECT r, x, unnest(range(1, n - 398)) AS s FROM d WHERE n >= 400)
+), hit AS (
+  SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS c FROM win) WHERE c > 1
+), span AS (
+  SELECT r, min(s) AS a, max(s) + 400 AS b FROM (SELECT r, s, sum(opens) OVER (PARTITION BY r ORDER BY s) AS island FROM (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + 400 THEN 0 ELSE 1 END AS opens FROM hit)) GROUP BY r, island
+), kept AS (
+  SELECT d.r, string_agg(substr(x, 2 * coalesce(lag_b, 1) - 1, 2 * (a - coalesce(lag_b, 1))), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS n_removed, count(*) AS n_spans
+  FROM d JOIN (SELECT r, a, b, lag(b) OVER (PARTITION BY r ORDER BY a) AS lag_b FROM span) q ON d.r = q.r GROUP BY d.r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN last IS NULL THEN x ELSE head || substr(x, 2 * last - 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept ON d.r = kept.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for DuckDB over whole tables, where SQL can express the query."""
-    return {"op1_topk_search": TOPK_SQL, "op2_jaccard_join": JACCARD_SQL, "op4_decontamination": CONTAMINATION_SQL, "op7_substring_dedup": SUBSTRING_SQL}
+    return {"op1_topk_search": TOPK_SQL, "op2_jaccard_join": JACCARD_SQL, "op4_decontamination": CONTAMINATION_SQL, "op7_substring_dedup": SUBSTRING_SQL, "op9_suffix_dedup": SUFFIX_SQL}

@@ -5,8 +5,9 @@ those of its pre-tokens, end to end, and no pre-token crosses ASCII white space.
 space, a piece of ASCII letters, letters of Latin-1, digits and ASCII marks other than the
 apostrophe falls into runs of letters, single digits and runs of marks; any other piece is
 taken whole. Runs and pieces are found and hashed (64 bits) as arrays; each worker keeps the
-ids of those it has met in flat arrays of bounded size, and only new ones reach the library,
-many in one call, told apart by the suffix. Any other tokenizer file encodes texts one by one.
+bytes and ids of those it has met in flat arrays of bounded size, and only new ones reach the library,
+many in one call, told apart by the suffix. A run takes kept ids only if its bytes are those kept; within a chunk of half a megabyte
+runs of one hash count as equal (some 10^5 hashes of 64 bits: a chance of 3 in 10^10). Any other tokenizer file encodes texts one by one.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.hashes, self.place, self.length, self.store = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+        self.raw, self.raw_at, self.raw_size = np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @classmethod
     def at(cls, path: str) -> Encoder:
@@ -75,7 +77,8 @@ class Encoder:
         each = self._each(texts)
         return np.concatenate(each), np.array([len(x) for x in each])
 
-    def _keep(self, hashes: np.ndarray, texts: list[str], whole: np.ndarray) -> None:
+    def _keep(self, hashes: np.ndarray, raw: list[bytes], whole: np.ndarray) -> None:
+        texts = [x.decode("utf-8", "replace") for x in raw]
         ids, counts = [self.store], []
         order = np.argsort(whole, kind="stable")
         single = int((~whole).sum())
@@ -92,6 +95,20 @@ class Encoder:
         both = np.concatenate([self.hashes, hashes[order]])
         sort = np.argsort(both, kind="stable")
         self.hashes, self.place, self.length = both[sort], np.concatenate([self.place, place])[sort], np.concatenate([self.length, counts])[sort]
+        size = np.array([len(raw[k]) for k in order], np.int64)
+        self.raw_at = np.concatenate([self.raw_at, len(self.raw) + np.cumsum(size) - size])[sort]
+        self.raw_size = np.concatenate([self.raw_size, size])[sort]
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw[k] for k in order), np.uint8)])
+
+    def _unlike(self, w: Words, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the runs `first` differ from the kept ones `at` that share their hashes."""
+        size = w.end[first] - w.start[first]
+        bad = size != self.raw_size[at]
+        same = np.flatnonzero(~bad)
+        here, there = ranges(w.start[first[same]], size[same]), ranges(self.raw_at[at[same]], size[same])
+        differ = np.flatnonzero(w.data[here] != self.raw[there])
+        bad[same[np.repeat(np.arange(len(same)), size[same])[differ]]] = True
+        return np.flatnonzero(bad)
 
     def ids(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
         if not self.by_run:
@@ -105,13 +122,14 @@ class Encoder:
             if len(self.hashes) + len(new) > KEPT:
                 self._forget()
                 new = np.arange(len(code))
-            raw = w.data
-            texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())]
-            self._keep(code[new], texts, whole[first[new]])
+            self._keep(code[new], [w.data[a:b].tobytes() for a, b in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())], whole[first[new]])
             at = np.searchsorted(self.hashes, code)
-        at = at[which]
-        counts = self.length[at]
-        return self.store[ranges(self.place[at], counts)], np.concatenate([[0], np.cumsum(counts)])[w.offsets]
+        place, counts, store = self.place[at], self.length[at], self.store
+        for k in self._unlike(w, first, at).tolist():  # another run has this hash
+            ids = self._each([w.data[w.start[first[k]] : w.end[first[k]]].tobytes().decode("utf-8", "replace")])[0]
+            place[k], counts[k], store = len(store), len(ids), np.concatenate([store, ids])
+        place, counts = place[which], counts[which]
+        return store[ranges(place, counts)], np.concatenate([[0], np.cumsum(counts)])[w.offsets]
 
 
 def runs(chunk: Chunk) -> tuple[Words, np.ndarray]:

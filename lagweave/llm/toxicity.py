@@ -14,8 +14,8 @@ labels only toxic, for mining lexicon groups and the class balance.
 
 Defined results: a null or empty text has the score of a text without any feature; labels that are null
 or appear for no document teach nothing, of several labels of a document the largest counts; without any labelled row only the seed
-lexicon votes; a null doc_id is not held out and teaches nothing; repeated rows get a row each;
-other columns are ignored.
+lexicon votes; a null doc_id is not held out and teaches nothing; repeated rows get a row each, and a doc_id teaches once, by the text that sorts first;
+a text of any length is scored as a whole; equal scores need no order; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -268,7 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, unlabell
                     ["doc_id", "toxic", "words"],
                 )
 
-    got = documents(docs).join(F.broadcast(small), "doc_id").mapInArrow(profiled, "doc_id long, toxic int, words binary").toArrow()
+    # one row for each doc_id, the text that sorts first
+    rows = documents(docs).join(F.broadcast(small), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    got = rows.mapInArrow(profiled, "doc_id long, toxic int, words binary").toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     data, offsets = buffers(got.column("words"))
     return train(data.view(np.uint32).reshape(-1, WIDTH), offsets // (4 * WIDTH), got.column("toxic").to_numpy().astype(np.int64))
