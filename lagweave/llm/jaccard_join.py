@@ -48,7 +48,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .components import components
 from .exchange import pack, range_of, unpack
-from .runtime import arrow_rows, documents, scratch, slots, written
+from .runtime import documents, few_rows, scratch, slots, written
 from .text import SPACED, U64, buffers, chunks, gram_hashes, mix64, ranges, word_hashes, words
 
 SHINGLE, PERCENT = 4, 85
@@ -514,7 +514,7 @@ class Result:
 
 
 def joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, complete: bool = False) -> Result:
-    with arrow_rows(docs.sparkSession, 1000), scratch(docs.sparkSession):
+    with few_rows(docs.sparkSession, 500), scratch(docs.sparkSession):
         return _joined(docs, shingle, percent, complete)
 
 

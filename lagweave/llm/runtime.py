@@ -34,7 +34,7 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/lagweave-{what}-{uuid.uuid4().hex}"
     if _SCRATCH and not what.startswith("kept-"):
         _SCRATCH[-1].append(path)
-    df.write.option("compression", compression).option("parquet.block.size", 32 << 20).parquet(path)
+    df.write.option("compression", compression).option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,15 +56,17 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Within, jobs hand that many rows at a time to Python workers, or fewer if the session says so: rows that hold whole sets or texts are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(old)) if int(old) > 0 else rows))
+def few_rows(spark: SparkSession, rows: int):
+    """Within, jobs read Parquet and hand rows to Python workers that many at a time, or fewer if the session says so: rows that hold whole sets are large."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    old = {k: spark.conf.get(k) for k in keys}
     try:
+        for k, v in old.items():
+            spark.conf.set(k, str(min(rows, int(v)) if int(v) > 0 else rows))
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def volume(df: DataFrame, column: str) -> tuple[int, int]:

@@ -71,6 +71,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, size: int = CHUNK_BYTES) -> Itera
         j = min(j, n)
         yield Chunk(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
+    trimmed()
 
 
 def byte_class(inside) -> np.ndarray:
@@ -211,6 +212,12 @@ def covered(starts: np.ndarray, length: int | np.ndarray, size: int) -> np.ndarr
     return np.cumsum(edge[:-1]) > 0
 
 
+def trimmed() -> None:
+    """Gives freed memory of numpy and Arrow back: workers live on for the next stage."""
+    libc_trim()(0)
+    pa.default_memory_pool().release_unused()
+
+
 @lru_cache(maxsize=1)
 def libc_trim():
     """glibc's malloc_trim, where there is one: gives freed pages back between groups."""
