@@ -287,8 +287,9 @@ def normal_scores(x: np.ndarray, edge: float = 1e-5) -> np.ndarray:
 def residuals(target: np.ndarray, z: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
     if not z.shape[1]:
         return target
-    w = np.ones(len(target)) if weight is None else weight
-    return target - z @ np.linalg.lstsq(z * w[:, None], target * w, rcond=None)[0]
+    if weight is None:
+        return target - z @ np.linalg.lstsq(z, target, rcond=None)[0]
+    return target - z @ np.linalg.lstsq(z * weight[:, None], target * weight, rcond=None)[0]
 
 
 def arrays(x, y, z=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

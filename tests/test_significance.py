@@ -111,7 +111,7 @@ def test_regression_test_of_all_kinds(pair):
     assert RegressionCI().raw(flag, rng.normal(size=300), kinds=(~number, number, none)).p > 0.01
     three = rng.integers(0, 3, 300).astype(float)
     assert RegressionCI().raw(flag, three, kinds=(~number, ~number, none)).p > 0.01
-    assert RegressionCI().raw(flag, (three + 2 * flag) % 3, z, kinds=(~number, ~number, number)).p < 0.01
+    assert RegressionCI().raw(flag, np.where(flag > 0, three, 0.0), z, kinds=(~number, ~number, number)).p < 0.01
     with pytest.raises(ValueError):
         RegressionCI().raw(np.stack([flag, x], axis=1), y, kinds=(np.array([True, False]), number, none))
 
