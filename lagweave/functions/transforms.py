@@ -1,12 +1,14 @@
 """Preprocessing of series: smoothing, binning, ranks, symbols, autocorrelation, filters.
 
 Functions take a DataFrame (dataset, t, value columns) or a Panel's df and stay in DataFrame operations; recursive
-filters, which have no relational form, run by dataset in an Arrow function.
+filters, which have no relational form, run in an Arrow function. No window spans a whole series: it is cut into blocks of times
+that overlap, or into parts of the range of values.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +20,6 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def series():
-    """Rows of a dataset in time."""
-    return Window.partitionBy("dataset").orderBy("t")
-
-
 def overlapping(df: DataFrame, before: int, after: int = 0, block: int = BLOCK) -> DataFrame:
     """df's rows by `block` of times, each block with the last `before` rows of the one before it and the first `after` of the next: one long series is work for many tasks."""
     block = max(block, before + 1, after + 1)
@@ -135,9 +132,26 @@ def time_bins(df: DataFrame, values: list[str], length: int, mask: str | None =
     return binned.join(F.broadcast(whole), "dataset").where("bin < bins").select("dataset", F.col("bin").alias("t"), *values)
 
 
-def uniform(value: str, by: list[str] | None = None) -> Column:
-    """Rank of a value over the number of values (ties: the largest)."""
-    return F.cume_dist().over(Window.partitionBy(*(by or ["dataset"])).orderBy(value))
+def placed(df: DataFrame, value: str, parts: int = 64) -> DataFrame:
+    """df with `rank` (values below, or equal and earlier), `upto` (values not above) and `many` (values) within the dataset; all NULL where the value is.
+
+    Approximate quantiles cut a dataset's values into parts; counts of the parts give each its offset, and rows are sorted within a part only: one long series is work for many tasks."""
+    x = F.col(value)
+    cuts = df.where(x.isNotNull()).groupBy("dataset").agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 100 * parts).alias("cuts"))
+    rows = df.join(cuts, "dataset", "left").withColumn("part", F.when(x.isNotNull(), F.size(F.filter("cuts", lambda c: c < x)))).drop("cuts")
+    sizes = rows.where(x.isNotNull()).groupBy(F.col("dataset").alias("of"), F.col("part").alias("part_")).agg(F.count(F.lit(1)).alias("size"))
+    upto = Window.partitionBy("of").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    offsets = sizes.select("of", "part_", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy("of")).alias("many"))
+    rows = rows.join(offsets, (F.col("dataset") == F.col("of")) & (F.col("part") == F.col("part_")), "left").drop("of", "part_")
+    own = Window.partitionBy("dataset", "part")
+    rank = F.row_number().over(own.orderBy(value, "t")) - 1 + F.col("before")
+    level = F.count(F.lit(1)).over(own.orderBy(value).rangeBetween(Window.unboundedPreceding, 0)) + F.col("before")
+    return rows.withColumns({"rank": F.when(x.isNotNull(), rank), "upto": F.when(x.isNotNull(), level)}).drop("part", "before")
+
+
+def uniform(df: DataFrame, value: str, out: str = "uniform") -> DataFrame:
+    """df with the rank of a value over the number of values (ties: the largest)."""
+    return placed(df, value).withColumn(out, F.col("upto") / F.col("many")).select(*df.columns, out)
 
 
 def normal_quantile(u: Column) -> Column:
@@ -160,48 +174,65 @@ def normal_quantile(u: Column) -> Column:
     return F.when(F.least(u, 1 - u) >= 0.02425, centre).otherwise(F.when(u < 0.5, edge).otherwise(-edge))
 
 
-def normal_scores(value: str, edge: float = 0.001, by: list[str] | None = None) -> Column:
-    """Normal quantile of the uniform rank; the largest value takes 1 - edge."""
-    u = uniform(value, by)
-    return normal_quantile(F.when(u >= 1, 1 - edge).otherwise(u))
+def normal_scores(df: DataFrame, value: str, edge: float = 0.001, out: str = "score") -> DataFrame:
+    """df with the normal quantile of the uniform rank; the largest value takes 1 - edge."""
+    u = F.col("upto") / F.col("many")
+    return placed(df, value).withColumn(out, normal_quantile(F.when(u >= 1, 1 - edge).otherwise(u))).select(*df.columns, out)
+
 
+def ranks(df: DataFrame, value: str, out: str = "ranked") -> DataFrame:
+    """df with the position in sorted order, from 0; ties in order of time."""
+    return placed(df, value).withColumn(out, F.col("rank")).select(*df.columns, out)
 
-def ranks(value: str) -> Column:
-    """Position in sorted order, from 0; ties in order of time."""
-    return F.row_number().over(Window.partitionBy("dataset").orderBy(value, "t")) - 1
 
+def standardised(df: DataFrame, value: str, out: str = "standardised") -> DataFrame:
+    """df with the value centred, over the population deviation of its dataset."""
+    sums = df.groupBy(F.col("dataset").alias("of")).agg(F.avg(value).alias("mean_"), F.stddev_pop(value).alias("std_"))
+    return df.join(sums, F.col("dataset") == F.col("of")).withColumn(out, (F.col(value) - F.col("mean_")) / F.col("std_")).select(*df.columns, out)
 
-def standardised(value: str) -> Column:
-    """Centred, over the population deviation."""
-    w = Window.partitionBy("dataset")
-    return (F.col(value) - F.avg(value).over(w)) / F.stddev_pop(value).over(w)
 
+def scaled(df: DataFrame, value: str, out: str = "scaled") -> DataFrame:
+    """df with the value between 0 and 1, within its dataset."""
+    ends = df.groupBy(F.col("dataset").alias("of")).agg(F.min(value).alias("low_"), F.max(value).alias("high_"))
+    return df.join(ends, F.col("dataset") == F.col("of")).withColumn(out, (F.col(value) - F.col("low_")) / (F.col("high_") - F.col("low_"))).select(*df.columns, out)
 
-def scaled(value: str) -> Column:
-    """Between 0 and 1."""
-    w = Window.partitionBy("dataset")
-    low = F.min(value).over(w)
-    return (F.col(value) - low) / (F.max(value).over(w) - low)
 
+def ordinal_patterns(df: DataFrame, value: str, dim: int = 2, step: int = 1, noise_seed: int | None = None, mask: str | None = None, weights: bool = False) -> DataFrame:
+    """df with `pattern`, the code of the order of `dim` values `step` apart that begin at t; rows without all of them are left out.
 
-def ordinal_patterns(df: DataFrame, value: str, dim: int = 2, step: int = 1) -> DataFrame:
-    """df with `pattern`, the code of the order of `dim` values `step` apart that begin at t; rows without all of them are left out."""
+    Ties count as falling; with noise_seed values first get uniform noise of a millionth of their deviation. With mask, patterns that hold a masked value are left out;
+    with weights, `weight` is the variance of the pattern's values."""
     if not 2 <= dim <= 10:
         raise ValueError("dim is 2 to 10")
-    ahead = [F.lead(value, k * step).over(series()) for k in range(dim)]
-    code = F.when(ahead[0] < ahead[1], 1).otherwise(0) if dim >= 2 else F.lit(0)
+    names = df.columns
+    if noise_seed is not None:
+        std = df.groupBy(F.col("dataset").alias("of")).agg(F.stddev_pop(value).alias("std_"))
+        noise = F.pmod(F.xxhash64(F.lit(noise_seed), "dataset", "t"), F.lit(1 << 30)) / (1 << 30)
+        df = df.join(std, F.col("dataset") == F.col("of")).withColumn("raised", F.col(value) + 1e-6 * F.col("std_") * noise)
+    else:
+        df = df.withColumn("raised", F.col(value))
+    reach = (dim - 1) * step
+    rows = overlapping(df, 0, reach)
+    own = Window.partitionBy("dataset", "block").orderBy("t")
+    ahead = [F.lead("raised", k * step).over(own) for k in range(dim)]
+    code = F.when(ahead[0] < ahead[1], 1).otherwise(0)
     for i in range(2, dim):
         for j in range(i):
             code = code + F.when(ahead[j] < ahead[i], math.factorial(i)).otherwise(0)
-    return df.withColumn("pattern", code.cast("int")).withColumn("whole", ahead[-1].isNotNull()).where("whole").drop("whole")
+    whole = reduce(lambda a, b: a & b, [x.isNotNull() for x in ahead])
+    if mask:
+        whole = whole & reduce(lambda a, b: a & b, [~F.coalesce(F.lead(mask, k * step).over(own), F.lit(True)) for k in range(dim)])
+    rows = rows.withColumn("pattern", code.cast("int")).withColumn("whole", whole)
+    if weights:
+        mean = reduce(lambda a, b: a + b, ahead) / dim
+        rows = rows.withColumn("weight", reduce(lambda a, b: a + b, [(x - mean) * (x - mean) for x in ahead]) / dim)
+    return rows.where(F.col("own") & F.col("whole")).select(*names, "pattern", *(["weight"] if weights else []))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """df with `symbol`: how many lower edges are not above the value, less one; edges are every ceil(n / bins)-th sorted value."""
-    order = Window.partitionBy("dataset").orderBy(value)
-    step = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("dataset")) / bins)
-    placed = df.withColumn("edge", (F.row_number().over(order) - 1) % step == 0)
-    return placed.withColumn("symbol", (F.sum(F.col("edge").cast("int")).over(order.rangeBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("edge")
+    symbol = F.floor((F.col("upto") - 1) / F.ceil(F.col("many") / bins))
+    return placed(df, value).withColumn("symbol", symbol.cast("int")).select(*df.columns, "symbol")
 
 
 def one_hot(df: DataFrame, value: str, categories: list) -> DataFrame:
@@ -209,9 +240,11 @@ def one_hot(df: DataFrame, value: str, categories: list) -> DataFrame:
     return df.withColumns({f"{value}_{k}": F.when(F.col(value) == c, 1.0).otherwise(0.0) for k, c in enumerate(categories)})
 
 
-def demeaned(value: str, by: list[str]) -> Column:
-    """Less the mean of its group: what dummies of the group would take up in a regression."""
-    return F.col(value) - F.avg(value).over(Window.partitionBy(*by))
+def demeaned(df: DataFrame, value: str, by: list[str], out: str = "demeaned") -> DataFrame:
+    """df with the value less the mean of its group: what dummies of the group would take up in a regression."""
+    means = df.groupBy(*[F.col(c).alias(f"{c}_") for c in by]).agg(F.avg(value).alias("mean_"))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{c}_") for c in by])
+    return df.join(means, same).withColumn(out, F.col(value) - F.col("mean_")).select(*df.columns, out)
 
 
 def butterworth(cut: float, high: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -226,32 +259,71 @@ def butterworth(cut: float, high: bool) -> tuple[np.ndarray, np.ndarray]:
     return b * np.polyval(a, at) / np.polyval(b, at), a
 
 
-def filtered_both_ways(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Zero-phase filtering with odd extension at the ends and steady initial states."""
-    order = len(a)
-    pad = min(3 * order, len(x) - 1)
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    companion = np.eye(order - 1) - np.column_stack([-a[1:], np.eye(order - 1, order - 2)])
-    rest = np.linalg.solve(companion, b[1:] - a[1:] * b[0])
-
-    def once(v):
-        state, out = rest * v[0], np.empty(len(v))
-        for k, s in enumerate(v):
-            out[k] = b[0] * s + state[0]
-            state = np.append(state[1:], 0) + b[1:] * s - a[1:] * out[k]
+class Recursion:
+    """A recursive filter, a chunk of values at a time: within a chunk it is a matrix, between chunks a state is handed on."""
+
+    CHUNK = 64
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        self.b, self.a, n = b, a, len(a) - 1
+        companion = np.eye(n) - np.column_stack([-a[1:], np.eye(n, n - 1)])
+        self.steady = np.linalg.solve(companion, b[1:] - a[1:] * b[0])  # the state that a constant of 1 leaves as it is
+        size = self.CHUNK
+        self.of_values, self.to_state = np.zeros((size, size)), np.zeros((n, size))
+        self.of_state, self.state_on = np.zeros((size, n)), np.zeros((n, n))
+        for k in range(size):
+            v = np.zeros(size)
+            v[k] = 1
+            self.of_values[:, k], self.to_state[:, k] = self.slow(v, np.zeros(n))
+        for k in range(n):
+            self.of_state[:, k], self.state_on[:, k] = self.slow(np.zeros(size), np.eye(n)[k])
+
+    def slow(self, v: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty(len(v))
+        for k, x in enumerate(v):
+            out[k] = self.b[0] * x + state[0]
+            state = np.append(state[1:], 0) + self.b[1:] * x - self.a[1:] * out[k]
+        return out, state
+
+    def run(self, v: np.ndarray) -> np.ndarray:
+        """From the steady state of the first value."""
+        state, out, whole = self.steady * v[0], np.empty(len(v)), len(v) // self.CHUNK * self.CHUNK
+        inner = v[:whole].reshape(-1, self.CHUNK)
+        direct, pushed = inner @ self.of_values.T, inner @ self.to_state.T
+        for k in range(len(inner)):
+            out[k * self.CHUNK : (k + 1) * self.CHUNK] = direct[k] + self.of_state @ state
+            state = self.state_on @ state + pushed[k]
+        out[whole:] = self.slow(v[whole:], state)[0]
         return out
 
-    return once(once(ext)[::-1])[::-1][pad : pad + len(x)]
+    def memory(self) -> int:
+        """After so many values nothing is left of a state, to the last digit."""
+        return int(np.ceil(40 / -np.log(np.abs(np.roots(self.a)).max())))
+
+
+def filtered_both_ways(x: np.ndarray, b: np.ndarray, a: np.ndarray, at_start: bool = True, at_end: bool = True) -> np.ndarray:
+    """Zero-phase filtering with odd extension at the ends (where they are the series') and steady initial states."""
+    once = Recursion(b, a).run
+    pad = min(3 * len(a), len(x) - 1)
+    ext = np.concatenate([2 * x[0] - x[pad:0:-1] if at_start else x[:0], x, 2 * x[-1] - x[-2 : -pad - 2 : -1] if at_end else x[:0]])
+    first = pad if at_start else 0
+    return once(once(ext)[::-1])[::-1][first : first + len(x)]
 
 
 def pass_filter(df: DataFrame, value: str, period: float, kind: str = "low") -> DataFrame:
-    """(dataset, t, filtered): slow ("low") or fast ("high") variation relative to a period, by dataset."""
+    """(dataset, t, filtered): slow ("low") or fast ("high") variation relative to a period. Blocks of times are filtered with so much of their neighbours that no trace of where they begin is left."""
     if kind not in ("low", "high"):
         raise ValueError("kind is low or high")
+    b, a = butterworth(2 / period, kind == "high")
+    reach = Recursion(b, a).memory()
+    ends = df.groupBy(F.col("dataset").alias("of")).agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    rows = overlapping(df.select("dataset", "t", F.col(value).cast("double").alias("x")), reach, reach)
+    rows = rows.join(ends, F.col("dataset") == F.col("of")).select("dataset", "block", "t", "own", "x", "first", "last")
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by("t")
-        b, a = butterworth(2 / period, kind == "high")
-        return t.select(["dataset", "t"]).append_column("filtered", pa.array(filtered_both_ways(t.column(value).to_numpy(), b, a)))
+        at = t.column("t").to_numpy()
+        y = filtered_both_ways(t.column("x").to_numpy(), b, a, at[0] == t.column("first")[0].as_py(), at[-1] == t.column("last")[0].as_py())
+        return t.select(["dataset", "t"]).append_column("filtered", pa.array(y)).filter(t.column("own"))
 
-    return df.select("dataset", "t", F.col(value).cast("double").alias(value)).groupBy("dataset").applyInArrow(run, "dataset string, t long, filtered double")
+    return rows.groupBy("dataset", "block").applyInArrow(run, "dataset string, t long, filtered double")

@@ -240,22 +240,22 @@ def time_bins(spark, d):
 
 @query(f"WITH {LI_DAY} SELECT t, round(cume_dist() OVER (ORDER BY v0), 9) AS u FROM li_day")
 def uniform_transform(spark, d):
-    return lineitem_days(spark, d).df.select("t", F.round(T.uniform("v0"), 9).alias("u"))
+    return T.uniform(lineitem_days(spark, d).df, "v0").select("t", F.round("uniform", 9).alias("u"))
 
 
 @query(f"WITH {LI_DAY}, u AS (SELECT t, CASE WHEN cume_dist() OVER (ORDER BY v0) >= 1 THEN 0.999 ELSE cume_dist() OVER (ORDER BY v0) END AS q FROM li_day) SELECT t, round({sql_normal('q')}, 6) AS z FROM u")
 def normal_transform(spark, d):
-    return lineitem_days(spark, d).df.select("t", F.round(T.normal_scores("v0"), 6).alias("z"))
+    return T.normal_scores(lineitem_days(spark, d).df, "v0").select("t", r6("score").alias("z"))
 
 
 @query(f"WITH {LI_DAY} SELECT t, CAST(row_number() OVER (ORDER BY v0, t) - 1 AS INTEGER) AS r FROM li_day")
 def rank_transform(spark, d):
-    return lineitem_days(spark, d).df.select("t", T.ranks("v0").cast("int").alias("r"))
+    return T.ranks(lineitem_days(spark, d).df, "v0").select("t", F.col("ranked").cast("int").alias("r"))
 
 
 @query(f"WITH {LI_DAY} SELECT t, round((v0 - avg(v0) OVER ()) / stddev_pop(v0) OVER (), 6) AS z, round((v0 - min(v0) OVER ()) / (max(v0) OVER () - min(v0) OVER ()), 6) AS s FROM li_day")
 def standardised(spark, d):
-    return lineitem_days(spark, d).df.select("t", r6(T.standardised("v0")).alias("z"), r6(T.scaled("v0")).alias("s"))
+    return T.scaled(T.standardised(lineitem_days(spark, d).df, "v0"), "v0").select("t", r6("standardised").alias("z"), r6("scaled").alias("s"))
 
 
 @query(
@@ -283,7 +283,8 @@ def one_hot(spark, d):
 @query(f"WITH {ORD_SEG} SELECT dataset, t, round(v0 - avg(v0) OVER (PARTITION BY dataset), 6) AS by_set, round(v0 - avg(v0) OVER (PARTITION BY t), 6) AS by_time FROM ord_seg")
 def dummy_demeaning(spark, d):
     """What regressing on dataset (or time) dummies leaves."""
-    return order_weeks(spark, d).df.select("dataset", "t", r6(T.demeaned("v0", ["dataset"])).alias("by_set"), r6(T.demeaned("v0", ["t"])).alias("by_time"))
+    df = T.demeaned(T.demeaned(order_weeks(spark, d).df, "v0", ["dataset"], "by_set"), "v0", ["t"], "by_time")
+    return df.select("dataset", "t", r6("by_set").alias("by_set"), r6("by_time").alias("by_time"))
 
 
 @query()

@@ -39,10 +39,10 @@ def test_smoothing(df, x):
 
 def test_ranks(df, x):
     u = np.searchsorted(np.sort(x), x, "right") / len(x)
-    assert np.allclose(column(df.withColumn("u", T.uniform("v0")), "u"), u)
-    z = column(df.withColumn("z", T.normal_scores("v0")), "z")
+    assert np.allclose(column(T.uniform(df, "v0", "u"), "u"), u)
+    z = column(T.normal_scores(df, "v0", out="z"), "z")
     assert np.allclose(z, [NormalDist().inv_cdf(0.999 if v >= 1 else v) for v in u], atol=1e-7)
-    assert np.array_equal(column(df.withColumn("r", T.ranks("v0")), "r"), np.argsort(np.argsort(x, kind="stable"), kind="stable"))
+    assert np.array_equal(column(T.ranks(df, "v0", "r"), "r"), np.argsort(np.argsort(x, kind="stable"), kind="stable"))
 
 
 def test_bins_and_patterns(df, x):
@@ -70,6 +70,40 @@ def test_pass_filters(spark):
     assert np.abs(low - slow)[50:350].max() < 0.02 and np.abs(high - fast)[50:350].max() < 0.02
 
 
+def test_values_that_miss_or_repeat(spark):
+    df = spark.createDataFrame([("0", t, x) for t, x in enumerate([3.0, None, 1.0, 3.0, 3.0, 2.0])], "dataset string, t long, v0 double")
+    assert [r["u"] for r in T.uniform(df, "v0", "u").orderBy("t").collect()] == [1.0, None, 0.2, 1.0, 1.0, 0.4]
+    assert [r["r"] for r in T.ranks(df, "v0", "r").orderBy("t").collect()] == [2, None, 0, 3, 4, 1]
+    assert [r["symbol"] for r in T.quantile_bins(df, "v0", 2).orderBy("t").collect()] == [1, None, 0, 1, 1, 0]
+
+
+def test_patterns_with_masks_noise_and_weights(df, x):
+    masked = df.withColumn("m", F.col("t") == 10)
+    got = T.ordinal_patterns(masked, "v0", 3, 2, mask="m", weights=True)
+    assert sorted(set(range(116)) - {r["t"] for r in got.collect()}) == [6, 8, 10]
+    w = {r["t"]: r["weight"] for r in got.collect()}
+    assert np.isclose(w[0], np.var(x[[0, 2, 4]]))
+    flat = df.withColumn("v0", F.lit(1.0) + (F.col("t") > 200).cast("double"))
+    assert T.ordinal_patterns(flat, "v0", 2).where("pattern <> 0").count() == 0
+    noisy = [r["pattern"] for r in T.ordinal_patterns(df.withColumn("v0", F.round("v0")), "v0", 2, noise_seed=1).collect()]
+    assert 0 < np.mean(noisy) < 1
+
+
+def test_filters_do_not_see_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    df = Panel.from_arrays(spark, rng.standard_normal((900, 1)).cumsum(0)).df
+    original = T.overlapping
+    for kind in ("low", "high"):
+        whole = column(T.pass_filter(df, "v0", 12, kind), "filtered")
+        monkeypatch.setattr(T, "overlapping", lambda df, before, after=0, block=0: original(df, before, after, 64))
+        assert np.allclose(column(T.pass_filter(df, "v0", 12, kind), "filtered"), whole, atol=1e-9)
+        monkeypatch.setattr(T, "overlapping", original)
+    b, a = T.butterworth(0.2, False)
+    r = T.Recursion(b, a)
+    v = rng.standard_normal(300)
+    assert np.allclose(r.run(v), r.slow(v, r.steady * v[0])[0])
+
+
 def test_special_functions():
     # Values from tables of the distributions.
     assert np.isclose(2 * special.t_sf(2.228139, 10), 0.05, atol=1e-6)
