@@ -11,7 +11,8 @@ their own with blank lines where margins are, lists are indented with bullets or
 All visible text is kept, navigation included. Defined results: null html gives null text; an empty page
 gives ""; broken markup never fails (unclosed tags end with the page, stray end tags and a
 lone `<` are text or nothing, as a browser would do); rows repeated whole get a row each; null url stays null; other columns are
-ignored. Trees are walked without recursion; a table inside more than 40 others is laid out as blocks.
+ignored. Equal cells and rows need no order. Trees are walked without recursion, and tables laid out from the innermost outwards, however deep they stand;
+a page of any length is one task's work, a few pages at a time.
 """
 
 from __future__ import annotations
@@ -59,8 +60,8 @@ IMPLIED = {
 }
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 
-#: Tables in tables that are aligned; deeper ones are rendered as plain blocks.
-NESTED = 40
+#: Fixed values of the HTML standard: the most that colspan and rowspan count.
+SPANS = {"colspan": 1000, "rowspan": 65534}
 #: A name, and after = a value: a quote counts only at its begin; an open one runs to the end of the page.
 _PAIR = r"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*=[ \t\n\r\f]*(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\r\f\"'>][^ \t\n\r\f>]*+)|(?=>)))?+"
 _ATTR = re.compile(_PAIR)
@@ -313,8 +314,8 @@ class Layout:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(root: Node, depth: int = 0) -> tuple[str, int, int]:
-    """Text, blocks of text and tables of a tree that stands in `depth` tables."""
+def render(root: Node, done: dict[int, tuple[list[str], int]]) -> tuple[str, int, int]:
+    """Text, blocks of text and tables of a tree whose own tables are done."""
     out, tables = Layout(), 0
     jobs: list = [("in", root, False)]
     lists: list = []
@@ -342,9 +343,9 @@ def render(root: Node, depth: int = 0) -> tuple[str, int, int]:
             continue
         if name == "wbr":
             continue
-        if name == "table" and depth < NESTED:
+        if name == "table":
             tables += 1
-            lines, inner = table(node, depth + 1)
+            lines, inner = done[id(node)]
             tables += inner
             out.block(lines)
             continue
@@ -386,7 +387,7 @@ def _indent(out: Layout, indent: str, mark: str):
     return back
 
 
-def table(node: Node, depth: int) -> tuple[list[str], int]:
+def table(node: Node, done: dict[int, tuple[list[str], int]]) -> tuple[list[str], int]:
     """Lines of a table, its columns aligned: a cell's lines below each other, two blanks between columns; colspan and rowspan take their places. Captions come first."""
     head, rows, foot, captions, loose = [], [], [], [], []
     for child in node.children:
@@ -416,7 +417,7 @@ def table(node: Node, depth: int) -> tuple[list[str], int]:
                 c += 1
             part = Node("div", {})
             part.children = cell.children
-            text, _, inner = render(part, depth)
+            text, _, inner = render(part, done)
             tables += inner
             wide, deep = _span(cell, "colspan"), _span(cell, "rowspan")
             cells[c] = (text.split("\n") if text else [""], wide)
@@ -440,7 +441,7 @@ def table(node: Node, depth: int) -> tuple[list[str], int]:
         total += widths.get(c, 0) + 2
     out: list[str] = []
     for part in [*captions, _holder(loose)]:
-        text, _, inner = render(_holder(part.children), depth)
+        text, _, inner = render(_holder(part.children), done)
         tables += inner
         out += text.split("\n") if text else []
     for cells in grid:
@@ -462,12 +463,29 @@ def _holder(children: list) -> Node:
 
 
 def _span(cell: Node, name: str) -> int:
-    raw = cell.attrs.get(name, "1").strip()
-    return min(1000, max(1, int(raw))) if raw.isdigit() and len(raw) < 6 else 1
+    """As the standard reads them: leading digits, up to a most; a rowspan of 0 goes to the end."""
+    digits = re.match(r"[ \t\n\f\r]*\+?(\d+)", cell.attrs.get(name, ""))
+    if not digits:
+        return 1
+    value = int(digits[1][:9]) if len(digits[1].lstrip("0")) < 9 else SPANS[name]
+    if not value:
+        return SPANS[name] if name == "rowspan" else 1
+    return min(value, SPANS[name])
 
 
 def text_of(html: str) -> tuple[str, int, int]:
-    return render(parse(html))
+    """Text, blocks of text and tables of a page."""
+    root = parse(html)
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "table":
+            tables.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    done: dict[int, tuple[list[str], int]] = {}
+    for node in reversed(tables):  # a table comes before those within it
+        done[id(node)] = table(node, done)
+    return render(root, done)
 
 
 def rendered(pages: DataFrame) -> DataFrame:

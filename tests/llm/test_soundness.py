@@ -279,6 +279,25 @@ def test_html_words_against_a_plain_parser():
         assert Counter(shown) == Counter(walk.words)
 
 
+def test_tables_however_deep():
+    page = "<table><tr><td>a<td>b</table>"
+    for _ in range(60):
+        page = f"<table><tr><td>{page}<td>z</table>"
+    shown, _, tables = html_layout.text_of(page)
+    assert tables == 61 and "a  b" in shown and shown.split().count("z") == 60 and "\n" not in shown
+
+
+def test_spans_are_the_standards():
+    cell = html_layout.Node("td", {"colspan": "0003", "rowspan": "0"})
+    assert html_layout._span(cell, "colspan") == 3 and html_layout._span(cell, "rowspan") == 65534
+    for raw, want in (("", 1), ("x", 1), ("0", 1), ("2x", 2), ("1001", 1000), ("9" * 5000, 1000), ("-4", 1), ("+7", 7)):
+        assert html_layout._span(html_layout.Node("td", {"colspan": raw}), "colspan") == want
+
+
+def test_an_empty_table_of_pages(spark):
+    assert html_layout.rendered(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
+
+
 # -- models against plain Python
 
 
