@@ -4,17 +4,17 @@ A window of `window` words always holds a whole block of (window + 1) // 2 words
 multiple of that length in its document. Those non-overlapping reference blocks are the index;
 every rolling run of the block's length probes it. A run is a hit if its hash is an indexed
 block's and stands in more than one place. Around hits, and only there, the windows that hold
-a hit are compared over the corpus by 64-bit hash; windows found twice extend the hit to the
+a hit are compared over the corpus by two 64-bit hashes; windows found twice extend the hit to the
 maximal exact repeat, which is the union of the repeated windows in a row.
 
 The texts are shuffled once, by batch; probes travel as sorted distinct hashes of a batch in
 about three bytes each, answers as bits, and windows only from regions with a hit. No pairs of
 occurrences are made, so a passage that a third of all documents share costs no more
-than any other. Window hashes are 64 bits wide, so chance equality of two
-windows somewhere in 10^8 distinct ones has a probability of about 3 in 10,000.
+than any other. Windows are equal if 128 bits are: among 10^12 distinct ones a chance equality has a probability of about 1 in 10^15.
 
 Defined results: a null or empty text has no words; texts shorter than a window lose nothing; rows repeated
-whole are two places; other columns are ignored, or kept by `deduplicated`.
+whole are two places; ties don't arise, as every repeat counts alike; a text of any length is one task's work, a chunk at a time; an empty table gives no rows;
+other columns are ignored, or kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -26,11 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import PAYLOAD, batched, bits, distinct, gathered, grouped, pack, payloads, placed, range_count, unbits, unpack
+from .exchange import PAYLOAD, batched, bits, distinct, gathered, grouped, pack, parted, payloads, placed, range_count, unbits, unpack
 from .runtime import documents
-from .text import SPACED, chunks, covered, gram_hashes, gram_starts, word_hashes, words
+from .text import SPACED, chunks, covered, gram_hashes, gram_starts, mix64, word_hashes, words
 
 WINDOW = 35
+_SALT = np.uint64(0x5851F42D4C957F2D)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -97,16 +98,22 @@ class Plan:
         places = at[hit[which]]
         near = covered(np.maximum(places - (self.window - self.block), 0), np.minimum(places, self.window - self.block) + 1, len(codes) + 1)
         near = near[: max(0, len(codes) - self.window + 1)] & gram_starts(offsets, self.window)
-        hashes, _, twice = distinct(gram_hashes(codes, self.window)[np.flatnonzero(near)])
-        return payloads(docs.column("batch")[0].as_py(), hashes, [twice], self.n_window_ranges, 64)
+        at = np.flatnonzero(near)
+        hashes, first, times = np.unique(gram_hashes(codes, self.window)[at], return_index=True, return_counts=True)
+        check = gram_hashes(mix64(codes ^ _SALT), self.window)[at[first]]
+        full, edge = parted(hashes, self.n_window_ranges, 64)
+        data = [pack(hashes[a:b]) + bits(times[a:b] > 1) + check[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        return pa.table({"range": pa.array(full, pa.int32()), "batch": pa.array([docs.column("batch")[0].as_py()] * len(full), pa.int64()), "data": pa.array(data, pa.binary())})
 
     def repeated(self, t: pa.Table) -> pa.Table:
         """The windows of each batch that start in more than one place."""
         batch, ends, hashes, (twice,) = gathered(t, 1)
-        order, starts = grouped(hashes)
-        hit = np.add.reduceat(1 + twice[order].astype(np.int64), starts) > 1
+        check = np.concatenate([np.frombuffer(raw, np.uint64, offset=len(raw) - 8 * n) for raw, n in zip(t.column("data").to_pylist(), np.diff(ends, prepend=0).tolist())])
+        order = np.lexsort([check, hashes])
+        new = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (check[order][1:] != check[order][:-1])])
+        which = np.cumsum(new) - 1
         flag = np.empty(len(hashes), bool)
-        flag[order] = np.repeat(hit, np.diff(np.append(starts, len(order))))
+        flag[order] = (np.bincount(which, 1 + twice[order].astype(np.int64)) > 1)[which]
         data = [pack(h[f]) for h, f in zip(np.split(hashes, ends[:-1]), np.split(flag, ends[:-1]))]
         return pa.table({"batch": batch, "range": pa.array([0] * len(batch), pa.int32()), "data": pa.array(data, pa.binary())})
 
