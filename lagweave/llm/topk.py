@@ -7,7 +7,11 @@ that component. A query reads its lists in parallel, from the top where its own
 positive and from the bottom where it is negative, scores each new candidate in full
 (random access), and after each step sums what one more candidate could reach at the current depths.
 It stops when that bound is below its kth best score; an equal bound goes on, as
-an unseen candidate of smaller id would win the tie. When nearly all candidates have been met, the few others are scored directly. Each block of candidates gives at most k rows for a query; the best k of
+an unseen candidate of smaller id would win the tie.
+
+So that the bound bites early, a block's candidates are grouped by likeness, and the heads of each group's lists are known: their sum bounds the group at
+depth 0, and so does its ball, centre and radius. A query scores its most promising group first; a group whose bound is below the kth score then is never read. Vectors in clusters leave most groups
+unread; vectors without structure leave none. When nearly all candidates have been met, the few others are scored directly. Each block of candidates gives at most k rows for a query; the best k of
 all blocks are the result.
 
 Defined results: vectors that are null or empty, hold a null or non-finite component, or have no id take no part;
@@ -28,6 +32,8 @@ CANDIDATES, QUERIES = 8192, 1024
 FIRST_DEPTH = 16
 #: If a step down the lists reads so many times more entries than candidates are left, those are scored at once.
 REREAD = 8
+#: Candidates in a group, about, and rounds that form the groups.
+GROUP, ROUNDS = 128, 4
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -37,27 +43,63 @@ def scores_kind(v: np.ndarray, q: np.ndarray):
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 
+def alike(vectors: np.ndarray) -> np.ndarray:
+    """A group for each vector, by a few rounds of nearest centres that start from evenly spaced vectors."""
+    n = len(vectors)
+    k = -(-n // GROUP)
+    if k < 2:
+        return np.zeros(n, np.int64)
+    x = vectors.astype(np.float32)
+    centre = x[np.linspace(0, n - 1, k).astype(np.int64)]
+    for _ in range(ROUNDS):
+        label = (x @ centre.T - 0.5 * (centre**2).sum(1)).argmax(1)
+        sums, many = np.zeros_like(centre), np.bincount(label, minlength=k)
+        np.add.at(sums, label, x)
+        centre = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centre)
+    return np.unique(label, return_inverse=True)[1]
+
+
 class Lists:
-    """The sorted lists of a block of candidates."""
+    """The sorted lists of a block of candidates, and the heads of its groups' lists from above and below."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
         self.up = np.argsort(self.vectors, axis=0, kind="stable").T.copy()
         self.values = np.take_along_axis(self.vectors, self.up.T, axis=0).T.copy()
+        self.group = alike(self.vectors)
+        by_group = np.argsort(self.group, kind="stable")
+        start = np.searchsorted(self.group[by_group], np.arange(self.group.max(initial=-1) + 1))
+        self.members = np.split(by_group, start[1:])
+        self.high, self.low = (f.reduceat(self.vectors[by_group], start, axis=0) if len(start) else self.vectors for f in (np.maximum, np.minimum))
+        self.centre = np.array([self.vectors[m].mean(0, dtype=float) if len(m) else np.zeros(self.vectors.shape[1]) for m in self.members])
+        self.radius = np.array([np.sqrt(((self.vectors[m] - c) ** 2).sum(1, dtype=float).max(initial=0)) for m, c in zip(self.members, self.centre)]) * (1 + 1e-6) + 1e-6
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """Positions and scores of the k best candidates (ties: the smaller id), and the depth at which the search stopped."""
+        """Positions and scores of the k best candidates (ties: the smaller id), and how many candidates were scored."""
         n = len(self.ids)
         live = np.flatnonzero(query)
         if not len(live):
             at = np.flatnonzero(self.ids != own)[:k]
-            return at, np.zeros(len(at), query.dtype), 0
+            return at, np.zeros(len(at), query.dtype), len(at)
         weight, down = query[live], query[live] > 0
         unseen = self.ids != own
         best, score = np.empty(0, np.int64), np.empty(0, query.dtype)
+        scored = 0
+        if len(self.members) > 1:
+            wide = query.astype(float)
+            ball = np.ceil(self.centre @ wide + self.radius * np.sqrt(wide @ wide) + 1)
+            bound = np.minimum(self.high @ np.maximum(query, 0) + self.low @ np.minimum(query, 0), ball)
+            first = self.members[int(bound.argmax())]
+            best = first[unseen[first]]
+            unseen[best] = False
+            score, scored = self.vectors[best] @ query, len(best)
+            order = np.lexsort([best, -score])[:k]
+            best, score = best[order], score[order]
+            if len(best) == k:
+                unseen &= (bound >= score[-1])[self.group]
         depth, step, left = 0, FIRST_DEPTH, int(unseen.sum())
-        while depth < n:
+        while depth < n and left:
             stop = min(n, depth + step)
             if REREAD * left < step * len(live):  # the lists would mostly repeat: score what is left
                 stop, new = n, np.flatnonzero(unseen)
@@ -69,6 +111,7 @@ class Lists:
                 new = np.flatnonzero(fresh)
                 unseen[new] = False
             left -= len(new)
+            scored += len(new)
             if len(new):
                 got = self.vectors[new] @ query
                 if len(best) == k:
@@ -84,7 +127,7 @@ class Lists:
             edge = np.where(down, self.values[live, n - stop], self.values[live, stop - 1])
             if len(best) == k and edge @ weight < score[-1]:
                 break
-        return best, score, depth
+        return best, score, scored
 
 
 def searched(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lagweave.llm import decontaminate, exchange, html_layout, jaccard_join, language_id, packing, substring_dedup, suffix_dedup, text, token_binary, tokens, toxicity
+from lagweave.llm import decontaminate, exchange, html_layout, jaccard_join, language_id, packing, substring_dedup, suffix_dedup, text, token_binary, tokens, topk, toxicity
 from lagweave.llm.components import components
 from lagweave.llm.queries import tokenizer_file
 
@@ -224,6 +224,23 @@ def test_scratch_tables_go(spark, tmp_path, monkeypatch):
     assert [p.name.split("-")[1] for p in tmp_path.iterdir()] == ["kept"]
 
 
+def test_top_k_reads_few_of_clustered_vectors():
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(60, 64))
+    for noise, most in ((0.15, 0.2), (0.5, 1.0)):
+        v = np.floor(64 * (centres[rng.integers(0, 60, 4000)] + noise * rng.normal(size=(4000, 64))) / 8).astype(np.float64)
+        v[100:110] = v[99]  # ties
+        lists, share = topk.Lists(rng.permutation(4000), v), []
+        for k in range(0, 4000, 100):
+            at, score, scored = lists.top(lists.vectors[k], lists.ids[k], 20)
+            every = lists.vectors @ lists.vectors[k]
+            every[k] = -np.inf
+            want = np.lexsort([lists.ids, -every])[:20]
+            assert at.tolist() == want.tolist() and (score == every[want]).all()
+            share.append(scored / 3999)
+        assert np.mean(share) < most
+
+
 # -- HTML against a naive walk over html.parser
 
 
