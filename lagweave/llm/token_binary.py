@@ -10,7 +10,7 @@ files (columns file, block, ids, data), which any store that Spark reaches can h
 `export` writes the bare blocks of one table to a local file. The rank table is stored beside.
 
 Defined results: a null or empty text is its end id alone; equal doc_ids stay separate rows,
-ordered by their number of ids, then a hash of them; a null doc_id comes first; an empty table gives no block.
+in an order of their own; a null doc_id comes first; an empty table gives no block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import documents, scratch, shared_dir, slots, written
-from .text import buffers
+from .text import buffers, mix64
 from .tokens import Encoder, encoded
 
 END_ID = 2
@@ -126,6 +126,14 @@ def ranking(rows: DataFrame, size: int, width: int) -> np.ndarray:
     return np.lexsort([np.arange(size), -total]).astype(np.uint32)
 
 
+def by_file(batch: pa.RecordBatch):
+    """Its rows, a file at a time."""
+    file = batch.column("file").to_numpy()
+    edge = np.flatnonzero(np.concatenate([[True], file[1:] != file[:-1]])) if len(file) else np.empty(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(file)]):
+        yield batch.slice(a, b - a)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
     """The corpus in ascending doc_id as token blocks under path/blocks, the ids by rank under path/ranks."""
     spark = docs.sparkSession
@@ -138,23 +146,34 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
     ranks = spark.sparkContext.broadcast(rank_of)
 
+    n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    files = max(1, -(-n_bytes // FILE_BYTES), min(slots(spark), n_bytes // (FILE_BYTES // 16)))
+    # files by quantiles of the ids: cheaper than a range partitioning, which would encode all rows twice
+    cuts = tokens.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(NO_ID)), [k / files for k in range(1, files)], 20 * files)).first()[0] if files > 1 else []
+    edges = spark.sparkContext.broadcast(np.array(cuts or [], np.int64))
+
     def coded(batches):
+        row = 0
         for batch in batches:
             for first, ids, counts in _groups(batch.column("ids"), width):
                 control, data, c, d = encode(ranks.value[ids], counts)
                 c, d = [0, *c.tolist()], [0, *d.tolist()]
+                names = batch.column("doc_id").slice(first, len(counts))
+                key = np.asarray(names.fill_null(NO_ID))
+                low, high = (np.searchsorted(edges.value, key, side) for side in ("left", "right"))
+                # an id that fills several files is dealt over them by the row's place, which a repeated task finds again
+                deal = mix64(np.arange(row, row + len(key), dtype=np.uint64)) % (high - low + 1).astype(np.uint64)
+                row += len(key)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(counts)), pa.array(counts), pa.array([control[a:b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(d, d[1:])], pa.binary())],
-                    ["doc_id", "n", "control", "data"],
+                    [pa.array((low + deal.astype(np.int64)).astype(np.int32)), names, pa.array(counts), pa.array([control[a:b] for a, b in zip(c, c[1:])], pa.binary()), pa.array([data[a:b] for a, b in zip(d, d[1:])], pa.binary())],
+                    ["file", "doc_id", "n", "control", "data"],
                 )
 
-    n_bytes = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    files = max(1, -(-n_bytes // FILE_BYTES), min(slots(spark), n_bytes // (FILE_BYTES // 16)))
-    rows = tokens.mapInArrow(coded, "doc_id long, n long, control binary, data binary")
-    ordered = rows.repartitionByRange(files, "doc_id", "n", F.xxhash64("data")).sortWithinPartitions("doc_id", "n", F.xxhash64("data"), "data").withColumn("file", F.spark_partition_id())
+    rows = tokens.mapInArrow(coded, "file int, doc_id long, n long, control binary, data binary")
+    ordered = rows.repartition(files, "file").sortWithinPartitions("file", "doc_id", "n", "data")
 
     def assemble(batches):
-        number, held, ids, file = 0, [], 0, 0
+        number, held, ids, file = 0, [], 0, -1
 
         def flush():
             t = pa.Table.from_batches(held)
@@ -163,9 +182,13 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> N
             block = block_bytes(names, counts, b"".join(t.column("control").to_pylist()), b"".join(t.column("data").to_pylist()))
             return pa.RecordBatch.from_pydict({"file": pa.array([file], pa.int32()), "block": pa.array([number], pa.int32()), "ids": pa.array([int(counts.sum())], pa.int64()), "data": pa.array([block], pa.binary())})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_file(whole)):
+            if batch.column("file")[0].as_py() != file:
+                if held:
+                    yield flush()
+                number, held, ids, file = 0, [], 0, batch.column("file")[0].as_py()
             ends = np.cumsum(batch.column("n").to_numpy())
-            file, i = (batch.column("file")[0].as_py() if len(batch) else file), 0
+            i = 0
             while i < len(batch):
                 gone = int(ends[i - 1]) if i else 0
                 j = int(np.searchsorted(ends, gone + BLOCK_IDS - ids, "right"))

@@ -407,3 +407,23 @@ def test_stages_take_any_rows(spark, tmp_path):
                 assert fresh.columns == docs.columns and fresh.count() <= docs.count()
                 docs = fresh
         assert (fresh.count() > 0) == bool(table)
+
+
+def test_token_files_of_repeated_ids(spark, monkeypatch):
+    """Many files, and one id (or none) that fills several: every row once, in ascending ids, starts without gaps."""
+    monkeypatch.setattr(token_binary, "FILE_BYTES", 2000)
+    rng = random.Random(10)
+    rows = [(k % 50 if k % 3 else 7, " ".join(rng.choice(["a", "bb", "token", "xyz"]) for _ in range(rng.randrange(40)))) for k in range(400)] + [(None, "null id")] * 90
+    got = token_binary.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tokenizer_file()).collect()
+    got.sort(key=lambda r: r["start"])
+    ids = [-1 if r["doc_id"] is None else r["doc_id"] for r in got]
+    assert len(got) == len(rows) and ids == sorted(ids) and Counter(ids) == Counter(-1 if d is None else d for d, _ in rows)
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(tokenizer_file()).encode
+    want = Counter((d, zlib.crc32(np.array([*encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for d, t in rows)
+    assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
