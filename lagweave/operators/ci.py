@@ -685,12 +685,12 @@ class PairwiseMultCI:
 class OracleCI:
     """Answers from a known structural model: d-separation in its time-series graph.
 
-    links: {variable: [(parent variable, lag), ...]}; hidden variables are those not in `observed`.
+    links: {variable: [(parent variable, lag), ...]}; hidden variables are those not in `observed`; variables in `selected` are conditioned on at every time.
     """
 
     name, two_sided = "oracle_ci", True
 
-    def __init__(self, links: dict[int, Sequence], observed: Sequence[int] | None = None):
+    def __init__(self, links: dict[int, Sequence], observed: Sequence[int] | None = None, selected: Sequence[int] = ()):
         plain = lambda p: p[0] if isinstance(p[0], tuple) else p
         self.parents = {j: [tuple(plain(p)[:2]) for p in ps] for j, ps in links.items()}
         self.children: dict[int, list[Node]] = {}
@@ -698,7 +698,15 @@ class OracleCI:
             for i, lag in ps:
                 self.children.setdefault(i, []).append((j, -lag))
         self.deep = max([0, *(-lag for ps in self.parents.values() for _, lag in ps)])
-        self.observed = list(observed) if observed is not None else sorted(links)
+        self.observed = list(observed) if observed is not None else sorted(set(links) - set(selected))
+        self.selected = list(selected)
+
+    @classmethod
+    def of_graph(cls, graph: np.ndarray) -> OracleCI:
+        """Of a graph with directed and bidirected links: a hidden variable stands for each of the latter."""
+        from lagweave.plans.graphs import canonical
+
+        return cls(canonical(graph), range(len(graph)))
 
     def run(self, data: Data | None, questions: Sequence[Question]) -> list[Answer]:
         out = []
@@ -715,6 +723,7 @@ class OracleCI:
         x, y, z = ({self.named(n) for n in part} for part in (q.x, q.y, q.z))
         z -= x | y
         low = min(lag for _, lag in x | y | z) - self.deep * (len(self.parents) * 2 + 2) - 1
+        z |= {(v, t) for v in self.selected for t in range(low, 1)} - x - y
         above = set()  # ancestors of Z, itself included
         todo = deque(z)
         while todo:

@@ -71,19 +71,31 @@ class CausalEffects:
                 out[x, y] = tuple(map(float, np.quantile(values[:, k], [(1 - level) / 2, (1 + level) / 2])))
         return out
 
-    def wright(self, panel: Panel, through: Iterable[Node] | None = None) -> dict[tuple[Node, Node], float]:
-        """Effects as sums over directed paths of products of link coefficients, each from the regression of a node on its parents."""
+    def wright(self, panel: Panel | None, through: Iterable[Node] | None = None, method: str = "parents", coefficients: dict[tuple[Node, Node], float] | None = None) -> dict[tuple[Node, Node], float]:
+        """Effects as sums over directed paths of products of link coefficients: from the regression of a node on its parents; or, "optimal", each link's direct effect by an
+        optimal adjustment set beside the node's other parents, for graphs with bidirected links too; or given ("links"), by (node, node) as on the paths."""
         g = self.adjustment.g
-        out, coef = {}, {}
         paths = {(x, y): g.paths([x], [y], through) for x in self.x for y in self.y}
-        on = {b: sorted(g.parents([b])) for ps in paths.values() for p in ps for b in p[1:]}
-        if not on:
-            return {k: 0.0 for k in paths}
-        nodes = sorted({*on, *(n for ps in on.values() for n in ps)})
-        data = Data(panel, max(-lag for _, lag in nodes), "tau_max")
-        for b, ps in on.items():
-            m = data.moments([Question((b,), (), tuple(ps))])[0]
-            coef |= {(a, b): c for a, c in zip(ps, regression(m, b, ps)[0])}
-        for k, ps in paths.items():
-            out[k] = float(sum(np.prod([coef[a, b] for a, b in zip(p, p[1:])]) for p in ps))
-        return out
+        links = sorted({(a, b) for ps in paths.values() for p in ps for a, b in zip(p, p[1:])})
+        coef: dict[tuple[Node, Node], float] = {}
+        if method == "links":
+            shift = lambda a, b: ((a[0], a[1] - b[1]), (b[0], 0))
+            given = {shift(a, b): c for (a, b), c in (coefficients or {}).items()}
+            coef = {(a, b): given[shift(a, b)] for a, b in links}
+        elif links and method in ("parents", "optimal"):
+            data = Data(panel, max(-lag for a, b in links for _, lag in (a, b, *g.parents([b]))), "tau_max")
+            for a, b in links:
+                others = sorted(g.parents([b]) - {a})
+                if method == "optimal":
+                    own = Adjustment(g.graph, [a], [b], others, horizon=g.horizon)
+                    extra = own.optimal()
+                    if extra is None:
+                        raise ValueError("the effect is not identified along paths")
+                    others = sorted({*others, *extra})
+                elif g.spouses([b]):
+                    raise ValueError("with bidirected links the coefficients are not those of a regression on parents")
+                m = data.moments([Question((b,), (), (a, *others))])[0]
+                coef[a, b] = float(regression(m, b, [a, *others])[0][0])
+        elif links:
+            raise ValueError("method is parents, optimal or links")
+        return {k: float(sum(np.prod([coef[a, b] for a, b in zip(p, p[1:])]) for p in ps)) for k, ps in paths.items()}

@@ -145,6 +145,39 @@ class Mediation:
             out += float(self.total(phi)[-lag, j, i])
         return out
 
+    def joint_effect(self, i: int, j: int) -> np.ndarray:
+        """Effect of every lag of i, at index lag, on j, along paths that don't come back to i."""
+        return self.without(i)[:, j, i]
+
+    def joint_matrix(self, i: int, j: int) -> np.ndarray:
+        """(lag of i, lag of j): the effect of i at one time on j at another, along paths that don't come back to i."""
+        own, n = self.joint_effect(i, j), self.tau_max + 1
+        out = np.zeros((n, n))
+        for later in range(n):
+            out[later:, later] = own[: n - later]
+        return out
+
+    def joint_mediated(self, i: int, j: int, k: int | Sequence[int]) -> np.ndarray:
+        """The part of joint_effect that leads through k."""
+        phi = self.phi.copy()
+        phi[:, [i, *([k] if np.isscalar(k) else k)], :] = 0
+        return self.joint_effect(i, j) - self.total(phi)[:, j, i]
+
+    def paths(self, i: int, tau: int, j: int) -> list[tuple[list[Node], float]]:
+        """Every path of links from i at -tau to j at 0, with the product of its coefficients: their sum is the effect."""
+        out, todo = [], [([(i, -abs(tau))], 1.0)]
+        while todo:
+            path, product = todo.pop()
+            v, t = path[-1]
+            if (v, t) == (j, 0) and len(path) > 1:
+                out.append((path, product))
+                continue
+            for lag, child in zip(*np.nonzero(self.phi[:, :, v])):
+                node = (int(child), t + int(lag))
+                if node[1] <= 0 and node not in path:
+                    todo.append(([*path, node], product * float(self.phi[lag, child, v])))
+        return sorted(out)
+
     def _reach(self, i: int, j: int, lags: str) -> float:
         part = np.abs(self.psi[:, j, i])
         return float(part.max() if lags == "absmax" else part.sum())
