@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -20,20 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
         return known.get().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = tempfile.mkdtemp(prefix="lagweave-")
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="lagweave-")
+    return _LOCAL[app]
 
 
-_SCRATCH: list[list[str]] = []
+_SCRATCH = threading.local()  # paths, a list for each open `scratch` of a thread
+_LOCAL: dict[str, str] = {}
 
 
 def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
     """df, written to the shared folder and read back: cuts the lineage, so that a lost executor costs one reread. Within `scratch`, tables that aren't named kept-... go at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lagweave-{what}-{uuid.uuid4().hex}"
-    if _SCRATCH and not what.startswith("kept-"):
-        _SCRATCH[-1].append(path)
+    if getattr(_SCRATCH, "open", None) and not what.startswith("kept-"):
+        _SCRATCH.open[-1].append(path)
     df.write.option("compression", compression).option("parquet.block.size", 8 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -41,11 +44,11 @@ def written(df: DataFrame, what: str, compression: str = "zstd") -> DataFrame:
 @contextmanager
 def scratch(spark: SparkSession):
     """Tables written within are deleted at its end, be it by an error; nothing lazy that reads them may leave it."""
-    _SCRATCH.append([])
+    _SCRATCH.open = [*getattr(_SCRATCH, "open", []), []]
     try:
         yield
     finally:
-        for path in _SCRATCH.pop():
+        for path in _SCRATCH.open.pop():
             delete(spark, path)
 
 
