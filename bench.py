@@ -37,7 +37,7 @@ def main() -> None:
         found.summarised(found.bootstrap("run_pcmci", tau_max=2, samples=100, block=5, seed=1)).collect()
 
     jobs = {"embedding_moments": embedding_moments, "bootstrap_100": bootstrap_100}
-    for name in ("panel_lineitem_days", "lagged_dependencies", "pcmci", "pcmci_plus", "contingency_tests", "sliding_windows", "cmi_nearest_neighbours", "ordinal_patterns", "smooth_gaussian", "mediation", "total_effect"):
+    for name in ("panel_lineitem_days", "lagged_dependencies", "pcmci", "pcmci_plus", "contingency_tests", "sliding_windows", "cmi_nearest_neighbours", "ordinal_patterns", "smooth_gaussian", "mediation", "total_effect", "lpcmci", "jpcmci_plus", "full_conditioning", "uniform_transform", "low_pass"):
         jobs[name] = lambda f=QUERIES[name]: f(spark, sf_dir).collect()
     QUERIES["panel_lineitem_days"](spark, sf_dir).collect()  # starts the workers
     took = {}

@@ -66,6 +66,12 @@ class Data:
             self.frame = lagged(self.panel, nodes, first_time(self.cut_off, 0, self.tau_max), masks=self.mask_type is not None).persist()
         return self.frame
 
+    def release(self) -> None:
+        """Gives the kept embedding back."""
+        if self.frame is not None and self._nodes:
+            self.frame.unpersist()
+            self.frame = None
+
     def nodes(self) -> list[Node]:
         self.embedding()
         return sorted(self._nodes) if self._nodes else sorted({(int(c[1:].split("_")[0]), -int(c.split("_")[1])) for c in self.frame.columns if c[0] == "x" and "_" in c})

@@ -328,6 +328,7 @@ class RegimeDiscovery:
         if not done:
             return None
         best = min(done, key=lambda a: (objective[a], a))
+        base.release()
         return Regimes(paths.where(F.col("a") == best).select("t", "regime"), found[best], objective[best], steps[best])
 
     def errors(self, frame: DataFrame, nodes: list[Node], models: dict) -> DataFrame:

@@ -88,6 +88,8 @@ class Discovery:
 
     def at(self, tau_max: int) -> None:
         if self.data is None or self.data.tau_max != tau_max:
+            if self.data is not None:
+                self.data.release()
             self.data, self.known = Data(self.panel, tau_max, self.cut_off, self.mask_type), {}
 
     def ask(self, questions: Sequence[Question]) -> list[Answer]:
@@ -382,7 +384,9 @@ class Discovery:
         """The method on sliding windows of anchor times: starts 0, step, ... while start < last time + 1 - length."""
         base = Data(self.panel, tau_max, self.cut_off, self.mask_type)
         df = windowed(base.embedding(), "shared", step, length)
-        return self.repeated(self._parts(df, tau_max), method, tau_max=tau_max, **args)
+        runs = self.repeated(self._parts(df, tau_max), method, tau_max=tau_max, **args)
+        base.release()
+        return runs
 
     def bootstrap(self, method: str, tau_max: int, samples: int = 100, block: int = 1, seed: int = 0, **args) -> dict[str, Found]:
         """The method on block-bootstrap samples of the anchor times."""
@@ -394,7 +398,9 @@ class Discovery:
                 own._nodes, own._whole, own._gaps = set(base.nodes()), {(): m}, False
         else:
             parts = self._parts(resampled(base.embedding(), samples, block, seed), tau_max)
-        return self.repeated(parts, method, tau_max=tau_max, **args)
+        runs = self.repeated(parts, method, tau_max=tau_max, **args)
+        base.release()
+        return runs
 
     def summarised(self, runs: dict[str, Found], level: float = 0.9) -> DataFrame:
         rows = [(int(i), int(j), int(t), float(f.val[i, j, t]), float(f.p[i, j, t]), str(f.graph[i, j, t])) for f in runs.values() for i, j, t in np.ndindex(f.val.shape) if (i, t) != (j, 0)]
