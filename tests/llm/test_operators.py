@@ -235,13 +235,39 @@ def brute_hits(rows, items, window):
     return bag(out)
 
 
+def brute_longest(rows, items, window):
+    """Per text its longest run of words that is also in an item and holds a whole window of it: words, first word, least item."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    parts = [(name, split(t)) for name, t in items]
+    out = []
+    for r in rows:
+        w, best = split(r[1]), None
+        for name, v in parts:
+            at = {}
+            for j, x in enumerate(v):
+                at.setdefault(x, []).append(j)
+            for i in range(len(w)):
+                for j in at.get(w[i], ()):
+                    if i and j and w[i - 1] == v[j - 1]:
+                        continue
+                    k = 0
+                    while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                        k += 1
+                    if k >= min(window, len(v)):
+                        best = min(best or (0, 0, ""), (-k, i, name))
+        out.append((r[0], *((-best[0], *best[1:]) if best else (0, None, None))))
+    return bag(out)
+
+
 @pytest.mark.parametrize("block_bytes", [1 << 20, 60])
 def test_contamination(spark, docs, rows, empty, monkeypatch, block_bytes):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block_bytes)
     passage = " ".join(rows[30][1].split()[15:50])
     items = [("1", passage), ("2", "a B"), ("3", None), ("4", " "), ("1", "W1 w2, w3!"), ("10", rows[12][1]), ("x", "same same same")]
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id string, text string, doc_id int")
-    assert bag(decontaminate.contamination(docs, bench).collect()) == brute_hits(rows, items, 10)
+    got = decontaminate.contamination(docs, bench).collect()
+    assert bag(tuple(r)[:6] for r in got) == brute_hits(rows, items, 10)
+    assert bag((r["doc_id"], *tuple(r)[6:]) for r in got) == brute_longest(rows, items, 10)
     clean = decontaminate.decontaminated(docs, bench)
     assert clean.columns == docs.columns
     assert clean.count() == sum(n for r, n in brute_hits(rows, items, 10).items() if not r[5])
