@@ -287,12 +287,32 @@ def dummy_demeaning(spark, d):
     return df.select("dataset", "t", r6("by_set").alias("by_set"), r6("by_time").alias("by_time"))
 
 
-@query()
+def _filter_sql(kind: str) -> str:
+    """The filter as a recursion over its difference equation, forward over the odd extension, then back."""
+    b, a = T.butterworth(2 / 14, kind == "high")
+    rest = T.Recursion(b, a).steady
+    lit = lambda x: f"({float(x)!r}::DOUBLE)"
+
+    def once(name: str, source: str) -> str:
+        after = lambda x, y, z: ", ".join([f"{z[1]} + {lit(b[1])} * {x} - {lit(a[1])} * ({y})", f"{z[2]} + {lit(b[2])} * {x} - {lit(a[2])} * ({y})", f"{lit(b[3])} * {x} - {lit(a[3])} * ({y})"])
+        first, then = [f"{lit(r)} * x" for r in rest], ["z0", "z1", "z2"]
+        y0, y1 = f"{lit(b[0])} * x + {first[0]}", f"{lit(b[0])} * s.x + z0"
+        return f"{name}(i, y, z0, z1, z2) AS (SELECT i, {y0}, {after('x', y0, first)} FROM {source} WHERE i = 0 UNION ALL SELECT s.i, {y1}, {after('s.x', y1, then)} FROM {name} f JOIN {source} s ON s.i = f.i + 1)"
+
+    return f"""WITH RECURSIVE {LI_DAY}, m AS (SELECT max(t) AS last FROM li_day), e AS (
+      SELECT CAST(12 + t AS BIGINT) AS i, v0 AS x FROM li_day
+      UNION ALL SELECT 12 - t, 2 * (SELECT v0 FROM li_day WHERE t = 0) - v0 FROM li_day WHERE t BETWEEN 1 AND 12
+      UNION ALL SELECT 12 + 2 * last - t, 2 * (SELECT v0 FROM li_day, m WHERE t = last) - v0 FROM li_day, m WHERE t BETWEEN last - 12 AND last - 1
+    ), {once('forth', 'e')}, r AS (SELECT 24 + last - i AS i, y AS x FROM forth, m), {once('back', 'r')}
+    SELECT CAST(12 + last - i AS BIGINT) AS t, round(y, 6) AS filtered FROM back, m WHERE 12 + last - i BETWEEN 0 AND last"""
+
+
+@query(_filter_sql("low"))
 def low_pass(spark, d):
     return T.pass_filter(lineitem_days(spark, d).df, "v0", 14, "low").select("t", r6("filtered").alias("filtered"))
 
 
-@query()
+@query(_filter_sql("high"))
 def high_pass(spark, d):
     return T.pass_filter(lineitem_days(spark, d).df, "v0", 14, "high").select("t", r6("filtered").alias("filtered"))
 
@@ -482,12 +502,24 @@ def contingency_margins(spark, d):
     return m.groupBy(F.col("z.n0").alias("z")).agg(F.sum("c").alias("c"), F.max("n_z").alias("n_z"))
 
 
+_SYMBOL = lambda c, out: f"""SELECT t, CAST(sum(edge::INT) OVER (ORDER BY {c} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS INTEGER) AS {out} FROM (SELECT t, {c}, (row_number() OVER (ORDER BY {c}) - 1) % CAST(ceil((SELECT count(*) FROM li_day) / 4.0) AS BIGINT) = 0 AS edge FROM li_day)"""
+
+
+@query(
+    f"""WITH {LI_DAY}, a AS ({_SYMBOL('v0', 'a')}), b AS ({_SYMBOL('v2', 'b')}), e AS (SELECT t, lag(a, 1) OVER (ORDER BY t) AS x, b AS y, lag(b, 1) OVER (ORDER BY t) AS z FROM a JOIN b USING (t)),
+    c AS (SELECT x, y, z, count(*) AS c FROM e WHERE t >= 2 GROUP BY ALL), m AS (SELECT *, sum(c) OVER (PARTITION BY x, z) AS xz, sum(c) OVER (PARTITION BY y, z) AS yz, sum(c) OVER (PARTITION BY z) AS nz, sum(c) OVER () AS n FROM c)
+    SELECT CAST(0 AS INTEGER) AS k, round(sum(c / n * ln(c * nz / (xz * yz))), 6) AS val, CAST(max(n) AS BIGINT) AS n FROM m"""
+)
+def symbolic_information(spark, d):
+    return symbolic_permutation_test(spark, d, 0).select("k", "val", "n")
+
+
 @query()
-def symbolic_permutation_test(spark, d):
+def symbolic_permutation_test(spark, d, samples=100):
     df = T.quantile_bins(lineitem_days(spark, d).df, "v0", 4).withColumn("a", F.col("symbol").cast("double")).select("dataset", "t", "a", "v2")
     df = T.quantile_bins(df, "v2", 4).select("t", "a", F.col("symbol").cast("double").alias("b"))
     q = [Question(((0, -1),), ((1, 0),), ((1, -1),))]
-    return answers(spark, q, CMIsymb(100).run(Data(Panel.from_spark(df, "t", ["a", "b"], gapless=True), 1), q)).select("k", r6("val").alias("val"), r6("p").alias("p"), "n")
+    return answers(spark, q, CMIsymb(samples).run(Data(Panel.from_spark(df, "t", ["a", "b"], gapless=True), 1), q)).select("k", r6("val").alias("val"), r6("p").alias("p"), "n")
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, CAST(val AS DOUBLE) AS val, CAST(p AS DOUBLE) AS p, CAST(0 AS BIGINT) AS n FROM (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, 0.0, 1.0)) q(k, val, p)")
