@@ -17,7 +17,7 @@ def test_flagship(spark):
     assert got.columns == ["i", "j", "tau", "link", "val", "p"] and got.count() == 95
 
 
-@pytest.mark.parametrize("name", ["sample_missing_spread", "smooth_gaussian", "ordinal_patterns", "quantile_bins", "false_discovery_rate", "ancestors", "contingency_tests", "moment_matrix"])
+@pytest.mark.parametrize("name", ["sample_missing_spread", "smooth_gaussian", "ordinal_patterns", "quantile_bins", "false_discovery_rate", "ancestors", "contingency_tests", "moment_matrix", "full_conditioning", "mediation", "weighted_partial_correlation", "multivariate_correlation", "low_pass", "correlation_given_dataset", "natural_effects_linear", "graph_facts"])
 def test_against_sql(spark, name):
     import duckdb
 
