@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import documents, written
-from .text import ALNUM, Chunk, chunks, covered, gram_hashes, ranges, word_hashes, words
+from .text import ALNUM, Chunk, chunks, covered, ranges, word_hashes, words
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20

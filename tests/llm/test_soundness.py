@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import re
 import zlib
 from collections import Counter
 from html.parser import HTMLParser
@@ -11,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lagweave.llm import decontaminate, exchange, html_layout, jaccard_join, language_id, packing, substring_dedup, suffix_dedup, text, token_binary, tokens, topk, toxicity
+from lagweave.llm import decontaminate, exchange, html_layout, jaccard_join, language_id, substring_dedup, suffix_dedup, text, token_binary, tokens, topk, toxicity
 from lagweave.llm.components import components
 from lagweave.llm.queries import tokenizer_file
 
