@@ -1,6 +1,5 @@
 """Effects by estimators, counterfactual worlds, graph algorithms, generators, files, panels from the data's range."""
 
-import io
 
 import numpy as np
 import pytest
